@@ -409,7 +409,8 @@ def encode_with(spark, sf):
 
 
 @query("dq_vector_dims", sql("""
-SELECT CAST(len(v) AS BIGINT) AS dim, count(*) AS n FROM vecs GROUP BY 1 HAVING (SELECT count(DISTINCT len(v)) FROM vecs) <> 1 OR len(v) <= 0""", "vecs"))
+SELECT dim, n FROM (SELECT CAST(len(v) AS BIGINT) AS dim, count(*) AS n FROM vecs GROUP BY 1)
+WHERE (SELECT count(DISTINCT len(v)) FROM vecs) <> 1 OR dim <= 0""", "vecs"))
 def dq_vector_dims(spark, sf):
     return quality.vector_dims(b.vectors(spark, sf))
 
