@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every query module imported."""
-    from . import corpus, crawl, registry, retrieval  # noqa: F401
+    from . import corpus, crawl, learning, registry, retrieval, studying  # noqa: F401
 
     return registry

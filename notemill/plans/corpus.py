@@ -201,9 +201,9 @@ def dq_required_meta(spark, sf):
     return quality.required_meta(ch.parse_notes(b.rendered(spark, sf).select("doc_id", "rel", "text"))).select("doc_id")
 
 
-@query("dq_min_counts", sql("SELECT source, count(*) AS n FROM notes GROUP BY source HAVING count(*) < 50", "notes"))
+@query("dq_min_counts", sql("SELECT course, count(*) AS n FROM notes GROUP BY course HAVING count(*) < 120", "notes"))
 def dq_min_counts(spark, sf):
-    return quality.min_counts(b.notes(spark, sf), "source", 50)
+    return quality.min_counts(b.notes(spark, sf), "course", 120)
 
 
 @query("dq_nav_links", sql("""
