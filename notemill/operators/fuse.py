@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -22,11 +22,15 @@ def route_union(vector_route: DataFrame | None, keyword_route: DataFrame) -> Dat
 
 
 def fuse_rrf(routes: DataFrame, k: int = fixed.RRF_K) -> DataFrame:
-    """Reciprocal rank fusion per (question, chunk), with the place where the chunk was first seen."""
+    """Reciprocal rank fusion per (question, chunk), with the place where the chunk was first seen.
+
+    A route lists a chunk at most once, so counting rows counts routes.
+    """
     return routes.groupBy("qid", *KEY).agg(
         F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"),
         F.min(F.struct("route", "rank")).alias("seen"),
-        F.countDistinct("route").alias("n_routes"),
+        F.max("route").alias("last_route"),
+        F.count("*").alias("n_routes"),
     )
 
 
@@ -35,7 +39,7 @@ def best_chunk_per_file(fused: DataFrame, limit: int) -> DataFrame:
     score = F.round("score", 9)
     in_file = Window.partitionBy("qid", "file")
     best = (
-        fused.withColumn("file_seen", F.min("seen").over(in_file))
+        fused.withColumn("mode", mode()).withColumn("file_seen", F.min("seen").over(in_file))
         .withColumn("_n", F.row_number().over(in_file.orderBy(score.desc(), "seen")))
         .where("_n = 1")
     )
@@ -67,11 +71,11 @@ def by_course(ranked: DataFrame) -> DataFrame:
     return ranked.where(F.col("want_course").isNull() | (F.col("course") == F.col("want_course")))
 
 
-def modes(routes: DataFrame, queries: DataFrame) -> DataFrame:
+def mode() -> Column:
     """`hybrid` when both routes found something for the question, else `keyword-only`."""
-    n = routes.groupBy("qid").agg(F.countDistinct("route").alias("n"))
-    mode = F.when(F.col("n") > 1, "hybrid").otherwise("keyword-only")
-    return queries.select("qid").join(n, "qid", "left").select("qid", mode.alias("mode"))
+    asked = Window.partitionBy("qid")
+    both = F.min("seen.route").over(asked) != F.max("last_route").over(asked)
+    return F.when(both, "hybrid").otherwise("keyword-only")
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = fixed.TOP_K,
@@ -85,10 +89,8 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     near = None
     if vectors is not None:
         asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
-        found = vec.cosine_topk(asked, vectors, fixed.ROUTE_DEPTH, threshold)
-        near = found.join(vectors.select("vec_id", *KEY), "vec_id")
-    routes = route_union(near, words)
-    fused = fuse_rrf(routes)
+        near = vec.cosine_topk(asked, vectors, fixed.ROUTE_DEPTH, threshold, carry=KEY)
+    fused = fuse_rrf(route_union(near, words))
     # a question has at most two routes of fixed depth, so the question count bounds `fused`
     bound = BROADCAST_ROWS // (2 * fixed.ROUTE_DEPTH)
     located = chunks.select(*KEY, "file", "course").join(
@@ -96,8 +98,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     )
     ranked = best_chunk_per_file(located, max(k, fixed.ROUTE_DEPTH))
     ranked = ranked.join(queries.select("qid", "question", "want_course"), "qid")
-    final = prioritize(by_course(ranked), k).join(modes(routes, queries), "qid")
-    return final.select("qid", "rank", *KEY, "file", "course", F.round("score", 4).alias("score"), "mode")
+    return prioritize(by_course(ranked), k).select("qid", "rank", *KEY, "file", "course", F.round("score", 4).alias("score"), "mode")
 
 
 def search_keyword(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.learning import concept_question
 from ..functions.text import strip
+from .sizing import BROADCAST_ROWS, join_groups
 
 QUESTION = ["course", "question", "type", "answer", "source_file", "source_title", "tags", "difficulty"]
 
@@ -121,12 +122,13 @@ def _mentions(topics: DataFrame, pool: DataFrame) -> DataFrame:
     wanted = topics.select("course", "topic", F.explode(F.when(F.length("topic") >= 3, _grams(F.col("topic"), 3))
                            .when(F.length("topic") == 2, F.array("topic")).otherwise(F.array("topic"))).alias("gram"))
     grams = texts.select("course", "question", F.explode(sized(F.col("question"))).alias("gram"))
-    grams = grams.join(wanted.select("course", "gram").distinct(), ["course", "gram"], "left_semi")
+    asked = wanted.select("course", "gram").distinct()
+    grams = join_groups(grams, asked, ["course", "gram"], "left_semi", ["question"], probe=wanted)
     freq = grams.groupBy("course", "gram").agg(F.count("*").alias("n"))
     rare = wanted.join(freq, ["course", "gram"], "left").groupBy("course", "topic").agg(
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
     )
-    pairs = grams.join(rare, ["course", "gram"]).where(F.contains(F.col("question"), F.col("topic")))
+    pairs = join_groups(grams, rare, ["course", "gram"], "inner", ["question"], probe=wanted).where(F.contains(F.col("question"), F.col("topic")))
     return pairs.select("course", "topic", "question")
 
 
@@ -139,14 +141,15 @@ def session_questions(sessions: DataFrame, pool: DataFrame, n: int, seed: str) -
     m = max(n * 3, 6)
     keyed = pool.withColumn("_key", F.struct(sample_key(seed).alias("h"), "type", "source_file"))
     topics = sessions.select("course", F.explode("topics").alias("topic")).distinct()
-    tagged = keyed.withColumn("topic", F.explode("tags")).join(topics, ["course", "topic"], "left_semi")
-    named = keyed.join(_mentions(topics, pool), ["course", "question"])
+    tagged = keyed.withColumn("topic", F.explode("tags"))
+    tagged = join_groups(tagged, topics, ["course", "topic"], "left_semi", ["question"], probe=topics)
+    named = join_groups(keyed, _mentions(topics, pool), ["course", "question"], "inner", ["source_file", "type"])
     cols = [*QUESTION, "_key", "topic"]
     best = Window.partitionBy("course", "topic").orderBy("_key", "question")
     matched = tagged.select(cols).unionByName(named.select(cols)).dropDuplicates(["course", "topic", "_key", "question"])
     matched = matched.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= m).drop("_n")
     asked = sessions.select("session_id", "course", F.explode("topics").alias("topic"))
-    mine = asked.join(matched, ["course", "topic"]).drop("topic")
+    mine = join_groups(asked, matched, ["course", "topic"], "inner", ["session_id"], topics, BROADCAST_ROWS // m).drop("topic")
     mine = mine.dropDuplicates(["session_id", "_key", "question"])
     per_session = Window.partitionBy("session_id").orderBy("_key", "question")
     mine = mine.withColumn("at", F.row_number().over(per_session)).where(F.col("at") <= m)
@@ -157,6 +160,6 @@ def session_questions(sessions: DataFrame, pool: DataFrame, n: int, seed: str) -
     short = sessions.select("session_id", "course").join(have, "session_id", "left").where(
         F.coalesce("n_found", F.lit(0)) < n
     )
-    extra = short.drop("n_found").join(general, "course").withColumn("at", F.col("at") + m)
+    extra = join_groups(short.drop("n_found"), general, ["course"], "inner", ["session_id"]).withColumn("at", F.col("at") + m)
     rows = mine.select("session_id", *QUESTION, "at").unionByName(extra.select("session_id", *QUESTION, "at"))
     return prefer_examples(rows, n)

@@ -52,7 +52,7 @@ def answered(sessions: DataFrame, graded: DataFrame, max_questions: int = fixed.
     for q in range(1, max_questions + 1):
         rows = graded.where(F.col("question_no") == q).select("session_id", "turn", "norm", "correct")
         if q > 1:
-            rows = join_groups(rows, opened, ["session_id"], "inner", ["turn"]).where("turn > opened_at")
+            rows = join_groups(rows, opened, ["session_id"], "inner", ["turn"], probe=sessions.select("session_id")).where("turn > opened_at")
         # equal answers collapse to their first turn; blank answers each count
         answer = F.when(F.col("norm") == "", F.concat(F.lit("#"), F.col("turn").cast("string"))).otherwise(F.col("norm"))
         firsts = rows.groupBy("session_id", answer.alias("key")).agg(
@@ -77,10 +77,11 @@ def answered(sessions: DataFrame, graded: DataFrame, max_questions: int = fixed.
     return reached
 
 
-def classify(graded: DataFrame, reached: DataFrame) -> DataFrame:
+def classify(sessions: DataFrame, graded: DataFrame, reached: DataFrame) -> DataFrame:
     """Every attempt with its outcome: accepted (with attempt_no), repeat, or illegal."""
     info = reached.select(*ATTEMPT_KEY, "opened_at", "turn_1", "turn_2", "closed_at")
-    rows = join_groups(graded, info, ATTEMPT_KEY, "left", ["turn"])
+    few = sessions.select("session_id", F.explode(F.sequence(F.lit(1), F.greatest("n_questions", F.lit(1)))))
+    rows = join_groups(graded, info, ATTEMPT_KEY, "left", ["turn"], probe=few)
     number = F.when(F.col("turn") == F.col("turn_1"), 1).when(F.col("turn") == F.col("turn_2"), 2)
     inside = (F.col("turn") > F.col("opened_at")) & (F.col("closed_at").isNull() | (F.col("turn") < F.col("closed_at")))
     outcome = F.when(number.isNotNull(), "accepted").when(inside, "repeat").otherwise("illegal")
@@ -97,8 +98,11 @@ def question_score() -> Column:
 
 def session_score(reached: DataFrame) -> DataFrame:
     """Mean score over closed questions, null when none is closed."""
-    closed = F.when(F.col("closed_at").isNotNull(), question_score())
-    return reached.groupBy("session_id").agg(F.round(F.avg(closed), 3).alias("score"))
+    return reached.groupBy("session_id").agg(_mean_score().alias("score"))
+
+
+def _mean_score() -> Column:
+    return F.round(F.avg(F.when(F.col("closed_at").isNotNull(), question_score())), 3)
 
 
 def fold_sessions(sessions: DataFrame, reached: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -109,12 +113,13 @@ def fold_sessions(sessions: DataFrame, reached: DataFrame, outcomes: DataFrame)
         F.max(F.when(F.col("closed_at").isNull(), F.col("question_no"))).alias("open_no"),
         F.max_by(tries, "question_no").alias("attempt_count"),
         F.sum(tries).alias("n_accepted"),
+        _mean_score().alias("score"),
     )
     refused = outcomes.groupBy("session_id").agg(
         F.count_if(F.col("outcome") == "illegal").alias("n_illegal"), F.count_if(F.col("outcome") == "repeat").alias("n_repeat")
     )
     rows = sessions.select("session_id", "n_questions").join(per, "session_id", "left")
-    rows = rows.join(refused, "session_id", "left").join(session_score(reached), "session_id", "left")
+    rows = rows.join(refused, "session_id", "left")
     done = F.coalesce("n_closed", F.lit(0)) >= F.col("n_questions")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return rows.select(

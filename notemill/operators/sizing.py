@@ -28,13 +28,14 @@ def join_groups(
     probe: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join many rows to one row per key without sending a hot key to one task.
+    """Join many rows to few rows per key without sending a hot key to one task.
 
-    A small group table is broadcast. Otherwise both sides are salted: rows by a hash of their
-    `spread` columns, groups by copying each key to every salt.
+    With a probe (a cheap table that has at least as many rows as groups) of checked size, groups
+    are broadcast. Otherwise both sides are salted: rows by a hash of their `spread` columns,
+    groups by copying each row to every salt.
     """
-    if fits(groups if probe is None else probe, max_rows):
+    if probe is not None and fits(probe, max_rows):
         return rows.join(F.broadcast(groups), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

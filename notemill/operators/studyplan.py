@@ -66,7 +66,7 @@ def day_plan(tasks: DataFrame, order: list[str], hours_per_day: float, start: dt
     # a task belongs to the last day that starts at or before it; beyond the last packed task, to the extra day
     starts = days.groupBy("course").agg(F.array_sort(F.collect_list(F.struct("from_at", "day"))).alias("starts"))
     bounds = starts.join(last, "course")
-    out = join_groups(rows, bounds, ["course"], "left", order)
+    out = join_groups(rows, bounds, ["course"], "left", order, probe=tasks.select("course").distinct())
     packed = F.element_at(F.filter("starts", lambda s: s["from_at"] <= F.col("_at")), -1)["day"]
     day = F.when(F.col("_at") > F.col("last._at"), F.col("last.day") + 1).otherwise(packed)
     date_no = F.when(F.col("_at") > F.col("last._at"), F.lit(total_days)).otherwise(packed - 1)

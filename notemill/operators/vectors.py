@@ -23,17 +23,15 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / norms[:, None]
 
 
-def _best(qids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
-    """Best k rows per query among candidates: similarity rounded to 9 descending, then id."""
-    sims = np.round(sims, 9)
-    keep = sims >= threshold
-    out = pd.DataFrame({"qid": qids[keep], "vec_id": ids[keep], "score": sims[keep]})
-    out = out.sort_values(["qid", "score", "vec_id"], ascending=[True, False, True])
-    return out.groupby("qid", sort=False).head(k)
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best k rows per query: similarity descending, then id."""
+    found = found.sort_values(["qid", "score", "vec_id"], ascending=[True, False, True])
+    return found.groupby("qid", sort=False).head(k)
 
 
-def _block_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
+def _block_best(qids: np.ndarray, q: np.ndarray, stored: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
     """Best k of one block of vectors for every query of one block, by matrix product."""
+    v = _unit(stored["embedding"])
     if q.shape[1] != v.shape[1]:
         raise ValueError(f"vector dimension mismatch: query={q.shape[1]}, stored={v.shape[1]}")
     sims = np.round(q @ v.T, 9)
@@ -43,19 +41,25 @@ def _block_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray,
         rows, cols = np.nonzero(sims >= np.maximum(kth, threshold))
     else:
         rows, cols = np.nonzero(sims >= threshold)
-    return _best(qids[rows], ids[cols], sims[rows, cols], k, threshold)
+    found = stored.drop(columns="embedding").iloc[cols].reset_index(drop=True)
+    return _best(found.assign(qid=qids[rows], score=sims[rows, cols]), k)
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.ROUTE_DEPTH,
-                threshold: float = fixed.VECTOR_THRESHOLD, block: int = QUERY_BLOCK) -> DataFrame:
+                threshold: float = fixed.VECTOR_THRESHOLD, block: int = QUERY_BLOCK,
+                carry: list[str] | None = None) -> DataFrame:
     """Exact top k vectors per query at or above the threshold.
 
-    queries: (qid, embedding); vectors: (vec_id, embedding). Up to `block` queries travel to the
+    queries: (qid, embedding); vectors: (vec_id, embedding) and columns to carry along. Up to `block` queries travel to the
     tasks that hold the vectors, which stay where they are. More queries are cut into blocks that
     meet blocks of vectors pair by pair, so no task ever holds more than one block of each. Every
     task emits at most k rows per query.
     """
-    schema = "qid bigint, vec_id bigint, score double"
+    cols = ["vec_id", *(carry or [])]
+    vectors = vectors.select(*cols, "embedding")
+    names = [*cols, "qid", "score"]
+    types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields} | {"qid": "bigint", "score": "double"}
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
     head = queries.select("qid", "embedding").limit(block + 1).toPandas()
     if len(head) == 0:
         return queries.sparkSession.createDataFrame([], schema + ", rank bigint")
@@ -67,32 +71,30 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.ROUTE_DEP
             for b in batches:
                 if len(b) == 0:
                     continue
-                part = _block_best(qids, q, b["vec_id"].to_numpy(), _unit(b["embedding"]), k, threshold)
-                if best is not None:
-                    part = pd.concat([best, part])
-                best = _best(part["qid"].to_numpy(), part["vec_id"].to_numpy(), part["score"].to_numpy(), k, threshold)
+                part = _block_best(qids, q, b, k, threshold)
+                best = part if best is None else _best(pd.concat([best, part]), k)
             if best is not None:
-                yield best
+                yield best[names]
 
-        found = vectors.select("vec_id", "embedding").mapInPandas(scan, schema)
+        found = vectors.mapInPandas(scan, schema)
     else:
-        found = _block_join(queries, vectors, k, threshold, block, schema)
+        found = _block_join(queries, vectors, k, threshold, block, names, schema)
     return top_ranked(found, ["vec_id"], k).withColumn("score", F.round("score", 4))
 
 
-def _block_join(queries, vectors, k, threshold, block, schema) -> DataFrame:
+def _block_join(queries, vectors, k, threshold, block, names, schema) -> DataFrame:
     n_q = -(-queries.count() // block) * 2
     n_v = -(-vectors.count() // VECTOR_BLOCK) * 2
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     left = queries.select("qid", "embedding", bucket("qid", n_q).alias("qb"), every(n_v).alias("vb"))
-    right = vectors.select("vec_id", "embedding", bucket("vec_id", n_v).alias("vb"), every(n_q).alias("qb"))
+    right = vectors.select("*", bucket("vec_id", n_v).alias("vb"), every(n_q).alias("qb"))
 
     def meet(lq: pd.DataFrame, rv: pd.DataFrame) -> pd.DataFrame:
         if len(lq) == 0 or len(rv) == 0:
-            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-        return _block_best(lq["qid"].to_numpy(), _unit(lq["embedding"]), rv["vec_id"].to_numpy(),
-                           _unit(rv["embedding"]), k, threshold)
+            return pd.DataFrame({n: [] for n in names})
+        stored = rv.drop(columns=["qb", "vb"])
+        return _block_best(lq["qid"].to_numpy(), _unit(lq["embedding"]), stored, k, threshold)[names]
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)
 

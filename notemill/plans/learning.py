@@ -162,6 +162,13 @@ def _reached(spark, sf) -> DataFrame:
     return ss.answered(b.sessions(spark, sf), _graded(spark, sf))
 
 
+def _walked(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, their reached questions and the outcome of every attempt."""
+    sessions, rows = b.sessions(spark, sf), _graded(spark, sf)
+    reached = ss.answered(sessions, rows)
+    return sessions, reached, ss.classify(sessions, rows, reached)
+
+
 @query("normalize_answer", sql(r"""
 SELECT conv_id, turn, lower(regexp_replace(text, '[.,\s]', '', 'g')) AS norm FROM conversations"""))
 def normalize_answer(spark, sf):
@@ -244,8 +251,7 @@ LEFT JOIN (SELECT session_id, count(*) FILTER (WHERE outcome = 'illegal') AS n_i
 
 @query("session_fold", sql(FOLDED, "outcomes", "scores"))
 def session_fold(spark, sf):
-    rows, reached = _graded(spark, sf), _reached(spark, sf)
-    return ss.fold_sessions(b.sessions(spark, sf), reached, ss.classify(rows, reached))
+    return ss.fold_sessions(*_walked(spark, sf))
 
 
 @query("stream_session_fold", sql("SELECT session_id, turn, question_no, CAST(attempt_no AS BIGINT) AS attempt_no, outcome FROM outcomes", "outcomes"))
@@ -315,9 +321,9 @@ FROM sessions s LEFT JOIN (SELECT a.session_id, count(*) AS n FROM outcomes a JO
   WHERE outcome = 'accepted' AND (b.course <> 'en' OR attempt_no = 1) GROUP BY a.session_id) o USING (session_id)""", "outcomes"))
 def save_sessions(spark, sf):
     """Stored sessions, of which one course is saved again with its first attempts only."""
-    rows = _graded(spark, sf)
-    made = ss.classify(rows, _reached(spark, sf)).where("outcome = 'accepted'")
-    attempts = made.join(b.sessions(spark, sf).select("session_id", "course"), "session_id").select(
+    sessions, _, outcomes = _walked(spark, sf)
+    made = outcomes.where("outcome = 'accepted'")
+    attempts = made.join(sessions.select("session_id", "course"), "session_id").select(
         "session_id", "course", F.concat(F.lit("q"), F.col("question_no").cast("string")).alias("question_id"),
         F.col("attempt_no").alias("attempt_count"), F.col("norm").alias("answer_normalized"), "correct", "feedback")
     again = _session_table(spark, sf, "second").where("course = 'en'").withColumns(
@@ -340,15 +346,15 @@ def session_lookup(spark, sf):
 
 def _nested(spark, sf) -> DataFrame:
     """Session rows with nested questions, of which a session has at most two."""
-    reached = _reached(spark, sf)
+    sessions, reached, outcomes = _walked(spark, sf)
     tries = (F.col("turn_1").isNotNull()).cast("bigint") + (F.col("turn_2").isNotNull()).cast("bigint")
     verdict = F.coalesce("correct_2", "correct_1")
     texts = b.attempts(spark, sf).groupBy("session_id", "question_no").agg(F.min("reference").alias("answer"))
     qs = reached.join(texts, ["session_id", "question_no"], "left").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(
         F.concat(F.lit("q"), F.col("question_no").cast("string")).alias("id"), F.lit("?").alias("question"), F.lit("example").alias("type"),
         "answer", tries.alias("attempt_count"), verdict.alias("correct")))).alias("questions"))
-    fold = ss.fold_sessions(b.sessions(spark, sf), reached, ss.classify(_graded(spark, sf), reached))
-    rows = b.sessions(spark, sf).select("session_id", "course", "topic", "explanation", "n_questions")
+    fold = ss.fold_sessions(sessions, reached, outcomes)
+    rows = sessions.select("session_id", "course", "topic", "explanation", "n_questions")
     rows = rows.join(fold.select("session_id", "state", "score"), "session_id").join(qs, "session_id", "left")
     at = F.greatest(F.coalesce(F.size("questions"), F.lit(0)) - 1, F.lit(0)).cast("bigint")
     return rows.withColumn("current_index", F.when(F.size("questions") > 0, at).otherwise(0))

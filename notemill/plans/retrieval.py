@@ -113,8 +113,7 @@ def vector_threshold(spark, sf):
 
 def _routes(spark, sf) -> DataFrame:
     words = bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf))
-    placed = b.chunk_vectors(spark, sf)
-    near = vec.cosine_topk(b.vector_queries(spark, sf), placed).join(placed.select("vec_id", *KEY), "vec_id")
+    near = vec.cosine_topk(b.vector_queries(spark, sf), b.chunk_vectors(spark, sf), carry=KEY)
     return fuse.route_union(near, words)
 
 

@@ -26,7 +26,7 @@ def stream_pages(pages: DataFrame, prepare, order: str, out: str) -> DataFrame:
         kept = earlier_batches(s, f"{out}/kept", rows.schema, batch_id)
         fresh = rows
         for k in names:
-            fresh = join_groups(fresh, kept.select(k), [k], "left_anti", [order])
+            fresh = join_groups(fresh, kept.select(k), [k], "left_anti", [order], probe=kept.select(k))
         judged = greedy_dedup(fresh, order).where("kept").select(rows.columns)
         put_batch(judged, f"{out}/kept", batch_id)
 
