@@ -17,12 +17,13 @@ def norm_answer(c: Column) -> Column:
 
 def char_ngrams(c: Column, n: int = 2) -> Column:
     """Distinct character n-grams; a shorter text is its own gram, an empty one has none."""
-    grams = lambda t: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))),
-        lambda i: F.substring(t, i, F.lit(n)),
-    ))
-    empty = F.array().cast("array<string>")
-    return let(c, lambda t: F.when(F.length(t) > 0, grams(t)).otherwise(empty))
+    whole = lambda t: F.filter(F.array(t), lambda x: x != "")
+    return let(c, lambda t: F.when(F.length(t) >= n, F.array_distinct(windows(t, n))).otherwise(whole(t)))
+
+
+def windows(text: Column, n: int) -> Column:
+    """All substrings of length n, by a look-ahead at every position (linear in the text)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def coverage(answer: Column, reference: Column) -> Column:

@@ -1,13 +1,19 @@
 """BM25 over a whole batch of questions.
 
-Chunks are hashed by chunk key once, so counting terms and adding up scores per chunk need no
-further shuffle; only each partition's best k chunks per question travel to the final ranking.
-A frequent term is spread over all partitions because nothing is grouped by term alone without
-map-side counting.
+Chunks stay where they are, or are hashed by chunk key once; counting terms and adding up scores
+per chunk need no further shuffle, and only each partition's best k chunks per question travel to
+the final ranking. A frequent term is spread over all partitions because nothing is grouped by
+term alone without map-side counting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,9 @@ from ..functions import fixed
 from ..functions.text import tokens
 from .sizing import fits
 
+MAX_TERMS = 200_000  # (question, term) pairs that travel to every task
+CELLS = 1_000_000  # chunk times question scores held at once
+
 
 def query_terms(queries: DataFrame, keep: tuple[str, ...] = ("qid",), text: str = "question") -> DataFrame:
     """One row per (question, term) with the term's count in the question."""
@@ -52,6 +61,14 @@ def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def with_stats(rows: DataFrame, toks: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """Add n_chunks and avgdl of the row's scope."""
+    stats = corpus_stats(toks, scope)
+    if scope:
+        return rows.join(stats, list(scope))
+    return rows.withColumns({"n_chunks": stats.select("n_chunks").scalar(), "avgdl": stats.select("avgdl").scalar()})
+
+
 def bm25_scores(queries: DataFrame, chunks: DataFrame, key: list[str], scope: tuple[str, ...] = ()) -> DataFrame:
     """Score of every (question, chunk) pair that shares a term; df and mean length per scope."""
     terms = query_terms(queries, ("qid", *scope))
@@ -59,15 +76,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, key: list[str], scope: tu
     vocab = small(terms.select("term").distinct())
     toks = tokenized(chunks, key, scope)
     posts = term_postings(toks, key, scope, vocab)
-    stats = corpus_stats(toks, scope)
-    weights = terms.join(doc_frequency(posts, scope), [*scope, "term"])
-    if scope:
-        weights = weights.join(stats, list(scope))
-    else:
-        weights = weights.withColumns(
-            {"n_chunks": stats.select("n_chunks").scalar(), "avgdl": stats.select("avgdl").scalar()}
-        )
-    weights = weights.select(
+    weights = with_stats(terms.join(doc_frequency(posts, scope), [*scope, "term"]), toks, scope).select(
         "qid", *scope, "term", "qtf", "avgdl", idf(F.col("n_chunks"), F.col("df")).alias("idf")
     )
     hits = posts.join(small(weights), [*scope, "term"])
@@ -78,15 +87,117 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, key: list[str], scope: tu
 
 def top_ranked(scored: DataFrame, key: list[str], k: int, score: str = "score") -> DataFrame:
     """Best k rows per question: rounded score descending, corpus order on ties; 1-based rank."""
-    by_score = Window.partitionBy("qid").orderBy(F.round(score, 9).desc(), *key)
+    # billionths as a whole number: the same order as round(score, 9), and cheap to compare
+    billionths = (F.col(score) * 1e9 + 0.5).cast("bigint")
+    by_score = Window.partitionBy("qid").orderBy(billionths.desc(), *key)
     return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).withColumn(
         "rank", F.col("rank").cast("bigint")
     )
 
 
+def question_weights(terms: DataFrame, toks: DataFrame, vocab: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """qid, term, weight (idf times count in the question) and the mean chunk length of its scope.
+
+    Each chunk names a term once here, so counting chunks per term needs no per-chunk grouping.
+    """
+    named = toks.select(*scope, F.explode(F.array_distinct("toks")).alias("term")).join(vocab, "term", "left_semi")
+    df = named.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+    rows = with_stats(terms.join(df, [*scope, "term"]), toks, scope)
+    return rows.select("qid", *scope, "term", (idf(F.col("n_chunks"), F.col("df")) * F.col("qtf")).alias("weight"), "avgdl")
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = fixed.ROUTE_DEPTH, key: list[str] | None = None,
               scope: tuple[str, ...] = ()) -> DataFrame:
-    """Keyword route: qid, chunk key, score rounded to 4 decimals after ranking, rank."""
+    """Keyword route: qid, chunk key, score rounded to 4 decimals after ranking, rank.
+
+    The terms of up to MAX_TERMS (question, term) pairs travel to the chunks, which are scored
+    where they are, and each task emits at most k chunks per question: nothing of the size of the
+    chunk table is shuffled. More questions than that are scored by joins (`bm25_scores`).
+    """
     key = key or ["doc_id", "pos"]
-    top = top_ranked(bm25_scores(queries, chunks, key, scope), key, k)
-    return top.withColumn("score", F.round("score", 4))
+    terms = query_terms(queries, ("qid", *scope))
+    if fits(terms, MAX_TERMS):
+        found = _scan(terms, chunks, k, key, scope)
+    else:
+        found = bm25_scores(queries, chunks, key, scope)
+    return top_ranked(found, key, k).withColumn("score", F.round("score", 4))
+
+
+def _scan(terms: DataFrame, chunks: DataFrame, k: int, key: list[str], scope: tuple[str, ...]) -> DataFrame:
+    toks = chunks.select(*key, *scope, tokens(F.col("content")).alias("toks"))
+    vocab = F.broadcast(terms.select("term").distinct())
+    w = question_weights(terms, toks, vocab, scope).toPandas()  # at most MAX_TERMS rows
+    schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in key) + ", qid bigint, score double"
+    if len(w) == 0:
+        return chunks.sparkSession.createDataFrame([], schema)
+    shared = chunks.sparkSession.sparkContext.broadcast(QuestionBlock(w, scope))
+    if scope:
+        toks = toks.join(F.broadcast(terms.select(*scope).distinct()), list(scope), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            part = shared.value.best(batch, k, key, scope)
+            best = part if best is None else _keep(pd.concat([best, part]), k, key)
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best[[*key, "qid", "score"]], preserve_index=False)
+
+    return toks.mapInArrow(run, schema)
+
+
+def _keep(found: pd.DataFrame, k: int, key: list[str]) -> pd.DataFrame:
+    """Best k rows per question in ranking order."""
+    found = found.assign(_s=found["score"].round(9)).sort_values(["qid", "_s", *key], ascending=[True, False, *[True] * len(key)])
+    return found.drop(columns="_s").groupby("qid", sort=False).head(k)
+
+
+class QuestionBlock:
+    """Weights of a bounded set of questions, arranged by term for scoring batches of chunks."""
+
+    def __init__(self, w: pd.DataFrame, scope: tuple[str, ...]):
+        self.qids, q = np.unique(w["qid"].to_numpy(), return_inverse=True)
+        names, t = np.unique(w["term"].to_numpy(), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        self.names, self.q, self.weight = names.tolist(), q[order], w["weight"].to_numpy()[order]
+        self.count = np.bincount(t, minlength=len(names))
+        self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]])
+        first = w.drop_duplicates("qid").set_index("qid").loc[self.qids]
+        self.avgdl = np.maximum(first["avgdl"].to_numpy(dtype=float), 1e-6)
+        self.scope = first[scope[0]].to_numpy() if scope else None
+
+    def best(self, batch: pa.RecordBatch, k: int, key: list[str], scope: tuple[str, ...]) -> pd.DataFrame:
+        """Best k chunks of the batch for every question."""
+        step = max(1, CELLS // len(self.qids))
+        keys = pd.DataFrame({c: batch.column(c).to_numpy(zero_copy_only=False) for c in key})
+        asked = batch.column(scope[0]).to_numpy(zero_copy_only=False) if scope else None
+        lists = batch.column("toks")
+        known = pc.index_in(lists.flatten(), value_set=pa.array(self.names, lists.type.value_type))
+        known = known.fill_null(-1).to_numpy(zero_copy_only=False)
+        dl = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(dl)
+        out = []
+        for a in range(0, len(keys), step):
+            z = min(a + step, len(keys))
+            ids = known[ends[a] - dl[a]: ends[z - 1]]
+            row = np.repeat(np.arange(z - a), dl[a:z])
+            scores = self._scores(row[ids >= 0], ids[ids >= 0], dl[a:z])
+            if asked is not None:
+                scores = np.where(asked[a:z, None] == self.scope[None, :], scores, 0.0)
+            if z - a > k:
+                floor = np.partition(scores, z - a - k, axis=0)[z - a - k] - 1e-8
+                c, q = np.nonzero((scores > 0) & (scores >= floor))
+            else:
+                c, q = np.nonzero(scores > 0)
+            out.append(keys.iloc[a:z].iloc[c].reset_index(drop=True).assign(qid=self.qids[q], score=scores[c, q]))
+        return _keep(pd.concat(out), k, key)
+
+    def _scores(self, row: np.ndarray, term: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        pairs, tf = np.unique(row * len(self.names) + term, return_counts=True)
+        row, term = pairs // len(self.names), pairs % len(self.names)
+        n = self.count[term]
+        at = np.repeat(self.start[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        row, tf, q = np.repeat(row, n), np.repeat(tf, n), self.q[at]
+        norm = 1 - fixed.BM25_B + fixed.BM25_B * dl[row] / self.avgdl[q]
+        part = self.weight[at] * tf * (fixed.BM25_K1 + 1) / (tf + fixed.BM25_K1 * norm)
+        cells = np.bincount(row * len(self.qids) + q, weights=part, minlength=len(dl) * len(self.qids))
+        return cells.reshape(len(dl), len(self.qids))

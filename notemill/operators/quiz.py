@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.learning import concept_question
+from ..functions.learning import concept_question, windows
 from ..functions.text import strip
 from .sizing import BROADCAST_ROWS, join_groups
 
@@ -107,8 +107,7 @@ def prefer_examples(pool: DataFrame, n: int, group: str = "session_id", order: s
 
 def _grams(text: Column, size: int) -> Column:
     """Distinct substrings of one length."""
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(every)).otherwise(_no_tags())
+    return F.array_distinct(windows(text, size))
 
 
 def _mentions(topics: DataFrame, pool: DataFrame) -> DataFrame:
