@@ -66,7 +66,7 @@ def with_stats(rows: DataFrame, toks: DataFrame, scope: tuple[str, ...]) -> Data
     stats = corpus_stats(toks, scope)
     if scope:
         return rows.join(stats, list(scope))
-    return rows.withColumns({"n_chunks": stats.select("n_chunks").scalar(), "avgdl": stats.select("avgdl").scalar()})
+    return rows.withColumn("_s", stats.select(F.struct("n_chunks", "avgdl")).scalar()).select("*", "_s.*").drop("_s")
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame, key: list[str], scope: tuple[str, ...] = ()) -> DataFrame:
@@ -95,15 +95,16 @@ def top_ranked(scored: DataFrame, key: list[str], k: int, score: str = "score")
     )
 
 
-def question_weights(terms: DataFrame, toks: DataFrame, vocab: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """qid, term, weight (idf times count in the question) and the mean chunk length of its scope.
+def scope_counts(terms: DataFrame, toks: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks and total chunk length per term of the questions; the row of the empty term counts all chunks.
 
-    Each chunk names a term once here, so counting chunks per term needs no per-chunk grouping.
+    One pass over the tokens: a chunk names each of its terms once, so no grouping per chunk is needed.
     """
-    named = toks.select(*scope, F.explode(F.array_distinct("toks")).alias("term")).join(vocab, "term", "left_semi")
-    df = named.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    rows = with_stats(terms.join(df, [*scope, "term"]), toks, scope)
-    return rows.select("qid", *scope, "term", (idf(F.col("n_chunks"), F.col("df")) * F.col("qtf")).alias("weight"), "avgdl")
+    named = F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit("")))).alias("term")
+    rows = toks.select(*scope, F.size("toks").cast("bigint").alias("dl"), named)
+    asked = terms.select("term").unionByName(toks.sparkSession.sql("SELECT '' AS term")).distinct()
+    rows = rows.join(F.broadcast(asked), "term", "left_semi")
+    return rows.groupBy(*scope, "term").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = fixed.ROUTE_DEPTH, key: list[str] | None = None,
@@ -125,8 +126,8 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = fixed.ROUTE_DEPTH,
 
 def _scan(terms: DataFrame, chunks: DataFrame, k: int, key: list[str], scope: tuple[str, ...]) -> DataFrame:
     toks = chunks.select(*key, *scope, tokens(F.col("content")).alias("toks"))
-    vocab = F.broadcast(terms.select("term").distinct())
-    w = question_weights(terms, toks, vocab, scope).toPandas()  # at most MAX_TERMS rows
+    counts = scope_counts(terms, toks, scope).toPandas()  # one row per question term and scope
+    w = _weights(terms.toPandas(), counts, list(scope))
     schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in key) + ", qid bigint, score double"
     if len(w) == 0:
         return chunks.sparkSession.createDataFrame([], schema)
@@ -145,6 +146,15 @@ def _scan(terms: DataFrame, chunks: DataFrame, k: int, key: list[str], scope: tu
     return toks.mapInArrow(run, schema)
 
 
+def _weights(terms: pd.DataFrame, counts: pd.DataFrame, scope: list[str]) -> pd.DataFrame:
+    """qid, term, weight (idf times count in the question) and the mean chunk length of its scope."""
+    every = counts[counts["term"] == ""].drop(columns="term").rename(columns={"n": "n_chunks"})
+    w = terms.merge(counts.drop(columns="total"), on=[*scope, "term"])
+    w = w.merge(every, on=scope) if scope else w.merge(every, how="cross")
+    w["weight"] = np.log(1 + (w["n_chunks"] - w["n"] + 0.5) / (w["n"] + 0.5)) * w["qtf"]
+    return w.assign(avgdl=w["total"] / w["n_chunks"])
+
+
 def _keep(found: pd.DataFrame, k: int, key: list[str]) -> pd.DataFrame:
     """Best k rows per question in ranking order."""
     found = found.assign(_s=found["score"].round(9)).sort_values(["qid", "_s", *key], ascending=[True, False, *[True] * len(key)])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .sizing import join_groups
+from .sizing import fits, join_groups
 
 # Why a page was skipped, by key, in order of precedence.
 PAGE_KEYS = (
@@ -39,8 +39,9 @@ def kept_rows(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
         winners = undecided.join(_first_everywhere(undecided, order, keys), order, "left_semi").checkpoint()
         kept = winners if kept is None else kept.unionByName(winners)
         rest = undecided.join(winners.select(order), order, "left_anti")
+        few = fits(winners)
         for k in keys:
-            rest = join_groups(rest, winners.select(k), [k], "left_anti", [order], probe=winners)
+            rest = join_groups(rest, winners.select(k), [k], "left_anti", [order], probe=few)
         undecided = rest.checkpoint()
     return rows.select(order, *keys).limit(0) if kept is None else kept
 
@@ -53,11 +54,12 @@ def greedy_dedup(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:
     names = [k for k, _ in keys]
     kept = kept_rows(rows, order, names)
     out = rows.select("*")
+    few = fits(kept)
     reason = F.when(F.lit(False), F.lit(""))
     mine = F.lit(False)
     for k, why in keys:
         owner = f"_{k}_owner"
-        out = join_groups(out, kept.select(k, F.col(order).alias(owner)), [k], "left", [order], probe=kept)
+        out = join_groups(out, kept.select(k, F.col(order).alias(owner)), [k], "left", [order], probe=few)
         reason = reason.when(F.col(owner) < F.col(order), why)
         mine = F.col(owner) == F.col(order)
     owners = [f"_{k}_owner" for k in names]

@@ -25,16 +25,16 @@ def join_groups(
     on: list[str],
     how: str,
     spread: list[str],
-    probe: DataFrame | None = None,
+    probe: DataFrame | bool | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join many rows to few rows per key without sending a hot key to one task.
 
     With a probe (a cheap table that has at least as many rows as groups) of checked size, groups
-    are broadcast. Otherwise both sides are salted: rows by a hash of their `spread` columns,
+    are broadcast; a check made before is passed as its outcome. Otherwise both sides are salted: rows by a hash of their `spread` columns,
     groups by copying each row to every salt.
     """
-    if probe is not None and fits(probe, max_rows):
+    if probe if isinstance(probe, bool) else probe is not None and fits(probe, max_rows):
         return rows.join(F.broadcast(groups), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
