@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, markup
 from ..functions import text as tx
-from .dedup import greedy_dedup
+from .dedup import decide, greedy_dedup
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -39,12 +39,11 @@ def staged(pages: DataFrame, order: str) -> DataFrame:
     """Every entry with its stage flags: success, cleaned, kept and first_name (first of its file name)."""
     ok = F.coalesce("success", F.lit(False))
     rows = clean_pages(pages).withColumn("cleaned", ok & (F.length("clean") >= fixed.MIN_PAGE_CHARS))
-    keep = [order, "course", "title", "url_key", "title_key", "content_key"]
-    judged = greedy_dedup(with_keys(rows.where("cleaned")).select(*keep), order)
-    named = first_per_name(judged.where("kept").withColumn("filename", filename(F.col("title"))), order)
-    judged = judged.join(named.select(order, F.lit(True).alias("first_name")), order, "left")
-    flags = judged.select(order, "kept", "reason", F.coalesce("first_name", F.lit(False)).alias("first_name"))
-    return rows.drop("html", "clean").join(flags, order, "left")
+    judged = decide(with_keys(rows.where("cleaned")), order)
+    rows = rows.drop("html", "clean").join(judged, order, "left")
+    named = rows.where("kept").select(order, "course", filename(F.col("title")).alias("filename"))
+    firsts = first_per_name(named, order).select(order, F.lit(True).alias("first_name"))
+    return rows.join(firsts, order, "left").withColumn("first_name", F.coalesce("first_name", F.lit(False)))
 
 
 def funnel(stages: DataFrame) -> DataFrame:

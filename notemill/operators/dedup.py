@@ -30,37 +30,34 @@ def _first_everywhere(undecided: DataFrame, order: str, keys: list[str]) -> Data
     return every.where(F.col("n") == len(keys)).select(order)
 
 
-def kept_rows(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
-    """Order and key columns of the rows that survive. Loops until every row is decided."""
+def decide(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:
+    """(order, kept, reason) for every row; loops until every row is decided.
+
+    The key columns are computed once and stored. At most one kept row has a given key value, so
+    the reason of a dropped row is a lookup per key, in order of precedence.
+    """
     shared_folder(rows.sparkSession)
-    undecided = rows.select(order, *keys).checkpoint()
-    kept: DataFrame | None = None
+    names = [k for k, _ in keys]
+    every = rows.select(order, *names).checkpoint()
+    undecided, kept = every, every.limit(0)
     while not undecided.isEmpty():
-        winners = undecided.join(_first_everywhere(undecided, order, keys), order, "left_semi").checkpoint()
-        kept = winners if kept is None else kept.unionByName(winners)
-        rest = undecided.join(winners.select(order), order, "left_anti")
+        winners = undecided.join(_first_everywhere(undecided, order, names), order, "left_semi").checkpoint()
         few = fits(winners)
-        for k in keys:
+        kept = kept.unionByName(winners)
+        rest = undecided.join(winners.select(order), order, "left_anti")
+        for k in names:
             rest = join_groups(rest, winners.select(k), [k], "left_anti", [order], probe=few)
         undecided = rest.checkpoint()
-    return rows.select(order, *keys).limit(0) if kept is None else kept
-
-
-def greedy_dedup(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:
-    """All rows with `kept` and, for dropped ones, the `reason` by key precedence.
-
-    At most one kept row has a given key value, so the reason is a lookup per key.
-    """
-    names = [k for k, _ in keys]
-    kept = kept_rows(rows, order, names)
-    out = rows.select("*")
     few = fits(kept)
-    reason = F.when(F.lit(False), F.lit(""))
-    mine = F.lit(False)
+    reason, mine = F.when(F.lit(False), F.lit("")), F.lit(False)
     for k, why in keys:
         owner = f"_{k}_owner"
-        out = join_groups(out, kept.select(k, F.col(order).alias(owner)), [k], "left", [order], probe=few)
+        every = join_groups(every, kept.select(k, F.col(order).alias(owner)), [k], "left", [order], probe=few)
         reason = reason.when(F.col(owner) < F.col(order), why)
         mine = F.col(owner) == F.col(order)
-    owners = [f"_{k}_owner" for k in names]
-    return out.withColumn("reason", reason).withColumn("kept", F.coalesce(mine, F.lit(False))).drop(*owners)
+    return every.select(order, F.coalesce(mine, F.lit(False)).alias("kept"), reason.alias("reason"))
+
+
+def greedy_dedup(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:
+    """All rows with `kept` and, for dropped ones, the `reason` by key precedence."""
+    return rows.join(decide(rows, order, keys), order)

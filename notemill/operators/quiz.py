@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.learning import concept_question, windows
 from ..functions.text import strip
+from ..session import shared_folder
 from .sizing import BROADCAST_ROWS, join_groups
 
 QUESTION = ["course", "question", "type", "answer", "source_file", "source_title", "tags", "difficulty"]
@@ -138,11 +139,13 @@ def session_questions(sessions: DataFrame, pool: DataFrame, n: int, seed: str) -
     best m questions of each topic contain the best m of each session; nothing else is paired.
     """
     m = max(n * 3, 6)
-    keyed = pool.withColumn("_key", F.struct(sample_key(seed).alias("h"), "type", "source_file"))
+    shared_folder(pool.sparkSession)
+    # the pool is read by each of the steps below, so it is computed and stored once
+    keyed = pool.withColumn("_key", F.struct(sample_key(seed).alias("h"), "type", "source_file")).checkpoint()
     topics = sessions.select("course", F.explode("topics").alias("topic")).distinct()
     tagged = keyed.withColumn("topic", F.explode("tags"))
     tagged = join_groups(tagged, topics, ["course", "topic"], "left_semi", ["question"], probe=topics)
-    named = join_groups(keyed, _mentions(topics, pool), ["course", "question"], "inner", ["source_file", "type"])
+    named = join_groups(keyed, _mentions(topics, keyed), ["course", "question"], "inner", ["source_file", "type"])
     cols = [*QUESTION, "_key", "topic"]
     best = Window.partitionBy("course", "topic").orderBy("_key", "question")
     matched = tagged.select(cols).unionByName(named.select(cols)).dropDuplicates(["course", "topic", "_key", "question"])

@@ -95,8 +95,7 @@ def content_fingerprint(spark, sf):
 
 def _judged(spark, sf) -> DataFrame:
     rows = crawl.clean_pages(b.feed(spark, sf)).where("success and length(clean) >= 100")
-    keyed = crawl.with_keys(rows).select("entry_no", "course", "title", "url_key", "title_key", "content_key")
-    return dedup.greedy_dedup(keyed, "entry_no")
+    return dedup.decide(crawl.with_keys(rows), "entry_no")
 
 
 @query("greedy_dedup", sql("""
