@@ -26,8 +26,8 @@ PAGE_KEYS = (
 def _first_everywhere(undecided: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """Order values of rows that are first in each of their key groups; minima combine map-side."""
     firsts = [undecided.groupBy(k).agg(F.min(order).alias(order)).select(order) for k in keys]
-    every = reduce(DataFrame.unionByName, firsts).groupBy(order).agg(F.count("*").alias("n"))
-    return every.where(F.col("n") == len(keys)).select(order)
+    every = reduce(DataFrame.unionByName, firsts).groupBy(order).agg(F.count("*").alias("_n_keys"))
+    return every.where(F.col("_n_keys") == len(keys)).select(order)
 
 
 def decide(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:

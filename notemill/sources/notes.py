@@ -25,7 +25,10 @@ def _below(root: str) -> Column:
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """All `*.md` files below root: file, rel, text, meta, tags, body and the path sort key."""
+    """All `*.md` files below root: file, rel, text, meta, tags, body and the path sort key.
+
+    Spark's own listing leaves out names that start with `_` or `.`.
+    """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = files.select(_below(root).alias("rel"), F.col("value").alias("text"))
     rows = rows.withColumn("file", F.concat(F.lit("knowledge/"), "rel")).withColumn("path_key", F.split("rel", "/"))

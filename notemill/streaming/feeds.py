@@ -27,7 +27,7 @@ def earlier_batches(spark: SparkSession, table: str, schema: StructType, batch_i
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    full = StructType(list(schema.fields)).add("batch", "bigint")
+    full = StructType(list(schema.fields)).add("batch", "long")
     rows = spark.read.schema(full).parquet(table)
     if batch_id is not None:
         rows = rows.where(F.col("batch") < batch_id)
