@@ -1,4 +1,8 @@
-"""Retrieval quality: recall, precision and F1 per course and overall."""
+"""Retrieval quality: recall, precision and F1 per course and overall.
+
+questions: course, qid, qpos, n_relevant, latency_ms; labels: one row (qid, file) per relevant
+file, so a question with very many of them is not one large row.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,13 @@ from ..functions.learning import f1
 
 
 def labeled_only(questions: DataFrame) -> DataFrame:
-    return questions.where(F.size("relevant") > 0)
+    return questions.where(F.col("n_relevant") > 0)
+
+
+def from_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions and labels of evaluation sets with a `relevant` array (rows of qid, course, ...)."""
+    questions = sets.withColumn("n_relevant", F.size("relevant").cast("bigint")).drop("relevant")
+    return questions, sets.select("qid", F.explode("relevant").alias("file"))
 
 
 def smoke_subset(questions: DataFrame, n: int) -> DataFrame:
@@ -27,20 +37,19 @@ def top_k_slices(results: DataFrame, ks: list[int]) -> DataFrame:
     return results.withColumn("k", F.explode(sizes))
 
 
-def hits(results: DataFrame, questions: DataFrame) -> DataFrame:
+def hits(results: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct relevant files found per question and k."""
-    wanted = questions.select("qid", F.explode("relevant").alias("file")).distinct()
-    found = results.join(wanted, ["qid", "file"], "left_semi")
+    found = results.join(labels, ["qid", "file"], "left_semi")
     return found.groupBy("qid", "k").agg(F.countDistinct("file").alias("n_hits"))
 
 
-def scored(results: DataFrame, questions: DataFrame, ks: list[int]) -> DataFrame:
+def scored(results: DataFrame, questions: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
     """Recall and precision of every labeled question at every k; precision is over returned rows."""
     sliced = top_k_slices(results, ks)
     returned = sliced.groupBy("qid", "k").agg(F.count("*").alias("n_returned"))
     every = F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])).alias("k")
-    asked = labeled_only(questions).select("course", "qid", "latency_ms", F.size("relevant").alias("n_relevant"), every)
-    rows = asked.join(returned, ["qid", "k"], "left").join(hits(sliced, questions), ["qid", "k"], "left")
+    asked = labeled_only(questions).select("course", "qid", "latency_ms", "n_relevant", every)
+    rows = asked.join(returned, ["qid", "k"], "left").join(hits(sliced, labels), ["qid", "k"], "left")
     n_hits, n_returned = F.coalesce("n_hits", F.lit(0)), F.coalesce("n_returned", F.lit(0))
     return rows.select(
         "course", "qid", "k", "latency_ms",
@@ -49,12 +58,9 @@ def scored(results: DataFrame, questions: DataFrame, ks: list[int]) -> DataFrame
     )
 
 
-def eval_metrics(results: DataFrame, questions: DataFrame, ks: list[int]) -> DataFrame:
-    """Macro metrics per course and k; results: (qid, rank, file) from any retrieval.
-
-    questions: (course, qid, relevant, latency_ms).
-    """
-    means = scored(results, questions, ks).groupBy("course", "k").agg(
+def eval_metrics(results: DataFrame, questions: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
+    """Macro metrics per course and k; results: (qid, rank, file) from any retrieval."""
+    means = scored(results, questions, labels, ks).groupBy("course", "k").agg(
         F.avg("recall").alias("r"), F.avg("precision").alias("p"), F.avg("latency_ms").alias("l"),
         F.count("*").alias("labeled_questions"),
     )

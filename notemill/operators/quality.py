@@ -26,10 +26,9 @@ def nonempty(df: DataFrame, column: str = "content") -> DataFrame:
     return df.where(F.col(column).isNull() | (strip(F.col(column)) == ""))
 
 
-def eval_refs(questions: DataFrame, notes: DataFrame) -> DataFrame:
+def eval_refs(labels: DataFrame, notes: DataFrame) -> DataFrame:
     """Labeled files that do not exist."""
-    wanted = questions.select("qid", F.explode("relevant").alias("file"))
-    return wanted.join(notes.select("file"), "file", "left_anti")
+    return labels.join(notes.select("file"), "file", "left_anti")
 
 
 def required_meta(parsed: DataFrame, fields: tuple[str, ...] = ("title", "course", "difficulty", "updated")) -> DataFrame:

@@ -28,9 +28,9 @@ def example_questions(pairs: DataFrame) -> DataFrame:
 
 def retrieval_questions(evals: DataFrame) -> DataFrame:
     """Labeled evaluation questions, pointing at their first relevant file."""
-    return evals.where(F.size("relevant") > 0).select(
+    return evals.where(F.col("first_file").isNotNull()).select(
         "course", "question", F.lit("retrieval").alias("type"), F.lit("").alias("answer"),
-        F.get("relevant", F.lit(0)).alias("source_file"), F.lit("").alias("source_title"),
+        F.col("first_file").alias("source_file"), F.lit("").alias("source_title"),
         _no_tags().alias("tags"), F.lit(fixed.DEFAULT_DIFFICULTY).alias("difficulty"),
     )
 

@@ -113,16 +113,23 @@ def quoted(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(items, "run").where(F.contains("text", "question")).select("qid", "doc_id", "file", "course").distinct()
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, file): the files that quote a question are the relevant ones."""
+    return quoted(spark, sf).select("qid", "file")
+
+
 def evals(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions with the files that quote them: course, qid, qpos, question, relevant, latency_ms."""
-    # an item is quoted by the few near copies of one document
+    """Questions with their number of relevant files and the first of them, which also gives the course."""
     per = quoted(spark, sf).groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "file"))), lambda x: x["file"]).alias("relevant"),
-        F.min_by("course", "doc_id").alias("course"))
-    rows = questions(spark, sf).join(per, "qid", "left")
-    return rows.select(
+        F.count("*").alias("n"), F.min_by("file", "doc_id").alias("first_file"), F.min_by("course", "doc_id").alias("course"))
+    return questions(spark, sf).join(per, "qid", "left").select(
         F.coalesce("course", F.lit("custom")).alias("course"), "qid", F.col("qid").alias("qpos"), "question",
-        F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"), F.lit(1.0).alias("latency_ms"))
+        F.coalesce("n", F.lit(0)).alias("n_relevant"), "first_file", F.lit(1.0).alias("latency_ms"))
+
+
+def blocks(df: DataFrame, *keys: str, rows: int = 500):
+    """Column that cuts rows into hash blocks of about `rows` rows, however many there are."""
+    return F.pmod(F.xxhash64(*keys), F.lit(max(1, df.count() // rows)))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

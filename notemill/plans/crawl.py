@@ -17,11 +17,10 @@ from .registry import query
 
 @query("scan_url_list", sql("SELECT url, '' AS topic, course, 0::BIGINT AS n_tags, '中等' AS difficulty FROM feed", "feed"))
 def scan_url_list(spark, sf):
-    """Entries written as JSON arrays and read back with defaults."""
+    """Entries written as JSON arrays of bounded size and read back with defaults."""
     folder = scratch(spark, "urls")
     rows = b.entries(spark, sf).select("url", "course")
-    # blocks of at most some hundred entries each, one JSON array per line and file part
-    lines = rows.groupBy(F.pmod(F.xxhash64("url"), F.lit(64)).alias("block")).agg(
+    lines = rows.groupBy(b.blocks(rows, "url").alias("block")).agg(
         F.to_json(F.collect_list(F.struct("url", "course"))).alias("json"))
     lines.select("json").write.text(folder)
     schema = "url string, topic string, course string, tags array<string>, difficulty string"

@@ -122,10 +122,10 @@ def merge_reviews(spark, sf):
 
 @query("import_review_json", sql(f"SELECT {FILE_TEXT} FROM state", "state"))
 def import_review_json(spark, sf):
-    """History files (one JSON map per course and weekday slot) imported into an empty table."""
+    """History files (JSON maps of bounded size) imported into an empty table."""
     rows = _by_file(_state(spark, sf))
     record = F.struct(*[F.col(c) for c in rows.columns])
-    slot = F.pmod(F.xxhash64("file"), F.lit(64))
+    slot = b.blocks(rows, "file")
     maps = rows.groupBy(slot.alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct("file", record))).alias("m"))
     history = maps.select(F.to_json("m").alias("json"))
     return st.import_reviews(history, rows.limit(0))

@@ -243,22 +243,24 @@ def _results(spark, sf) -> DataFrame:
 
 
 def _metrics(spark, sf) -> DataFrame:
-    return evaluate.eval_metrics(_results(spark, sf), b.evals(spark, sf), KS)
+    return evaluate.eval_metrics(_results(spark, sf), b.evals(spark, sf), b.labels(spark, sf), KS)
 
 
 @query("scan_eval_sets", sql("""
-SELECT course, question, array_to_string(relevant, '|') AS relevant FROM evals""", "evals"))
+SELECT course, question, unnest(relevant) AS file FROM evals UNION ALL SELECT course, question, NULL FROM evals WHERE len(relevant) = 0""", "evals"))
 def scan_eval_sets(spark, sf):
+    """Sets written in their file format and read back; a set is spread over files of bounded size."""
     folder = scratch(spark, "evalsets")
-    rows = b.evals(spark, sf).select("course", F.struct("qpos", "question", "relevant").alias("q"))
-    # writes the sets in their own file format, one JSON object per course
-    pairs = rows.groupBy("course").agg(F.array_sort(F.collect_list("q")).alias("qs"))
-    text = F.to_json(F.map_from_entries(F.transform("qs", lambda q: F.struct(q["question"], q["relevant"]))))
-    pairs.select(F.concat(F.lit("set-"), "course").alias("name"), text.alias("json")).write.partitionBy("name").text(folder)
-    found = st.parse_eval_sets(
-        spark.read.text(folder, wholetext=True).select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"name=set-([^/]+)/", 1).alias("course"), F.col("value").alias("json")))
-    return found.select("course", "question", F.array_join("relevant", "|").alias("relevant"))
+    rows = b.evals(spark, sf).select("course", "qid", "question").join(b.labels(spark, sf), "qid", "left")
+    rows = rows.withColumn("block", b.blocks(rows, "qid", "file"))
+    files = rows.groupBy("course", "block", "question").agg(F.collect_list("file").alias("files"))
+    sets = files.groupBy("course", "block").agg(F.collect_list(F.struct("question", "files")).alias("qs"))
+    sets = sets.select(F.concat_ws("-", "course", F.col("block").cast("string")).alias("name"), F.to_json(F.map_from_entries("qs")).alias("json"))
+    sets.write.partitionBy("name").text(folder)
+    path = F.col("_metadata.file_path")
+    found = st.parse_eval_sets(spark.read.text(folder, wholetext=True).select(
+        path.alias("set"), F.regexp_extract(path, r"name=([^/-]+)-", 1).alias("course"), F.col("value").alias("json")))
+    return found.select("course", "question", F.explode_outer("relevant").alias("file"))
 
 
 @query("known_courses", sql("""
@@ -271,7 +273,7 @@ def known_courses(spark, sf):
 @query("labeled_only", sql("""
 SELECT course, qid, CAST(len(relevant) AS BIGINT) AS n_relevant FROM evals WHERE len(relevant) > 0""", "evals"))
 def labeled_only(spark, sf):
-    return evaluate.labeled_only(b.evals(spark, sf)).select("course", "qid", F.size("relevant").cast("bigint").alias("n_relevant"))
+    return evaluate.labeled_only(b.evals(spark, sf)).select("course", "qid", "n_relevant")
 
 
 @query("smoke_subset", sql("""
@@ -287,14 +289,14 @@ def top_k_slices(spark, sf):
 
 @query("eval_hits", _eval_sql(f"SELECT qid, CAST(k AS BIGINT) AS k, n_hits FROM ({SCORED}) WHERE n_hits > 0"))
 def eval_hits(spark, sf):
-    return evaluate.hits(evaluate.top_k_slices(_results(spark, sf), KS), b.evals(spark, sf))
+    return evaluate.hits(evaluate.top_k_slices(_results(spark, sf), KS), b.labels(spark, sf))
 
 
 @query("f1", _eval_sql(f"""
 SELECT qid, CAST(k AS BIGINT) AS k, round(CASE WHEN r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END, 6) AS f1
 FROM (SELECT qid, k, n_hits / n_relevant AS r, n_hits / greatest(n_returned, 1) AS p FROM ({SCORED}))"""))
 def f1(spark, sf):
-    rows = evaluate.scored(_results(spark, sf), b.evals(spark, sf), KS)
+    rows = evaluate.scored(_results(spark, sf), b.evals(spark, sf), b.labels(spark, sf), KS)
     return rows.select("qid", "k", F.round(ln.f1(F.col("recall"), F.col("precision")), 6).alias("f1"))
 
 
@@ -313,7 +315,7 @@ def eval_summary(spark, sf):
     sql("", "bm25", "evals"), sql("", "found", "evals")))
 def evaluate_with(spark, sf):
     """The same evaluation over another retrieval: hybrid search."""
-    return evaluate.eval_metrics(_found(spark, sf).select("qid", "rank", "file"), b.evals(spark, sf), KS)
+    return evaluate.eval_metrics(_found(spark, sf).select("qid", "rank", "file"), b.evals(spark, sf), b.labels(spark, sf), KS)
 
 
 @query("write_eval_report", _eval_sql("""
@@ -342,7 +344,7 @@ WHERE e.file NOT IN (SELECT file FROM chunks)""", "evals", "chunks"))
 def dq_eval_refs(spark, sf):
     """Labeled files that are not in the index."""
     indexed = b.chunks(spark, sf).select("file").distinct()
-    return quality.eval_refs(b.evals(spark, sf), indexed).select("qid", "file")
+    return quality.eval_refs(b.labels(spark, sf), indexed).select("qid", "file")
 
 
 # ---- vector table ---------------------------------------------------------------------------

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.learning import norm_answer  # noqa: F401  (re-exported for job scripts)
 from .notes import _local_path
 
 REVIEW_SCHEMA = (
@@ -19,16 +18,17 @@ def read_eval_sets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """JSON objects question -> files, one per course file: course, qpos, question, relevant."""
     files = spark.read.text(paths, wholetext=True)
     stem = F.regexp_replace(F.substring_index(_local_path(F.col("_metadata.file_path")), "/", -1), r"\.json$", "")
-    return parse_eval_sets(files.select(F.lower(stem).alias("course"), F.col("value").alias("json")))
+    return parse_eval_sets(files.select(
+        F.col("_metadata.file_path").alias("set"), F.lower(stem).alias("course"), F.col("value").alias("json")))
 
 
 def parse_eval_sets(rows: DataFrame) -> DataFrame:
-    """Rows (course, json) to questions in file order; a repeated question keeps its last files."""
+    """Rows (set, course, json) to questions in file order; within a set a repeated question keeps its last files."""
     raw = F.from_json("json", "map<string,string>")
     checked = F.when(raw.isNull() | ~F.col("json").rlike(r"^\s*\{"), F.raise_error(
         F.concat(F.lit("evaluation set must be a JSON object: "), "course")).cast("map<string,string>")).otherwise(raw)
-    flat = rows.select("course", F.posexplode(F.map_entries(checked)).alias("at", "e"))
-    flat = flat.groupBy("course", F.col("e.key").alias("question")).agg(
+    flat = rows.select("set", "course", F.posexplode(F.map_entries(checked)).alias("at", "e"))
+    flat = flat.groupBy("set", "course", F.col("e.key").alias("question")).agg(
         F.min("at").cast("bigint").alias("qpos"), F.max_by(F.struct("e.value"), "at").getField("value").alias("files")
     )
     fail = lambda message: F.raise_error(F.concat(F.lit(message + ": "), "course"))

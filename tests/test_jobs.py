@@ -220,7 +220,7 @@ def test_eval_sets(spark, tmp_path):
     rows = st.read_eval_sets(spark, str(tmp_path / "OS.json")).orderBy("qpos").collect()
     assert [(r.course, r.question, r.relevant) for r in rows] == [("os", "b?", ["z"]), ("os", "a?", [])]
     for text, message in (('{" ": []}', "empty question"), ('{"a": "x"}', "must be an array"), ("[1]", "JSON object")):
-        df = spark.createDataFrame([("os", text)], "course string, json string")
+        df = spark.createDataFrame([("f", "os", text)], "set string, course string, json string")
         with pytest.raises(Exception, match=message):
             st.parse_eval_sets(df).collect()
 

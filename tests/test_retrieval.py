@@ -130,7 +130,8 @@ def test_metrics(spark):
     questions = spark.createDataFrame([("os", 1, ["a", "b"], 10.0), ("os", 2, ["c"], 20.0), ("os", 3, [], 99.0)],
                                       "course string, qid bigint, relevant array<string>, latency_ms double")
     results = spark.createDataFrame([(1, 1, "a"), (1, 2, "x"), (1, 3, "a"), (3, 1, "a")], "qid bigint, rank bigint, file string")
-    rows = {r.k: r for r in evaluate.eval_metrics(results, questions, [1, 3]).collect()}
+    questions, labels = evaluate.from_sets(questions)
+    rows = {r.k: r for r in evaluate.eval_metrics(results, questions, labels, [1, 3]).collect()}
     assert (rows[1].recall, rows[1].precision, rows[1].labeled_questions, rows[1].avg_latency_ms) == (0.25, 0.5, 2, 15.0)
     assert rows[3].precision == round((1 / 3 + 0) / 2, 6) and rows[3].f1 == round(2 * 0.25 * (1 / 6) / (0.25 + 1 / 6), 6)
 
