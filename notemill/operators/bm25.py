@@ -102,8 +102,8 @@ def scope_counts(terms: DataFrame, toks: DataFrame, scope: tuple[str, ...] = ())
     """
     named = F.explode(F.concat(F.array_distinct("toks"), F.array(F.lit("")))).alias("term")
     rows = toks.select(*scope, F.size("toks").cast("bigint").alias("dl"), named)
-    asked = terms.select("term").unionByName(toks.sparkSession.sql("SELECT '' AS term")).distinct()
-    rows = rows.join(F.broadcast(asked), "term", "left_semi")
+    asked = terms.select(*scope, "term").unionByName(terms.select(*scope, F.lit("").alias("term"))).distinct()
+    rows = rows.join(F.broadcast(asked), [*scope, "term"], "left_semi")
     return rows.groupBy(*scope, "term").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
 
 
@@ -126,7 +126,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = fixed.ROUTE_DEPTH,
 
 def _scan(terms: DataFrame, chunks: DataFrame, k: int, key: list[str], scope: tuple[str, ...]) -> DataFrame:
     toks = chunks.select(*key, *scope, tokens(F.col("content")).alias("toks"))
-    counts = scope_counts(terms, toks, scope).toPandas()  # one row per question term and scope
+    counts = scope_counts(terms, toks, scope).toPandas()  # at most one row per row of terms, and one per scope
     w = _weights(terms.toPandas(), counts, list(scope))
     schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in key) + ", qid bigint, score double"
     if len(w) == 0:

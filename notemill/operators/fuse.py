@@ -78,6 +78,15 @@ def mode() -> Column:
     return F.when(both, "hybrid").otherwise("keyword-only")
 
 
+def located(ranked: DataFrame, chunks: DataFrame, columns: list[str], queries: DataFrame) -> DataFrame:
+    """Ranked chunk keys with columns of the chunk table, which is not moved while questions are few.
+
+    A question has at most two routes of fixed depth, so the question count bounds `ranked`.
+    """
+    small = broadcast_if_small(ranked, queries.select("qid"), BROADCAST_ROWS // (2 * fixed.ROUTE_DEPTH))
+    return chunks.select(*KEY, *columns).join(small, KEY)
+
+
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = fixed.TOP_K,
            threshold: float = fixed.VECTOR_THRESHOLD) -> DataFrame:
     """Hybrid search of all questions at once.
@@ -91,12 +100,7 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
         asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
         near = vec.cosine_topk(asked, vectors, fixed.ROUTE_DEPTH, threshold, carry=KEY)
     fused = fuse_rrf(route_union(near, words))
-    # a question has at most two routes of fixed depth, so the question count bounds `fused`
-    bound = BROADCAST_ROWS // (2 * fixed.ROUTE_DEPTH)
-    located = chunks.select(*KEY, "file", "course").join(
-        broadcast_if_small(fused, queries.select("qid"), bound), KEY
-    )
-    ranked = best_chunk_per_file(located, max(k, fixed.ROUTE_DEPTH))
+    ranked = best_chunk_per_file(located(fused, chunks, ["file", "course"], queries), max(k, fixed.ROUTE_DEPTH))
     ranked = ranked.join(queries.select("qid", "question", "want_course"), "qid")
     return prioritize(by_course(ranked), k).select("qid", "rank", *KEY, "file", "course", F.round("score", 4).alias("score"), "mode")
 

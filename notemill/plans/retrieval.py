@@ -129,7 +129,8 @@ def fuse_rrf(spark, sf):
 
 
 def _best(spark, sf) -> DataFrame:
-    located = b.chunks(spark, sf).select(*KEY, "file", "course").join(fuse.fuse_rrf(_routes(spark, sf)), KEY)
+    fused = fuse.fuse_rrf(_routes(spark, sf))
+    located = fuse.located(fused, b.chunks(spark, sf), ["file", "course"], b.questions(spark, sf))
     return fuse.best_chunk_per_file(located, fixed.ROUTE_DEPTH)
 
 
@@ -167,7 +168,7 @@ def search(spark, sf):
 
 
 def _hits(spark, sf) -> DataFrame:
-    return b.chunks(spark, sf).select(*KEY, "title", "content").join(_found(spark, sf), KEY)
+    return fuse.located(_found(spark, sf), b.chunks(spark, sf), ["title", "content"], b.questions(spark, sf))
 
 
 SNIP = """CASE WHEN length(content) > 400 THEN
@@ -239,7 +240,7 @@ def _eval_sql(body: str) -> str:
 def _results(spark, sf) -> DataFrame:
     """Files found by keyword search at the largest k, in rank order."""
     top = bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf), max(KS))
-    return b.chunks(spark, sf).select(*KEY, "file").join(top, KEY).select("qid", "rank", "file")
+    return fuse.located(top, b.chunks(spark, sf), ["file"], b.questions(spark, sf)).select("qid", "rank", "file")
 
 
 def _metrics(spark, sf) -> DataFrame:
