@@ -19,6 +19,9 @@ SEED = "7"
 UPDATED = "2024-02-01"
 
 
+_SPLITS: dict[tuple[str, ...], int] = {}  # splits per set of files, found out once
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -26,7 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all cores when the files have fewer splits than that; large tables pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    files = tuple(df.inputFiles())
+    if not files or files not in _SPLITS:
+        _SPLITS[files] = df.rdd.getNumPartitions()
+    return df if _SPLITS[files] >= cores else df.repartition(cores)
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
