@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, quality_rules, sharding
 from .registry import query, table
 
 
+@query(
+    "op5_line_dedup",
+    """
+    WITH pages AS (SELECT doc_id, text, coalesce('h' || source, 'n') AS host FROM documents),
+    totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+    lines AS (
+        SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
+        FROM pages
+    ),
+    often AS (
+        SELECT l.host, l.line FROM lines l JOIN totals t USING (host) WHERE regexp_matches(l.line, '[^\\x20\\x09-\\x0D]')
+        GROUP BY l.host, l.line, t.pages HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT doc_id) > 0.08 * t.pages
+    ),
+    marked AS (SELECT l.*, o.line IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON l.host = o.host AND l.line = o.line)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.drop_boilerplate(docs)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
+@query("op7_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
