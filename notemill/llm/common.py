@@ -44,3 +44,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def split_size(spark: SparkSession, default: int = 64) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", str(default))), 1)
+
+
+def range_of(key: Column, splitters: list[int]) -> Column:
+    """Number of splitters at or below key, by a binary search of fixed depth."""
+    if not splitters:
+        return F.lit(0)
+    array = F.from_json(F.lit(str(splitters)), "array<bigint>")
+    steps = [1 << k for k in range(len(splitters).bit_length() - 1, -1, -1)]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
+    )

@@ -15,10 +15,10 @@ value; repeated rows get slots of their own; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import range_of, stored
 
 OVERHEAD = 16
 RANGE_BYTES = 8 << 20
@@ -27,18 +27,6 @@ SAMPLES_PER_RANGE = 24
 WHOLE = 0.05
 
 
-def _range_of(key: Column, splitters: list[int]) -> Column:
-    """Number of splitters at or below key, by a binary search of fixed depth."""
-    if not splitters:
-        return F.lit(0)
-    array = F.from_json(F.lit(str(splitters)), "array<bigint>")
-    steps = [1 << k for k in range(len(splitters).bit_length() - 1, -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
-    )
-
-
 def assign(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = OVERHEAD, whole: float = WHOLE) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot), one row per row of docs."""
     body = F.col(text)
@@ -53,7 +41,7 @@ def assign(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "
     draw = (F.xxhash64(F.lit("draw"), "doc_id").bitwiseAND((1 << 40) - 1) / float(1 << 40)) < F.col("size") * float(n_ranges * SAMPLES_PER_RANGE / total)
     cuts = [k / n_ranges for k in range(1, n_ranges)]
     found = rows.where(draw).agg(F.percentile_approx("_key", cuts, 100 * n_ranges)).first()[0] or []
-    ranged = rows.withColumn("_range", _range_of(F.col("_key"), sorted(set(found))))
+    ranged = rows.withColumn("_range", range_of(F.col("_key"), sorted(set(found))))
 
     sums = ranged.groupBy("_range").agg(F.sum("size").alias("_bytes"))
     parts = F.when(F.col("_bytes") > 2 * total / n_ranges, F.ceil(F.col("_bytes") * n_ranges / total)).otherwise(1)
