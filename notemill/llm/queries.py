@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, quality_rules, sharding
+from . import fingerprints, line_dedup, quality_rules, sharding, tokens
 from .registry import query, table
 
 
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.token_counts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"), "fit_chars")
+
+
 @query(
     "op5_line_dedup",
     """
