@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language, line_dedup, quality_rules, sharding, tokens
+from . import fingerprints, jaccard_join, language, line_dedup, quality_rules, repeated_passages, sharding, tokens
 from .registry import query, table
 
 
@@ -84,6 +84,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query(
+    "op9_suffix_array_dedup",
+    """
+    WITH p AS (
+        SELECT doc_id, unnest(string_split_regex(text, '[\x20\x09-\x0D]')) AS w,
+            generate_subscripts(string_split_regex(text, '[\x20\x09-\x0D]'), 1) AS k FROM documents
+    ),
+    q AS (SELECT doc_id, w, k, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(w) - 1 AS s FROM p),
+    words AS (SELECT doc_id, w, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM q WHERE w <> ''),
+    runs AS (
+        SELECT doc_id, i, string_agg(w, ' ') OVER f AS g, count(*) OVER f AS n FROM words
+        WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+    ),
+    twice AS (SELECT g FROM runs WHERE n = 50 GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+    hits AS (SELECT r.doc_id, r.i FROM runs r JOIN twice t ON r.g = t.g WHERE r.n = 50),
+    cuts AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS c FROM hits),
+    parts AS (SELECT doc_id, i, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM cuts),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM parts GROUP BY doc_id, part)
+    SELECT x.doc_id, x.a AS first_word, x.z - x.a + 1 AS n_words, CAST(f.s AS BIGINT) AS "start", CAST(l.s + length(l.w) AS BIGINT) AS "end"
+    FROM spans x JOIN words f ON f.doc_id = x.doc_id AND f.i = x.a JOIN words l ON l.doc_id = x.doc_id AND l.i = x.z
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.passages(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
