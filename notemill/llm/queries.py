@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language, line_dedup, quality_rules, repeated_passages, sharding, tokens
+from . import fingerprints, jaccard_join, language, line_dedup, mixing, quality_rules, repeated_passages, sharding, tokens
 from .registry import query, table
 
 
@@ -84,6 +84,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
+    out = mixing.interleave(docs, F.col("n_bytes"))
+    return out.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "slot", "place", "release", "deadline")])
+
+
 @query(
     "op9_suffix_array_dedup",
     """
