@@ -21,14 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned list rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rules = quality_rules.learn(*quality_rules.training_rows(docs, labels))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs, rules).where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their hosts' boilerplate lines; n_chars follows the text."""
     out = line_dedup.drop_boilerplate(docs)
-    changed = F.when(F.col("_n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.select(*[changed.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

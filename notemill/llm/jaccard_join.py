@@ -10,7 +10,7 @@
 4. Of every list some classes are taken as centres and compared with the list's members of other components. The
    members of one comparison are kept in a trie (sets sorted in one global order, shared prefixes walked once); the walk
    carries the overlap so far and leaves a subtree when what remains cannot reach the bound. Found links merge
-   components; lists within one component are done; the others get four times as many new centres, until every member was one. So no
+   components; lists within one component are done; the others get GROWTH times as many new centres, until every member was one. So no
    pair of different components stays uncompared, and a list of many copies costs one comparison each, not all pairs.
 
 Components are found by minimum labels with pointer jumping, on written tables.
@@ -37,6 +37,7 @@ from .common import split_size, stored
 BUCKET_TOKENS = 4_000_000
 BLOCK_TOKENS = 2_000_000
 CHUNK = 512
+GROWTH = 32
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[np.ndarray]]]:
@@ -238,7 +239,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (k, c) after joining the components that links (a, b) touch; minimum label wins."""
+    """Labels (k, c) after joining the components that links (a, b) touch; minimum label wins.
+
+    Each pass points every touched component at its least neighbour and follows those pointers to
+    their ends, eight steps to a job; passes end when no link joins two components.
+    """
     while True:
         a = links.join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a")
         e = a.join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b").where("ca != cb").select("ca", "cb")
@@ -246,12 +251,14 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
         to = stored(both.groupBy(F.col("ca").alias("c")).agg(F.min("cb").alias("m")).select("c", F.least("c", "m").alias("m")), "roots")
         if to.isEmpty():
             return labels
-        while True:  # pointer jumping
+        moved = True
+        while moved:
+            for _ in range(3):
+                up = to.select(F.col("c").alias("m"), F.col("m").alias("mm"))
+                to = to.join(up, "m", "left").select("c", F.coalesce("mm", "m").alias("m"))
+            to = stored(to, "roots")
             up = to.select(F.col("c").alias("m"), F.col("m").alias("mm"))
-            nxt = stored(to.join(up, "m", "left").select("c", F.coalesce("mm", "m").alias("m"), (F.coalesce("mm", "m") != F.col("m")).alias("moved")), "roots")
-            to = nxt.drop("moved")
-            if nxt.where("moved").isEmpty():
-                break
+            moved = not to.join(up, "m").where("m <> mm").isEmpty()
         labels = stored(labels.join(to, "c", "left").select("k", F.coalesce("m", "c").alias("c")), "labels")
 
 
@@ -262,18 +269,17 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
     turn = 0
     while True:
         known = state.join(labels, "k")
-        open_lists = known.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("t")
+        open_lists = known.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("used").alias("done")).where("lo != hi AND NOT done").select("t")
         state = stored(known.join(open_lists, "t", "left_semi"), "lists")
-        slots = F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(4**turn))
+        if state.isEmpty():
+            return labels
+        slots = F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(GROWTH**turn))
         first = F.min(F.struct(F.xxhash64("k"), F.col("k"), F.col("n"), F.col("c"))).alias("x")
         picked = state.where("NOT used").groupBy("t", slots.alias("slot")).agg(first)
-        centers = stored(picked.select("t", F.col("x.k").alias("center"), F.col("x.n").alias("cn"), F.col("x.c").alias("cc")), "centres")
-        if centers.isEmpty():
-            return labels
+        centers = picked.select("t", F.col("x.k").alias("center"), F.col("x.n").alias("cn"), F.col("x.c").alias("cc"))
         near = (F.col("k") != F.col("center")) & (F.col("c") != F.col("cc")) & (4 * F.least("n", "cn") >= 3 * F.greatest("n", "cn"))
         pairs = stored(state.join(centers, "t").where(near).select("center", "k").distinct(), "pairs")
-        links = stored(verified(pairs, sets), "links")
-        labels = merge(labels, links)
+        labels = merge(labels, stored(verified(pairs, sets), "links"))
         taken = centers.select("t", F.col("center").alias("k"), F.lit(True).alias("now"))
         state = state.join(taken, ["t", "k"], "left").select("t", "k", "n", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
         turn += 1

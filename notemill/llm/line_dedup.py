@@ -44,25 +44,24 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with `text` cleaned, and (_n_lines, _n_dropped) longs."""
+    """(row, text, n_lines, n_dropped): docs' columns as one struct, the cleaned text, and counts of lines."""
     found = stored(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     lists = found.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
-    joined = join_groups(docs.withColumn("_host", _host(F.col(host))), lists, ["_host"], "left", [text], probe=found)
-    lines = F.split(F.col(text), "\n")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _host(F.col(host)).alias("_host"), F.xxhash64(F.col(text)).alias("_spread"))
+    joined = join_groups(rows, lists, ["_host"], "left", ["_spread"], probe=found)
+    body = F.col("row")[text]
 
     def cleaned(all_lines: Column) -> Column:
         def pair(left: Column) -> Column:
             gone = F.size(all_lines) - F.size(left)
             return F.struct(
-                F.when(gone > 0, F.array_join(left, "\n")).otherwise(F.col(text)).alias("text"),
+                F.when(gone > 0, F.array_join(left, "\n")).otherwise(body).alias("text"),
                 F.size(all_lines).cast("bigint").alias("lines"), gone.cast("bigint").alias("gone"),
             )
 
         keep = F.filter(all_lines, lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | ~x.rlike(WORD))
         return let(F.when(F.col("_drop").isNull(), all_lines).otherwise(keep), pair)
 
-    out = joined.withColumn("_clean", F.when(F.col(text).isNotNull(), let(lines, cleaned)))
-    return out.select(
-        *[F.col("_clean.text").alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce("_clean.lines", F.lit(0).cast("bigint")).alias("_n_lines"), F.coalesce("_clean.gone", F.lit(0).cast("bigint")).alias("_n_dropped"),
-    )
+    out = joined.withColumn("_clean", F.when(body.isNotNull(), let(F.split(body, "\n"), cleaned)))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return out.select("row", F.col("_clean.text").alias("text"), count("_clean.lines").alias("n_lines"), count("_clean.gone").alias("n_dropped"))

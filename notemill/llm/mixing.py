@@ -75,12 +75,16 @@ def tempered(totals: dict[str, int], power: float = TEMPER) -> dict[str, float]:
 
 
 def interleave(docs: DataFrame, size: Column, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _block, _slot, _place, _release and _deadline; (_slot, _place) is the mixed order.
+    """(row, block, slot, place, release, deadline): docs' columns as one struct; (slot, place) is the mixed order.
 
-    weights: source -> target; without them the tempered shares of the sources' bytes (one number per source comes to the driver).
+    size: bytes of a row. weights: source -> target; without them the tempered shares of the sources' bytes
+    (one number per source comes to the driver).
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("_key", source_key(F.col(source))).withColumn("_size", (F.coalesce(size, F.lit(0)) + 1).cast("bigint")).withColumn("_h", F.xxhash64(doc_id))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), source_key(F.col(source)).alias("_key"), (F.coalesce(size, F.lit(0)) + 1).cast("bigint").alias("_size"),
+        F.xxhash64(doc_id).alias("_h"), F.col(doc_id).alias("_id"),
+    )
     totals = {r["_key"]: (r["b"], r["n"]) for r in rows.groupBy("_key").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     if weights is None:
         targets = tempered({s: b for s, (b, _) in totals.items()})
@@ -95,23 +99,22 @@ def interleave(docs: DataFrame, size: Column, weights: dict[str, float] | None =
     sums = rows.groupBy("_key", "_range").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(sums.select("_key", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")), "mix-bases")
-    inside = Window.partitionBy("_key", "_range").orderBy("_h", doc_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_key", "_range").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.col("_base") + F.sum("_size").over(inside) - F.col("_size")
-    placed = rows.join(broadcast_if_small(bases), ["_key", "_range"]).withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / block_bytes))
+    placed = rows.join(broadcast_if_small(bases), ["_key", "_range"]).withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / block_bytes))
 
-    plan = [(s, shares[s], j, slot, release, deadline) for s, j, slot, release, deadline in schedule(shares)] if shares else []
-    table = spark.createDataFrame(plan, "_key string, _share bigint, _j bigint, _s bigint, _r bigint, _d bigint")
+    plan = schedule(shares) if shares else []
+    table = spark.createDataFrame(plan, "_key string, _j bigint, _s bigint, _r bigint, _d bigint")
     share = spark.createDataFrame(sorted(shares.items()), "_key string, _of bigint")
-    turn = F.floor(F.col("_block") / F.col("_of")) * period
-    placed = placed.join(F.broadcast(share), "_key").withColumn("_j", F.col("_block") % F.col("_of"))
-    placed = placed.join(F.broadcast(table.drop("_share")), ["_key", "_j"])
+    turn = F.floor(F.col("block") / F.col("_of")) * period
+    placed = placed.join(F.broadcast(share), "_key").withColumn("_j", F.col("block") % F.col("_of")).join(F.broadcast(table), ["_key", "_j"])
     return placed.select(
-        *[F.col(c) for c in docs.columns], "_block", (turn + F.col("_s")).alias("_slot"), (F.col("_at") % block_bytes).alias("_place"),
-        (turn + F.col("_r")).alias("_release"), (turn + F.col("_d")).alias("_deadline"),
+        "row", "block", (turn + F.col("_s")).alias("slot"), (F.col("_at") % block_bytes).alias("place"),
+        (turn + F.col("_r")).alias("release"), (turn + F.col("_d")).alias("deadline"),
     )
 
 
 def mixed(docs: DataFrame, size: Column, partitions: int, **options) -> DataFrame:
     """docs' rows and columns in mixed order: sorted partitions of consecutive slots."""
     placed = interleave(docs, size, **options)
-    return placed.repartitionByRange(partitions, "_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+    return placed.repartitionByRange(partitions, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")

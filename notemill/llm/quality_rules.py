@@ -220,9 +220,10 @@ def verdict(rules: list[Rule], stats: str = "_stats") -> Column:
     return out
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with base counts, base_failed, the first rejecting rule (null: none) and kept."""
-    d = text_statistics(docs)
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """(row, stats, base_failed, rule, kept): docs' columns as one struct, base counts, the first rejecting rule (null: none)."""
+    d = text_statistics(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_text")), "_text").drop("_text")
     n = F.col("_stats.n_words")
     failed = (n < 10) | (100 * F.col("_stats.n_repeat_words") > 20 * n)
-    return d.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    judged = d.select("row", F.col("_stats").alias("stats"), failed.alias("base_failed"), verdict(rules).alias("rule"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

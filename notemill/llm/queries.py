@@ -74,8 +74,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.drop_boilerplate(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return line_dedup.drop_boilerplate(docs).select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op6_order_minhash")
@@ -93,7 +92,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
     out = mixing.interleave(docs, F.col("n_bytes"))
-    return out.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "slot", "place", "release", "deadline")])
+    return out.select("row.doc_id", "row.source", "block", "slot", "place", "release", "deadline")
 
 
 @query(
@@ -126,5 +125,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(*quality_rules.training_rows(docs, table(spark, sf_dir, "labels")))
-    stats = [F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return quality_rules.judge(docs, rules).select("doc_id", *stats, "base_failed", "kept", "rule")
+    stats = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality_rules.judge(docs, rules).select("row.doc_id", *stats, "base_failed", "kept", "rule")

@@ -46,6 +46,8 @@ class Units:
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=model)
         self.known: dict[str, int] = {}
+        self.pieces = {self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())}
+        self.longest = max(map(len, self.pieces))
 
     def counts(self, units: list[str]) -> np.ndarray:
         known = self.known
@@ -97,10 +99,12 @@ def unit_prefixes(unit: str, units: Units) -> np.ndarray:
     marked = MARK + unit
     last, count = [""], [0]
     for end in range(1, len(marked) + 1):
-        for start in range(end):
+        for start in range(max(0, end - units.longest), end):
             piece = marked[start:end]
+            if end - start > 1 and piece not in units.pieces:
+                continue
             own = units.bare(piece)
-            if len(own) != 1 and len(piece) > 1:
+            if end - start > 1 and len(own) != 1:
                 continue
             if not start or units.bare(last[start] + piece) == units.bare(last[start]) + own:
                 last.append(piece)
