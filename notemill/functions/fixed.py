@@ -22,7 +22,21 @@ KNOWN_COURSES = ("os", "ds", "co")
 TITLE_DROPPED = "，。、；：？！\"'《》（）()[]{}"
 CONTENT_DROPPED = TITLE_DROPPED + "-#*>`"
 ANSWER_DROPPED = r"(?U)[，。！？、；：:“”‘’'\".,!?;:()\[\]{}<>\s]"
-FINGERPRINT_CHARS = 500
+
+# Characters a file name stem drops, and those it turns into dashes; its length.
+STEM_DROPPED = "（）()《》<>「」【】[]{}"
+STEM_DASHED = "，。、；："
+STEM_CHARS = 50
+
+# Elements that hold a page's main text, in order of preference; words of a class that mark one; noise.
+MAIN_ELEMENTS = ("article", "main")
+MAIN_CLASS_WORDS = ("content", "post", "article", "entry")
+NOISE_ELEMENTS = ("script", "style", "nav", "footer", "header", "aside")
+
+# Markers of worked examples in notes.
+EXAMPLE_SECTION = "## 经典例题"
+EXAMPLE_QUESTION = "**题干**"
+EXAMPLE_ANSWER = "**解答**"
 
 # Difficulty levels with minutes and priority.
 DIFFICULTY_MINUTES = {"入门": 25, "中等": 35, "进阶": 50}
@@ -66,10 +80,6 @@ HINT_FALLBACK = "请结合讲解和来源笔记再答一次。"
 FULL_REFERENCE = "完整参考："
 RELATED_PLACEHOLDER = "- （待补充关联条目链接）"
 REVIEW_MESSAGE = "已记录复习（第 %d 次），下次复习：%s（%d 天后）"
-QUIZ_TIP = "example 题型含参考答案，concept/retrieval 题型供自测，可查阅对应知识条目验证。"
-PLAN_TIP = "建议每天先复习前一天内容（10 分钟），再学习新内容。遇到进阶条目可适当延长。"
-DUE_TIP = "优先复习逾期最久的条目。每天花 10-15 分钟复习旧内容，效果最佳。"
-NOTHING_DUE_TIP = "当前没有待复习条目，继续保持！"
 
 # Headings of a structured note and the headings they are filled from.
 HEAD_TLDR = "## 一句话概括（TL;DR）"
@@ -81,16 +91,6 @@ TLDR_KEYS = ("TL;DR", "一句话概括")
 CORE_KEYS = ("核心概念", "概述")
 PRINCIPLE_KEYS = ("关键原理", "算法", "原理")
 PITFALL_KEYS = ("易错点", "高频考点", "注意事项")
-CORE_CHARS = 2000
-
-# Named HTML entities that occur in running text ("&amp;" is decoded last).
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®",
-    "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
-    "times": "×", "deg": "°", "plusmn": "±", "sect": "§", "para": "¶", "euro": "€",
-    "larr": "←", "rarr": "→", "le": "≤", "ge": "≥", "ne": "≠",
-}
 
 # Characters Python counts as white space, so that trimming agrees with it.
 BLANKS = (

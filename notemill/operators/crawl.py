@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, markup
@@ -36,14 +36,13 @@ def candidates(pages: DataFrame, order: str) -> DataFrame:
 
 
 def staged(pages: DataFrame, order: str) -> DataFrame:
-    """Every entry with its stage flags: success, cleaned, kept and first_name (first of its file name)."""
+    """Every entry with its stage flags: success, cleaned and kept; a kept page is written under its `filename`."""
     ok = F.coalesce("success", F.lit(False))
     rows = clean_pages(pages).withColumn("cleaned", ok & (F.length("clean") >= fixed.MIN_PAGE_CHARS))
     judged = decide(with_keys(rows.where("cleaned")), order)
     rows = rows.drop("html", "clean").join(judged, order, "left")
-    named = rows.where("kept").select(order, "course", filename(F.col("title")).alias("filename"))
-    firsts = first_per_name(named, order).select(order, F.lit(True).alias("first_name"))
-    return rows.join(firsts, order, "left").withColumn("first_name", F.coalesce("first_name", F.lit(False)))
+    names = named(rows.where("kept").select(order, "course", "title", "url"), order).select(order, "filename")
+    return rows.join(names, order, "left")
 
 
 def funnel(stages: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def funnel(stages: DataFrame) -> DataFrame:
         n("cleaned").alias("cleaned"),
         F.count_if(F.col("cleaned") & ~F.col("kept")).alias("dedup_skipped"),
         n("kept").alias("converted"),
-        n("first_name").alias("written"),
+        F.countDistinct("course", "filename").alias("written"),
     )
 
 
@@ -63,10 +62,15 @@ def filename(title: Column) -> Column:
     return F.concat(tx.slug(title), F.lit(".md"))
 
 
-def first_per_name(rows: DataFrame, order: str) -> DataFrame:
-    """First row per (course, filename); the limit of one row per name applies before the shuffle."""
-    names = Window.partitionBy("course", "filename").orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(names)).where("_n = 1").drop("_n")
+def named(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with the `filename` each is written to: the first row of a (course, name) has the plain name,
+    later ones add a hash of their URL key. First rows are found by map-side minima, so a common name is no hot group.
+    """
+    plain = rows.withColumn("filename", filename(F.col("title")))
+    firsts = plain.groupBy("course", "filename").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
+    own = F.concat(tx.slug(F.col("title")), F.lit("-"), F.substring(F.sha1(tx.norm_url(F.col("url"))), 1, 8), F.lit(".md"))
+    out = plain.join(firsts, order, "left")
+    return out.withColumn("filename", F.when(F.col("_first"), F.col("filename")).otherwise(own)).drop("_first")
 
 
 def _yaml(c: Column) -> Column:
@@ -102,9 +106,9 @@ def new_files_only(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def write_candidates(rows: DataFrame, existing: DataFrame, path: str, order: str, dry_run: bool = False) -> DataFrame:
-    """New candidates, one per file name; written below `path` by course unless it is a dry run."""
+    """New candidates, each under a name of its own; written below `path` by course unless it is a dry run."""
     if dry_run:
         return rows
-    fresh = new_files_only(first_per_name(rows, order), existing)
+    fresh = new_files_only(named(rows, order), existing)
     fresh.select("course", "filename", "markdown").write.partitionBy("course").mode("append").parquet(path)
     return fresh

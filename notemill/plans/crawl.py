@@ -110,14 +110,14 @@ def greedy_dedup(spark, sf):
 @query("funnel_stats", sql("""
 SELECT (SELECT count(*) FROM feed) AS total, (SELECT count(*) FROM feed WHERE success) AS fetched, (SELECT count(*) FROM judged) AS cleaned,
   (SELECT count(*) FROM judged WHERE NOT kept) AS dedup_skipped, (SELECT count(*) FROM judged WHERE kept) AS converted,
-  (SELECT count(DISTINCT course || ' ' || filename) FROM slugged WHERE kept) AS written""", "slugged"))
+  (SELECT count(DISTINCT course || ' ' || filename) FROM own_names) AS written""", "own_names"))
 def funnel_stats(spark, sf):
     return crawl.funnel(crawl.staged(b.feed(spark, sf), "entry_no"))
 
 
 LEAD = r"""CASE WHEN len(s) > 0 THEN array_to_string(s[1:2], '。') || '。' ELSE substr(clean, 1, 200) END"""
 SENTENCES = r"""(SELECT *, list_filter(list_transform(string_split_regex(clean, '[。！？.!?]'), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) > 5) AS s FROM cleaned)"""
-BODY = f"""'## 一句话概括（TL;DR）' || chr(10) || chr(10) || '> ' || {LEAD} || chr(10) || chr(10) || '## 核心概念' || chr(10) || chr(10) || substr(clean, 1, 2000)
+BODY = f"""'## 一句话概括（TL;DR）' || chr(10) || chr(10) || '> ' || {LEAD} || chr(10) || chr(10) || '## 核心概念' || chr(10) || chr(10) || clean
   || chr(10) || chr(10) || '## 关联条目' || chr(10) || chr(10) || '- （待补充关联条目链接）'"""
 
 
@@ -163,11 +163,12 @@ def slug(spark, sf):
     return rows.select("entry_no", crawl.filename(F.col("title")).alias("filename"))
 
 
-@query("slug_collision", sql("SELECT course, filename, min(entry_no) AS entry_no FROM slugged GROUP BY course, filename", "slugged"))
+@query("slug_collision", sql("""
+SELECT course, CASE WHEN n = 1 THEN filename ELSE replace(filename, '.md', '') || '-' || substr(sha1(url_key), 1, 8) || '.md' END AS filename, entry_no
+FROM (SELECT *, row_number() OVER (PARTITION BY course, filename ORDER BY entry_no) AS n FROM slugged)""", "slugged"))
 def slug_collision(spark, sf):
     rows = crawl.clean_pages(b.feed(spark, sf)).where("success and length(clean) >= 100")
-    named = rows.select("entry_no", "course", crawl.filename(F.col("title")).alias("filename"))
-    return crawl.first_per_name(named, "entry_no").select("course", "filename", "entry_no")
+    return crawl.named(rows, "entry_no").select("course", "filename", "entry_no")
 
 
 def _existing(spark, sf) -> DataFrame:
@@ -178,7 +179,7 @@ def _existing(spark, sf) -> DataFrame:
 
 EXISTING = r"""
 existing AS (SELECT DISTINCT course, CASE WHEN stem = '' THEN 'untitled' ELSE stem END || '.md' AS filename FROM (
-  SELECT *, CASE WHEN length(s) > 50 THEN rtrim(substr(s, 1, 50), '-') ELSE s END AS stem FROM (
+  SELECT *, CASE WHEN length(s) > 50 THEN rtrim(substr(s, 1, 41), '-') || '-' || substr(sha1(title), 1, 8) ELSE s END AS stem FROM (
     SELECT *, trim(regexp_replace(regexp_replace(title, '[（）()《》<>「」【】\[\]{}]', '', 'g'), '[，。、；：\s]+', '-', 'g'), '-') AS s
     FROM cleaned WHERE NOT success)))"""
 
@@ -191,9 +192,8 @@ def new_files_only(spark, sf):
     return crawl.new_files_only(named, _existing(spark, sf)).select("entry_no", "course", "filename")
 
 
-@query("write_candidates", sql("", "slugged") + f",{EXISTING}" + """
-SELECT course, filename FROM slugged s WHERE kept AND NOT EXISTS (SELECT 1 FROM existing e WHERE e.course = s.course AND e.filename = s.filename)
-GROUP BY course, filename""")
+@query("write_candidates", sql("", "own_names") + f",{EXISTING}" + """
+SELECT course, filename FROM own_names s WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.course = s.course AND e.filename = s.filename)""")
 def write_candidates(spark, sf):
     """The whole crawl: fetched pages to written candidate files."""
     path = scratch(spark, "candidates")

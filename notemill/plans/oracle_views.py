@@ -103,7 +103,7 @@ FROM feed"""),
 SELECT *,
   rtrim(split_part(split_part(regexp_replace(lower(trim(url)), '^https?://(www\.)?', ''), '?', 1), '#', 1), '/') AS url_key,
   translate(regexp_replace(lower(title), '\s+', '', 'g'), '，。、；：？！"''《》（）()[]{}', '') AS title_key,
-  sha1(substr(translate(regexp_replace(clean, '\s+', '', 'g'), '，。、；：？！"''《》（）()[]{}-#*>`', ''), 1, 500)) AS content_key,
+  sha1(translate(regexp_replace(clean, '\s+', '', 'g'), '，。、；：？！"''《》（）()[]{}-#*>`', '')) AS content_key,
   success AND length(clean) >= 100 AS is_clean
 FROM cleaned"""),
     # on these pages a row that is first under each of its keys is exactly a kept row
@@ -115,9 +115,12 @@ SELECT *, first_u AND first_t AND first_c AS kept FROM (
   FROM keyed WHERE is_clean)"""),
     "slugged": (("judged",), r"""
 SELECT *, CASE WHEN stem = '' THEN 'untitled' ELSE stem END || '.md' AS filename FROM (
-  SELECT *, CASE WHEN length(s) > 50 THEN rtrim(substr(s, 1, 50), '-') ELSE s END AS stem FROM (
+  SELECT *, CASE WHEN length(s) > 50 THEN rtrim(substr(s, 1, 41), '-') || '-' || substr(sha1(title), 1, 8) ELSE s END AS stem FROM (
     SELECT *, trim(regexp_replace(regexp_replace(title, '[（）()《》<>「」【】\[\]{}]', '', 'g'), '[，。、；：\s]+', '-', 'g'), '-') AS s
     FROM judged))"""),
+    "own_names": (("slugged",), """
+SELECT * EXCLUDE (filename, n), CASE WHEN n = 1 THEN filename ELSE replace(filename, '.md', '') || '-' || substr(sha1(url_key), 1, 8) || '.md' END AS filename
+FROM (SELECT *, row_number() OVER (PARTITION BY course, filename ORDER BY entry_no) AS n FROM slugged WHERE kept)"""),
     "oplog": ((), """
 SELECT event_id, ts, event_type AS operation, round(greatest(value, 0), 3) AS duration_ms,
   greatest(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS result_count, event_id % 2 = 0 AS cache_hit FROM events"""),

@@ -118,33 +118,26 @@ def test_trace(spark):
     assert [(r.step, r.status) for r in steps if r.session_id == "e"][3:] == [("quiz", "fallback"), ("review-log", "ok")]
 
 
-def brute_plan(minutes, total_days, daily):
-    days, i, d = [], 0, 0
-    while d < total_days:
-        free, used, todo = max(daily - (10 if d else 0), 0), 0, []
-        while i < len(minutes) and not (used + minutes[i] > free and todo):
-            todo.append(i)
-            used += minutes[i]
-            i += 1
-        days.append((d + 1, todo))
-        d += 1
-        if i >= len(minutes):
-            break
-    if i < len(minutes):
-        days.append((len(days) + 1, list(range(i, len(minutes)))))
-    return {t: day for day, ts in days for t in ts}
-
-
-@pytest.mark.parametrize("n,hours,days", [(0, 2.0, 14), (5, 0.5, 3), (40, 2.0, 5), (300, 1.0, 4), (7, 8.0, 2)])
-def test_day_plan(spark, n, hours, days):
-    rnd = random.Random(n)
-    level = [rnd.choice(list(fixed.DIFFICULTY_MINUTES)) for _ in range(n)]
-    tasks = studyplan.effort(spark.createDataFrame([(i, "os", f"f{i}", d) for i, d in enumerate(level)], "i bigint, course string, file string, difficulty string"))
+# level of each task in order, hours a day, days, and the day each task is put on (days + 1: extra)
+DAY_PLANS = [
+    ("", 2.0, 14, []),
+    ("中中中", 0.5, 2, [1, 2, 3]),  # none fits its day, so each gets one, and one is left over
+    ("入入入入入", 1.0, 14, [1, 1, 2, 2, 3]),  # 60 minutes, then 50 after the buffer
+    ("进进中入", 2.0, 3, [1, 1, 2, 2]),  # 100 of 120; 60 of 110
+    ("中入进中入进", 1.5, 2, [1, 1, 2, 3, 3, 3]),  # 60 of 90; 50 of 80 and no room for 35
+    ("中中中中", 8.0, 2, [1, 1, 1, 1]),
+]
+
+
+@pytest.mark.parametrize("levels,hours,days,expected", DAY_PLANS)
+def test_day_plan(spark, levels, hours, days, expected):
+    n, names = len(levels), {d[0]: d for d in fixed.DIFFICULTY_MINUTES}
+    tasks = studyplan.effort(spark.createDataFrame(
+        [(i, "os", f"f{i}", names[d]) for i, d in enumerate(levels)], "i bigint, course string, file string, difficulty string"))
     start = dt.date(2024, 1, 1)
     plan = studyplan.day_plan(tasks, ["i"], hours, start, start + dt.timedelta(days=days))
     got = {r.i: r for r in plan.collect()}
-    want = brute_plan([fixed.DIFFICULTY_MINUTES[d] for d in level], days, int(hours * 60))
-    assert {i: r.day for i, r in got.items()} == want
+    assert [got[i].day for i in range(n)] == expected
     assert all(r.date == start + dt.timedelta(days=days if r.extra else r.day - 1) for r in got.values())
     asked = spark.createDataFrame([("os",), ("ds",)], "course string")
     assert {r.course for r in studyplan.empty_plans(asked, tasks, start).collect()} == ({"ds"} if n else {"os", "ds"})

@@ -24,21 +24,20 @@ def _type(v):
     return {str: "string", int: "bigint", float: "double", type(None): "string"}[type(v)]
 
 
-def plain_tokens(text):
-    out = []
-    for seg in re.findall(r"[一-鿿]+|[a-z0-9_]+", text.lower()):
-        if "一" <= seg[0] <= "鿿":
-            out += [seg[i:i + 2] for i in range(max(1, len(seg) - 1))]
-        else:
-            out.append(seg)
-    return out
-
-
-@pytest.mark.parametrize("text", [
-    "PCB的作用是什么", "读者写者问题如何用pv操作实现", "中", "a中b", "中a国x人民", "étion Déjà_vu 42", "", "  ,.", "LRU算法inode节点", "中文。标点，分 隔",
+@pytest.mark.parametrize("text,expected", [
+    ("PCB的作用是什么", ["pcb", "的作", "作用", "用是", "是什", "什么"]),
+    ("用pv操作", ["用", "pv", "操作"]),
+    ("中", ["中"]),
+    ("a中b", ["a", "中", "b"]),
+    ("中a国x人民", ["中", "a", "国", "x", "人民"]),
+    ("étion Déjà_vu 42", ["tion", "d", "j", "_vu", "42"]),
+    ("", []),
+    ("  ,.", []),
+    ("LRU算法inode节点", ["lru", "算法", "inode", "节点"]),
+    ("中文。标点，分 隔", ["中文", "标点", "分", "隔"]),
 ])
-def test_tokens(spark, text):
-    assert one(spark, tx.tokens, text) == plain_tokens(text)
+def test_tokens(spark, text, expected):
+    assert one(spark, tx.tokens, text) == expected
 
 
 @pytest.mark.parametrize("text,expected,tags", [
@@ -103,12 +102,12 @@ def test_keys_of_pages(spark):
     assert one(spark, tx.norm_url, " HTTPS://www.Example.com/A/?q=1#f ") == "example.com/a"
     assert one(spark, tx.norm_url, "http://example.com//") == "example.com"
     assert one(spark, tx.norm_title, " 进程，与\u00a0线程（一）! ") == "进程与线程一!"
-    kept = "".join(ch for ch in "a-b #c* " * 400 if ch not in "-#* ")[:500]
+    kept = "".join(ch for ch in "a-b #c* " * 400 if ch not in "-#* ")
     assert one(spark, tx.content_fp, "a-b #c* " * 400) == hashlib.sha1(kept.encode()).hexdigest()
 
 
 @pytest.mark.parametrize("title,expected", [
-    ("进程（线程）", "进程线程"), ("A B，C", "A-B-C"), ("（）", "untitled"), ("- x -", "x"), ("a" * 49 + " bcd", "a" * 49)])
+    ("进程（线程）", "进程线程"), ("A B，C", "A-B-C"), ("（）", "untitled"), ("- x -", "x"), ("a" * 49 + " bcd", "a" * 41 + "-26892d5d")])
 def test_slug(spark, title, expected):
     assert one(spark, tx.slug, title) == expected
 
@@ -188,3 +187,23 @@ def test_paths(spark):
     assert one(spark, tx.path_title, "knowledge/os/deadlock.md") == "deadlock"
     assert one(spark, tx.path_course, "knowledge/os/x.md") == "os"
     assert one(spark, tx.path_course, "other/os/x.md") is None
+
+
+@pytest.mark.parametrize("html,expected", [
+    ('<div class="content"><p>one</p><div class="box">two</div><p>three</p></div><p>out</p>', "one\ntwo\nthree"),
+    ("<article>a<article>b</article>c</article>d", "a\nb\nc"),
+    ("<body><main>x<div>y</div>z</body>", "x\ny\nz"),
+    ("<ARTICLE>caf&eacute; &#128512; &uuml;ber &amp;lt; &nosuch; &#x41;&#0;</ARTICLE>", "café 😀 über &lt; &nosuch; A�"),
+    ("plain & simple", "plain & simple"),
+])
+def test_html_text_of_nested_pages(spark, html, expected):
+    assert one(spark, markup.html_text, html) == expected
+
+
+def test_no_page_text_is_cut(spark):
+    long = "sentence number one. " * 300
+    assert long.strip() in one(spark, tx.structure_note, long)
+    assert one(spark, tx.content_fp, "x" * 900 + "a") != one(spark, tx.content_fp, "x" * 900 + "b")
+    stems = {one(spark, tx.slug, "t" * 60 + end) for end in ("a", "b")}
+    assert len(stems) == 2 and all(len(s) <= 50 for s in stems)
+    assert one(spark, tx.section_map, "##\nplain line\nmore") == {}
