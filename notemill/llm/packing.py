@@ -30,17 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_size, stored
+from .common import small_batches, split_size, stored
 
 CAPACITY = 1024
 END = 2
 SHARD_ITEMS = 2000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 8
-POPULATION = 6
+GENERATIONS = 5
+POPULATION = 4
 WELL_FILLED = 0.98
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 BATCH_BYTES = 8 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
 RUNS = re.compile(r"^\s|\s\s|\s$")
@@ -50,26 +50,59 @@ class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct unit.
 
     A unit ends before a single space between two characters that are no white space; the
-    vocabulary's own splitting ends there too, whatever stands around.
+    vocabulary's own splitting ends there too, whatever stands around. New units are therefore
+    encoded many at a time, joined, and their ids told apart by the bytes each id stands for.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, units: list[str]) -> list[bytes]:
-        known = self.known
-        new = [u for u in units if u not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = units
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for u, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
-        return list(map(known.__getitem__, units))
+        special = {i: len(t.content.encode()) for i, t in self.lib.get_added_tokens_decoder().items()}
+        size = np.zeros(self.lib.get_vocab_size(), np.int64)
+        for token, i in self.lib.get_vocab().items():  # byte-level tokens: one character for each byte
+            size[i] = special.get(i, len(token))
+        self.size = size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units = pa.array([], pa.large_string())
+        self.lengths = np.empty(0, np.int64)
+        self.ids = np.empty(0, "<u4")
+
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of units that keep their own bounds."""
+        found = [e.ids for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array(list(chain.from_iterable(found)), "<u4")
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units that start with a space and hold no white space at either end."""
+        groups = [units[a : a + 256] for a in range(0, len(units), 256)]
+        lengths, ids = [], []
+        for group, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            own = np.array(e.ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(u.encode()) for u in group), np.int64, len(group)))
+            at = np.searchsorted(np.cumsum(self.size[own]), ends) + 1
+            lengths.append(np.diff(at, prepend=0))
+            ids.append(own)
+        return (np.concatenate(lengths), np.concatenate(ids)) if groups else (np.empty(0, np.int64), np.empty(0, "<u4"))
+
+    def _find(self, units: pa.Array) -> np.ndarray:
+        """Numbers of the units among the known ones; new ones are encoded and remembered."""
+        at = pc.index_in(units, value_set=self.units)
+        fresh = units.filter(pc.is_null(at))
+        if len(fresh) and len(self.units) + len(fresh) > REMEMBERED:
+            self._forget()
+            fresh, at = units, None
+        if len(fresh):
+            listed = fresh.to_pylist()
+            plain = np.array([u[:1] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in listed])
+            joined, odd = [u for u, p in zip(listed, plain, strict=True) if p], [u for u, p in zip(listed, plain, strict=True) if not p]
+            (n1, ids1), (n2, ids2) = self._joined(joined), self._alone(odd)
+            self.units = pa.concat_arrays([self.units, pa.array(joined + odd, pa.large_string())])
+            self.lengths, self.ids = np.concatenate([self.lengths, n1, n2]), np.concatenate([self.ids, ids1, ids2])
+            at = pc.index_in(units, value_set=self.units)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = [i for i, t in enumerate(texts) if RUNS.search(t)]
@@ -80,20 +113,19 @@ class Encoder:
         bounds = np.asarray(lists.offsets)
         flat = lists.flatten()
         coded = pc.dictionary_encode(flat)
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        heads = set(bounds[:-1].tolist())  # the first unit of a text has no space in front
-        first = {n: len(names) + k for k, n in enumerate(dict.fromkeys(names[codes[b]] for b in heads if b < len(codes)))}
-        for b in heads:
-            if b < len(codes):
-                codes[b] = first[names[codes[b]]]
-        ids = self._ids([f" {n}" for n in names] + list(first))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        every = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(size) - size
-        length = size[codes]
+        codes = coded.indices.to_numpy().astype(np.int64)
+        heads = bounds[:-1][bounds[:-1] < bounds[1:]]  # the first unit of a text has no space in front
+        first = coded.dictionary.take(pa.array(codes[heads]))
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+        every = pc.dictionary_encode(pa.concat_arrays([spaced, first]))
+        of = self._find(every.dictionary)[every.indices.to_numpy()]
+        units = of[codes]
+        units[heads] = of[len(spaced) :]
+        begin = np.cumsum(self.lengths) - self.lengths
+        length = self.lengths[units]
         end = np.cumsum(length)
-        at = np.repeat(begin[codes] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
-        out = every[at]
+        at = np.repeat(begin[units] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
+        out = self.ids[at]
         edges = np.append(0, end)[bounds]
         return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -116,31 +148,23 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= BATCH_BYTES):
-                    size += len(texts[z])
-                    z += 1
-                of, number, starts, lengths, sums, ids = [], [], [], [], [], []
-                for i, found in enumerate(lib.encode(texts[a:z]), a):
-                    raw = np.append(found, np.uint32(end)).astype("<u4")
-                    cuts = [0, *range(len(raw) % capacity or capacity, len(raw) + 1, capacity)] if len(raw) > capacity else [0, len(raw)]
-                    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        of.append(i)
-                        number.append(k)
-                        starts.append(s)
-                        lengths.append(e - s)
-                        sums.append(zlib.crc32(raw[s:e].tobytes()))
-                        if with_ids:
-                            ids.append(raw[s:e].astype(np.int64))
-                cols = {"doc_id": batch.column(0).take(pa.array(of, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
-                if with_ids:
-                    cols["ids"] = pa.array(ids, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict(cols)
-                a = z
+        for batch in small_batches(batches, limit=BATCH_BYTES):
+            of, number, starts, lengths, sums, ids = [], [], [], [], [], []
+            for i, found in enumerate(lib.encode([t or "" for t in batch.column(1).to_pylist()])):
+                raw = np.append(found, np.uint32(end)).astype("<u4")
+                cuts = [0, *range(len(raw) % capacity or capacity, len(raw) + 1, capacity)] if len(raw) > capacity else [0, len(raw)]
+                for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    of.append(i)
+                    number.append(k)
+                    starts.append(s)
+                    lengths.append(e - s)
+                    sums.append(zlib.crc32(raw[s:e].tobytes()))
+                    if with_ids:
+                        ids.append(raw[s:e].astype(np.int64))
+            cols = {"doc_id": batch.column(0).take(pa.array(of, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
+            if with_ids:
+                cols["ids"] = pa.array(ids, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
@@ -210,14 +234,15 @@ def evolve(length: list[int], seeds: list[Bins], capacity: int, rng: random.Rand
     while len(own) < population:
         blur = 0 if not own else 1 + 8 * len(own)
         own.append(best_fit([], sorted(range(len(length)), key=lambda i: -length[i] - rng.random() * blur), length, capacity))
-    score = lambda p: fitness(p, length, capacity)
-    ranked = sorted(own, key=score, reverse=True)
-    for _ in range(generations):
-        if len(ranked[0]) <= floor:
+    ranked = sorted(((fitness(p, length, capacity), k, p) for k, p in enumerate(own)), reverse=True)
+    for turn in range(1, generations + 1):
+        if len(ranked[0][2]) <= floor:
             break
-        young = [crossover(*rng.sample(ranked[: max(2, population // 2)], 2), length, capacity, rng) for _ in range(population // 2)]
-        ranked = sorted(ranked + young, key=score, reverse=True)[:population]
-    return ranked[0]
+        parents = ranked[: max(2, population // 2)]
+        young = [crossover(*(p for _, _, p in rng.sample(parents, 2)), length, capacity, rng) for _ in range(population // 2)]
+        ranked += [(fitness(p, length, capacity), turn * population + k, p) for k, p in enumerate(young)]
+        ranked = sorted(ranked, reverse=True)[:population]
+    return ranked[0][2]
 
 
 def _to_bins(plan: bytes) -> Bins:
