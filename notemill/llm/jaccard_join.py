@@ -32,29 +32,25 @@ from pyspark.sql import functions as F
 from notemill.operators.sizing import BROADCAST_ROWS, broadcast_if_small, fits, join_groups
 
 from . import shingles
-from .common import split_size, stored
+from .common import small_batches, split_size, stored
 
-BUCKET_TOKENS = 4_000_000
-BLOCK_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_500_000
+BLOCK_TOKENS = 800_000
 CHUNK = 512
 GROWTH = 32
 
 
-def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[np.ndarray]]]:
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-    for part in shingles.blocks(texts):
-        yield part, shingles.sets(texts[part])
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return shingles.sets([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
 
 
 def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, k) per row: set size and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for _, found in _tokens(batch):
-                sizes += [len(x) for x in found]
-                keys += [shingles.set_key(x) for x in found]
+        for batch in small_batches(batches):
+            found = _sets(batch)
+            sizes, keys = [len(x) for x in found], [shingles.set_key(x) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n", "k"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -101,15 +97,14 @@ def _post(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 
     held: dict[int, np.ndarray] = {}
     size = 0
-    for batch in batches:
-        for _, found in _tokens(batch):
-            for x in found:
-                if len(x) and (k := shingles.set_key(x)) not in held:
-                    held[k] = x
-                    size += len(x)
-            if size > BLOCK_TOKENS:
-                yield flush(held)
-                held, size = {}, 0
+    for batch in small_batches(batches):
+        for x in _sets(batch):
+            if len(x) and (k := shingles.set_key(x)) not in held:
+                held[k] = x
+                size += len(x)
+        if size > BLOCK_TOKENS:
+            yield flush(held)
+            held, size = {}, 0
     if held:
         yield flush(held)
 
@@ -154,11 +149,10 @@ def candidates(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> D
     left = stored(classes.join(shared, "k").where(_at_least("shared", "n")).select("k", "n", "doc_id"), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, found in _tokens(batch):
-                found = [x for x in found if len(x)]
-                arrays = [pa.array([shingles.set_key(x) for x in found], pa.int64()), pa.array([x.astype(">u8").tobytes() for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["k", "tokens"])
+        for batch in small_batches(batches):
+            found = [x for x in _sets(batch) if len(x)]
+            arrays = [pa.array([shingles.set_key(x) for x in found], pa.int64()), pa.array([x.astype(">u8").tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "tokens"])
 
     ids = broadcast_if_small(left.select("doc_id"))
     sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "k bigint, tokens binary")

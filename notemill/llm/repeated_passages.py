@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from notemill.operators.sizing import fits
 
 from . import shingles
-from .common import split_size, stored
+from .common import small_batches, split_size, stored
 
 LEAST = 50
 WINDOW = 25
 ANCHOR = LEAST - WINDOW + 1
-BUCKET_ROWS = 3_000_000
-BLOCK_ROWS = 1_000_000
+BUCKET_ROWS = 1_000_000
+BLOCK_ROWS = 400_000
 FEW_IDS = 1_000_000
 POSTED = "bucket int, keys binary, owners binary, places binary"
 FOUND = "doc_id bigint, places array<bigint>"
@@ -107,22 +107,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[tu
     """(owner, place, key) arrays of bounded blocks of documents."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
-    for batch in batches:
+    for batch in small_batches(batches):
         ids = batch.column(0).to_pylist()
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
         places = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-        for part in shingles.blocks(texts):
-            hashed, _, _, of = shingles.words(texts[part], fold=False)
-            bounds = np.searchsorted(of, np.arange(part.stop - part.start + 1))
-            for k, i in enumerate(range(part.start, part.stop)):
-                own = hashed[bounds[k] : bounds[k + 1]]
-                at, key = keys_of(own) if places is None else keys_of(own, np.array(places[i], np.int64))
-                if len(at):
-                    held.append((np.full(len(at), ids[i], np.int64), at, key))
-                    size += len(at)
-            if size > BLOCK_ROWS:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
+        hashed, _, _, of = shingles.words([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], fold=False)
+        bounds = np.searchsorted(of, np.arange(len(ids) + 1))
+        for i, doc in enumerate(ids):
+            own = hashed[bounds[i] : bounds[i + 1]]
+            at, key = keys_of(own) if places is None else keys_of(own, np.array(places[i], np.int64))
+            if len(at):
+                held.append((np.full(len(at), doc, np.int64), at, key))
+                size += len(at)
+        if size > BLOCK_ROWS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
     if held:
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
@@ -168,7 +166,7 @@ def shared_places(rows: DataFrame, keys_of: Callable, buckets: int) -> DataFrame
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Character spans of the union of runs of LEAST words that start at the given places."""
-    for batch in batches:
+    for batch in small_batches(batches):
         out: list[tuple] = []
         for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode("utf-8", "surrogatepass")

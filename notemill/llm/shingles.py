@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 SIZE = 5
-BLOCK_BYTES = 2 << 20
 _U = np.uint64
 _rng = np.random.default_rng(20240501)
 #: A random number for each byte, the same for A-Z as for a-z; a word is a polynomial in these.
@@ -39,18 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[slice]:
-    """Runs of texts of at most `limit` bytes together, or one longer text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield slice(start, len(texts))
-
-
 def words(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte, text number) of each word of a block; fold: A-Z count as a-z."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)

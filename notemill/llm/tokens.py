@@ -26,8 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LIMIT = 4096
 REMEMBERED = 400_000
+BATCH_BYTES = 8 << 20
 MARK = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
 
@@ -127,7 +130,7 @@ def fitting(text: str, ends: np.ndarray, counts: np.ndarray, budget: int, units:
 
 def _rows(batches: Iterator[pa.RecordBatch], model: str, budget: int, arrays: bool) -> Iterator[pa.RecordBatch]:
     units = units_of(model)
-    for batch in batches:
+    for batch in small_batches(batches, limit=BATCH_BYTES):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         got = prefixes(texts, units)
         totals = np.array([int(c[-1]) if len(c) else 0 for _, c in got], np.int64)
