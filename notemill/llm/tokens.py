@@ -99,7 +99,7 @@ def prefixes(texts: list[str], units: Units) -> list[tuple[np.ndarray, np.ndarra
 
 def unit_prefixes(unit: str, units: Units) -> np.ndarray:
     """Tokens of the unit's first 0, 1, 2 ... code points as they stand after one space."""
-    marked = MARK + unit
+    marked = MARK + unit.replace(" ", MARK)
     last, count = [""], [0]
     for end in range(1, len(marked) + 1):
         for start in range(max(0, end - units.longest), end):
