@@ -53,13 +53,9 @@ INTERVAL_DAYS = (1, 2, 4, 8, 16, 32)
 # Grading.
 COVERAGE_THRESHOLD = 0.55
 MAX_ATTEMPTS = 2
-MAX_QUESTIONS = 2
 FIRST_TRY_SCORE = 1.0
 SECOND_TRY_SCORE = 0.6
 
-# Operation metrics.
-MAX_SAMPLES = 200
-
 # Question templates for concept questions.
 CONCEPT_TEMPLATES = (
     "{tag}是什么？简述其核心概念。",

@@ -81,8 +81,3 @@ def course_tags(chunks: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("course", "tag").agg(
         F.min_by("file", "at").alias("file"), F.min("at").alias("first_at")
     )
-
-
-def head_pool(chunks: DataFrame, order: list[str], n: int) -> DataFrame:
-    """First n chunks in corpus order; 0 means all, which is the default everywhere."""
-    return chunks if n <= 0 else chunks.orderBy(*order).limit(n)

@@ -59,12 +59,14 @@ def scored(results: DataFrame, questions: DataFrame, labels: DataFrame, ks: list
 
 
 def eval_metrics(results: DataFrame, questions: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
-    """Macro metrics per course and k; results: (qid, rank, file) from any retrieval."""
+    """Macro metrics per course and k, zeros for courses without labels; results: (qid, rank, file) from any retrieval."""
     means = scored(results, questions, labels, ks).groupBy("course", "k").agg(
         F.avg("recall").alias("r"), F.avg("precision").alias("p"), F.avg("latency_ms").alias("l"),
         F.count("*").alias("labeled_questions"),
     )
-    return _rounded(means, "course", "k")
+    every = F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])).alias("k")
+    asked = questions.select("course").distinct().select("course", every)
+    return _rounded(asked.join(means, ["course", "k"], "left").na.fill(0, ["r", "p", "l", "labeled_questions"]), "course", "k")
 
 
 def _rounded(means: DataFrame, *keys: str) -> DataFrame:
@@ -79,7 +81,7 @@ def _rounded(means: DataFrame, *keys: str) -> DataFrame:
 def eval_summary(metrics: DataFrame) -> DataFrame:
     """Summary over courses, weighted by labeled questions, from the rounded course rows."""
     n = F.col("labeled_questions")
-    mean = lambda c: F.sum(F.col(c) * n) / F.sum(n)
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * n), F.sum(n)), F.lit(0.0))
     means = metrics.groupBy("k").agg(
         mean("recall").alias("r"), mean("precision").alias("p"), mean("avg_latency_ms").alias("l"),
         F.sum(n).alias("labeled_questions"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,24 @@ def min_chars(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.where(F.length(column) >= n)
 
 
+def resolved(path: Column) -> Column:
+    """Absolute path without empty, `.` and `..` parts; a path without a leading slash starts at the root."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+
+
 def output_allowed(path: Column, knowledge_root: str, allow_knowledge_write: bool = False) -> Column:
-    """False for targets below the knowledge root, except its `_inbox`."""
-    root = knowledge_root.rstrip("/")
+    """False for targets below the knowledge root, except its `_inbox`; paths are resolved first."""
+    root, path = posixpath.normpath(knowledge_root), resolved(path)
     below = (path == root) | path.startswith(root + "/")
     inbox = (path == root + "/_inbox") | path.startswith(root + "/_inbox/")
     return F.lit(allow_knowledge_write) | ~below | inbox
 
 
 def assert_output_allowed(path: str, knowledge_root: str, allow_knowledge_write: bool = False) -> None:
-    root, target = knowledge_root.rstrip("/"), path.rstrip("/")
+    root, target = posixpath.normpath(knowledge_root), posixpath.normpath(path)
     inside = target == root or target.startswith(root + "/")
     inbox = target == root + "/_inbox" or target.startswith(root + "/_inbox/")
     if inside and not inbox and not allow_knowledge_write:

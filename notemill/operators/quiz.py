@@ -64,8 +64,10 @@ def sample_key(seed: str) -> Column:
     return F.sha1(F.concat(F.lit(seed), F.col("question")))
 
 
-def sample_n(pool: DataFrame, n: int, seed: str) -> DataFrame:
-    """n questions per course without replacement: those with the smallest seeded hash."""
+def sample_n(pool: DataFrame, n: int | None, seed: str) -> DataFrame:
+    """n questions per course without replacement: those with the smallest seeded hash. Without n all, `pick` being their order."""
+    if n is None:
+        return pool.withColumn("pick", F.struct(sample_key(seed).alias("h"), "type", "source_file"))
     order = Window.partitionBy("course").orderBy(sample_key(seed), "type", "source_file")
     rows = pool.withColumn("pick", F.row_number().over(order).cast("bigint"))
     return rows.where(F.col("pick") <= n)
@@ -87,9 +89,9 @@ def quiz(pool: DataFrame, n: int, seed: str, difficulty: str | None = None, topi
 
 
 def distinct_topics(topic: Column, source_tags: Column) -> Column:
-    """Topic and source tags in order, trimmed, without blanks and repeats, at most four."""
+    """Topic and source tags in order, trimmed, without blanks and repeats."""
     every = F.transform(F.concat(F.array(topic), source_tags), strip)
-    return F.slice(F.array_distinct(F.filter(every, lambda t: t != "")), 1, 4)
+    return F.array_distinct(F.filter(every, lambda t: t != ""))
 
 
 def prefer_examples(pool: DataFrame, n: int, group: str = "session_id", order: str = "at") -> DataFrame:

@@ -67,7 +67,7 @@ def review_state(events: DataFrame) -> DataFrame:
 def with_overdue(state: DataFrame, as_of: dt.date) -> DataFrame:
     """Records that were reviewed at least once, with calendar days overdue."""
     rows = state.where(F.col("last_reviewed").isNotNull())
-    planned = F.coalesce("next_review", add_days(F.col("last_reviewed"), F.col("interval_days").cast("int")))
+    planned = F.coalesce("next_review", add_days(F.col("last_reviewed"), F.coalesce("interval_days", F.lit(1)).cast("int")))
     rows = rows.withColumn("next_review", planned)
     return rows.withColumn("days_overdue", F.date_diff(F.lit(as_of), F.to_date("next_review")).cast("bigint"))
 

@@ -1,8 +1,8 @@
 """Study sessions: grading, the answer state machine, scores and traces.
 
-A question accepts at most two attempts, and a session has at most a fixed number of questions.
-The state machine therefore needs no ordered walk through a session: per question the first two
-different answers decide, and the next question opens when they are through.
+A question accepts at most two attempts. The state machine therefore needs no ordered walk through a session: per question
+the first two different answers decide, and the next question opens when they are through. It is
+computed question by question, for all sessions at once.
 """
 
 from __future__ import annotations
@@ -42,14 +42,17 @@ def attempt_number(graded: DataFrame) -> DataFrame:
     return counted.withColumn("attempt_no", running.cast("bigint"))
 
 
-def answered(sessions: DataFrame, graded: DataFrame, max_questions: int = fixed.MAX_QUESTIONS) -> DataFrame:
+def answered(sessions: DataFrame, graded: DataFrame) -> DataFrame:
     """Per reached question: its accepted attempts and the turn that closed it (null while open).
 
+    As many steps as the longest session has questions; each step only reads the sessions that reached it.
+
     sessions: session_id, n_questions; graded: session_id, question_no, turn, norm, correct.
     """
     reached = None
     opened = sessions.select("session_id", F.lit(-1).cast("bigint").alias("opened_at"))
-    for q in range(1, max_questions + 1):
+    longest = sessions.agg(F.max("n_questions")).first()[0] or 1
+    for q in range(1, longest + 1):
         rows = graded.where(F.col("question_no") == q).select("session_id", "turn", "norm", "correct")
         if q > 1:
             rows = join_groups(rows, opened, ["session_id"], "inner", ["turn"], probe=sessions.select("session_id")).where("turn > opened_at")
@@ -130,17 +133,11 @@ def fold_sessions(sessions: DataFrame, reached: DataFrame, outcomes: DataFrame)
 
 
 def answer_rollup(graded: DataFrame) -> DataFrame:
-    """Attempts per question, last verdict, and the attempts in order.
-
-    Lists are built from numbered attempts, of which a question keeps at most two.
-    """
+    """Every attempt with the number of attempts on its question and the last verdict on it."""
     stats = graded.groupBy(*ATTEMPT_KEY).agg(
         F.count("*").alias("n_attempts"), F.max_by("correct", "turn").alias("last_correct")
     )
-    order = Window.partitionBy(*ATTEMPT_KEY).orderBy("turn")
-    kept = graded.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fixed.MAX_ATTEMPTS)
-    lists = kept.groupBy(*ATTEMPT_KEY).agg(F.array_sort(F.collect_list(F.struct("turn", "norm", "correct"))).alias("attempts"))
-    return stats.join(lists, ATTEMPT_KEY)
+    return join_groups(graded.select(*ATTEMPT_KEY, "turn", "norm", "correct"), stats, ATTEMPT_KEY, "inner", ["turn"], probe=graded.select("session_id"))
 
 
 def trace(sessions: DataFrame, reached: DataFrame) -> DataFrame:
@@ -190,7 +187,7 @@ def trace(sessions: DataFrame, reached: DataFrame) -> DataFrame:
         "session_id", F.col("question_no").alias("part"),
         F.concat(F.array(evaluate(F.col("correct_1"))), after_first, after_second, closing).alias("steps"),
     )
-    # bounded: one opening part and at most two attempts for each of a few questions
+    # one opening part and at most two attempts for each question
     flat = opening.unionByName(answers).select("session_id", "part", F.posexplode("steps").alias("at", "s"))
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("part", "at")).cast("bigint")
     return flat.select("session_id", number.alias("step_no"), "s.*")

@@ -234,7 +234,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     explain = F.coalesce(F.when(has("system") == 1, text_at("system")), F.when(has("assistant") == 1, text_at("assistant")), F.lit(""))
     return rows.groupBy("conv_id").agg(
         explain.alias("explanation"),
-        F.least(F.ceil(F.count_if(F.col("role") == "user") / 2), F.lit(fixed.MAX_QUESTIONS)).cast("bigint").alias("n_questions"),
+        F.ceil(F.count_if(F.col("role") == "user") / 2).cast("bigint").alias("n_questions"),
         F.min_by("text", "turn").alias("opening"),
     ).select(
         F.col("conv_id").cast("string").alias("session_id"),

@@ -223,12 +223,11 @@ def attempt_number(spark, sf):
 
 
 @query("answer_rollup", sql("""
-SELECT session_id, question_no, count(*) AS n_attempts, arg_max(correct, turn) AS last_correct,
-  string_agg(turn || ':' || norm || ':' || CASE WHEN correct THEN 'true' ELSE 'false' END, '|' ORDER BY turn) AS attempts FROM graded GROUP BY session_id, question_no""", "graded"))
+SELECT session_id, question_no, turn, norm, correct, count(*) OVER (PARTITION BY session_id, question_no) AS n_attempts,
+  last_value(correct) OVER (PARTITION BY session_id, question_no ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_correct
+FROM graded""", "graded"))
 def answer_rollup(spark, sf):
-    rows = ss.answer_rollup(_graded(spark, sf))
-    line = F.transform("attempts", lambda a: F.concat_ws(":", a["turn"].cast("string"), a["norm"], a["correct"].cast("string")))
-    return rows.select("session_id", "question_no", "n_attempts", "last_correct", F.array_join(line, "|").alias("attempts"))
+    return ss.answer_rollup(_graded(spark, sf))
 
 
 @query("session_score", sql("SELECT session_id, score FROM scores", "scores"))
@@ -289,7 +288,7 @@ SELECT session_id, 0 AS part, i AS nr, step, detail, state_after FROM (
   SELECT s.session_id, s.n_questions, unnest([1, 2, 3, 4, 5]) AS i,
     unnest(['create', 'qa', 'explain', 'quiz', 'review-log']) AS step,
     unnest(['session created', 'retrieved 1 sources', 'built explanation from retrieved notes',
-      CASE WHEN n_questions > 0 THEN 'generated ' || n_questions || ' question(s): ' || CASE n_questions WHEN 1 THEN 'example' ELSE 'example,example' END
+      CASE WHEN n_questions > 0 THEN 'generated ' || n_questions || ' question(s): ' || rtrim(repeat('example,', n_questions), ',')
            ELSE 'no questions available; complete after explanation' END, 'recorded review for ' || {TARGET}]) AS detail,
     unnest(['created', 'explaining', 'explaining', CASE WHEN n_questions > 0 THEN 'awaiting_answer' ELSE 'completed' END, 'completed']) AS state_after
   FROM sessions s) WHERE i < 5 OR n_questions = 0

@@ -151,7 +151,7 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) //
 SELECT CAST(conv_id AS VARCHAR) AS session_id, ['en', 'fr', 'de', 'es'][conv_id % 4 + 1] AS course,
   string_split(arg_min(text, turn), ' ')[1] AS topic,
   coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), arg_min(text, turn) FILTER (WHERE role = 'assistant'), '') AS explanation,
-  CAST(least((count(*) FILTER (WHERE role = 'user') + 1) // 2, 2) AS BIGINT) AS n_questions, 'src' || (conv_id % 20) AS source_tag
+  CAST((count(*) FILTER (WHERE role = 'user') + 1) // 2 AS BIGINT) AS n_questions, 'src' || (conv_id % 20) AS source_tag
 FROM conversations GROUP BY conv_id"""),
     "graded": (("attempts", "sessions"), r"""
 SELECT *, norm <> '' AND (

@@ -69,16 +69,6 @@ def positive_score(spark, sf):
         F.count("*").alias("n_scored"), F.round(F.min("score"), 4).alias("lowest"), F.round(F.max("score"), 4).alias("highest"))
 
 
-@query("head_pool", sql("""
-SELECT course, count(*) AS n_chunks, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM chunks GROUP BY course""", "chunks"))
-def head_pool(spark, sf):
-    from ..operators.chunks import head_pool as pool
-
-    rows = pool(b.chunks(spark, sf), KEY, 0)  # the default: no truncation
-    return rows.groupBy("course").agg(
-        F.count("*").alias("n_chunks"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-
-
 @query("search_keyword", sql("""
 SELECT qid, doc_id, pos, round(score, 4) AS score, rank FROM bm25 WHERE rank <= 5 AND qid % 3 <> 1
 UNION ALL SELECT qid, doc_id, pos, round(score, 4), rank FROM bm25_course WHERE rank <= 5""", "bm25", "bm25_course"))
@@ -220,10 +210,12 @@ FROM evals e CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) k LEFT JOIN ranked f ON
 WHERE len(e.relevant) > 0 GROUP BY e.course, e.qid, k.k, e.relevant"""
 RANKED = "ranked AS (SELECT f.qid, f.rank, c.file FROM bm25 f JOIN chunks c USING (doc_id, pos) WHERE f.rank <= 5)"
 METRICS = f"""
-SELECT course, k, round(r, 6) AS recall, round(p, 6) AS "precision",
-  round(CASE WHEN r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END, 6) AS f1, 1.0::DOUBLE AS avg_latency_ms, n AS labeled_questions
-FROM (SELECT course, k, avg(n_hits / n_relevant) AS r, avg(n_hits / greatest(n_returned, 1)) AS p, count(*) AS n
-      FROM ({SCORED}) GROUP BY course, k)"""
+SELECT course, k, round(coalesce(r, 0), 6) AS recall, round(coalesce(p, 0), 6) AS "precision",
+  round(CASE WHEN coalesce(r + p, 0) = 0 THEN 0 ELSE 2 * r * p / (r + p) END, 6) AS f1, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS avg_latency_ms,
+  coalesce(n, 0) AS labeled_questions
+FROM (SELECT DISTINCT course FROM evals) CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) LEFT JOIN (
+  SELECT course, k, avg(n_hits / n_relevant) AS r, avg(n_hits / greatest(n_returned, 1)) AS p, count(*) AS n
+  FROM ({SCORED}) GROUP BY course, k) USING (course, k)"""
 SUMMARY = """
 SELECT k, round(r, 6) AS recall, round(p, 6) AS "precision", round(CASE WHEN r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END, 6) AS f1,
   1.0::DOUBLE AS avg_latency_ms, n AS labeled_questions

@@ -119,10 +119,10 @@ def topic_question_match(spark, sf):
 SELECT course, question, type, 'q' || n AS question_id FROM (
   SELECT *, row_number() OVER (PARTITION BY course ORDER BY type <> 'example', pick) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY course, trim(question) ORDER BY type <> 'example', pick) AS d
-    FROM {PICKED.format(src='pool')} WHERE pick <= 40 AND trim(question) <> '') WHERE d = 1) WHERE n <= 10""", "pool"))
+    FROM {PICKED.format(src='pool')} WHERE trim(question) <> '') WHERE d = 1) WHERE n <= 10""", "pool"))
 def prefer_examples(spark, sf):
-    """Ten questions per course out of a sample of forty, examples first."""
-    rows = qz.prefer_examples(qz.sample_n(_pool(spark, sf), 40, b.SEED), 10, "course", "pick")
+    """Ten questions per course out of the whole pool, examples first."""
+    rows = qz.prefer_examples(qz.sample_n(_pool(spark, sf), None, b.SEED), 10, "course", "pick")
     return rows.select("course", "question", "type", "question_id")
 
 
@@ -203,16 +203,16 @@ def op_log_json(spark, sf):
 
 @query("last_n_samples", sql("SELECT event_id, operation, duration_ms FROM samples", "samples"))
 def last_n_samples(spark, sf):
-    return om.last_n_samples(_log(spark, sf)).select("event_id", "operation", "duration_ms")
+    return om.last_n_samples(_log(spark, sf), 200).select("event_id", "operation", "duration_ms")
 
 
 STATS = """round(avg(duration_ms), 3) AS avg_latency_ms, quantile_disc(duration_ms, 0.5) AS p50_latency_ms, quantile_disc(duration_ms, 0.95) AS p95_latency_ms,
   quantile_disc(duration_ms, 0.99) AS p99_latency_ms, count(*) AS sample_count"""
 
 
-@query("latency_stats", sql(f"SELECT {STATS} FROM samples", "samples"))
+@query("latency_stats", sql(f"SELECT {STATS} FROM oplog", "oplog"))
 def latency_stats(spark, sf):
-    return om.latency_stats(om.last_n_samples(_log(spark, sf)))
+    return om.latency_stats(_log(spark, sf))
 
 
 @query("op_counts", sql("""
@@ -229,6 +229,6 @@ def cache_status(spark, sf):
 
 
 @query("health_snapshot", sql(f"""
-SELECT {STATS}, (SELECT count(*) FROM chunks) AS index_size, (SELECT CASE WHEN arg_max(cache_hit, ts) THEN 'warm' ELSE 'cold' END FROM oplog) AS cache_status FROM samples""", "samples", "chunks"))
+SELECT {STATS}, (SELECT count(*) FROM chunks) AS index_size, (SELECT CASE WHEN arg_max(cache_hit, ts) THEN 'warm' ELSE 'cold' END FROM oplog) AS cache_status FROM oplog""", "oplog", "chunks"))
 def health_snapshot(spark, sf):
     return om.health(b.chunks(spark, sf), b.oplog(spark, sf))
