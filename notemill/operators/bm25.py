@@ -9,6 +9,7 @@ term alone without map-side counting.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ def query_terms(queries: DataFrame, keep: tuple[str, ...] = ("qid",), text: str
 
 
 def tokenized(chunks: DataFrame, key: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Chunk keys with their tokens, hashed by chunk key."""
-    return chunks.select(*key, *extra, tokens(F.col("content")).alias("toks")).repartition(*key)
+    """Chunk keys with their tokens."""
+    return chunks.select(*key, *extra, tokens(F.col("content")).alias("toks"))
 
 
 def term_postings(toks: DataFrame, key: list[str], extra: tuple[str, ...] = (), vocab: DataFrame | None = None) -> DataFrame:
@@ -88,7 +89,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, key: list[str], scope: tu
 def top_ranked(scored: DataFrame, key: list[str], k: int, score: str = "score") -> DataFrame:
     """Best k rows per question: rounded score descending, corpus order on ties; 1-based rank."""
     # billionths as a whole number: the same order as round(score, 9), and cheap to compare
-    billionths = (F.col(score) * 1e9 + 0.5).cast("bigint")
+    billionths = F.floor(F.col(score) * 1e9 + 0.5)
     by_score = Window.partitionBy("qid").orderBy(billionths.desc(), *key)
     return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).withColumn(
         "rank", F.col("rank").cast("bigint")
@@ -111,16 +112,15 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = fixed.ROUTE_DEPTH,
               scope: tuple[str, ...] = ()) -> DataFrame:
     """Keyword route: qid, chunk key, score rounded to 4 decimals after ranking, rank.
 
-    The terms of up to MAX_TERMS (question, term) pairs travel to the chunks, which are scored
-    where they are, and each task emits at most k chunks per question: nothing of the size of the
-    chunk table is shuffled. More questions than that are scored by joins (`bm25_scores`).
+    Questions are cut into blocks of about MAX_TERMS (question, term) pairs. The terms of a block travel to the
+    chunks, which are scored where they are, and each task emits at most k chunks per question:
+    nothing of the size of the chunk table is shuffled, however many questions there are.
     """
     key = key or ["doc_id", "pos"]
     terms = query_terms(queries, ("qid", *scope))
-    if fits(terms, MAX_TERMS):
-        found = _scan(terms, chunks, k, key, scope)
-    else:
-        found = bm25_scores(queries, chunks, key, scope)
+    blocks = -(-terms.count() // MAX_TERMS) or 1
+    parts = [terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [terms]
+    found = reduce(DataFrame.unionByName, [_scan(part, chunks, k, key, scope) for part in parts])
     return top_ranked(found, key, k).withColumn("score", F.round("score", 4))
 
 
@@ -157,7 +157,7 @@ def _weights(terms: pd.DataFrame, counts: pd.DataFrame, scope: list[str]) -> pd.
 
 def _keep(found: pd.DataFrame, k: int, key: list[str]) -> pd.DataFrame:
     """Best k rows per question in ranking order."""
-    found = found.assign(_s=found["score"].round(9)).sort_values(["qid", "_s", *key], ascending=[True, False, *[True] * len(key)])
+    found = found.assign(_s=np.floor(found["score"] * 1e9 + 0.5)).sort_values(["qid", "_s", *key], ascending=[True, False, *[True] * len(key)])
     return found.drop(columns="_s").groupby("qid", sort=False).head(k)
 
 

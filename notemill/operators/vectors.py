@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,6 @@ from ..functions import fixed
 from .bm25 import top_ranked
 
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 65536
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -50,53 +50,41 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.ROUTE_DEP
                 carry: list[str] | None = None) -> DataFrame:
     """Exact top k vectors per query at or above the threshold.
 
-    queries: (qid, embedding); vectors: (vec_id, embedding) and columns to carry along. Up to `block` queries travel to the
-    tasks that hold the vectors, which stay where they are. More queries are cut into blocks that
-    meet blocks of vectors pair by pair, so no task ever holds more than one block of each. Every
-    task emits at most k rows per query.
+    queries: (qid, embedding); vectors: (vec_id, embedding) and columns to carry along. Queries are cut into blocks of
+    about `block`, each of which travels to the tasks that hold the vectors; these stay where they
+    are. Every task emits at most k rows per query.
     """
     cols = ["vec_id", *(carry or [])]
     vectors = vectors.select(*cols, "embedding")
     names = [*cols, "qid", "score"]
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields} | {"qid": "bigint", "score": "double"}
     schema = ", ".join(f"{n} {types[n]}" for n in names)
-    head = queries.select("qid", "embedding").limit(block + 1).toPandas()
-    if len(head) == 0:
+    asked = queries.select("qid", "embedding")
+    blocks = -(-asked.count() // block)
+    if blocks == 0:
         return queries.sparkSession.createDataFrame([], schema + ", rank bigint")
-    if len(head) <= block:
-        qids, q = head["qid"].to_numpy(), _unit(head["embedding"])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for b in batches:
-                if len(b) == 0:
-                    continue
-                part = _block_best(qids, q, b, k, threshold)
-                best = part if best is None else _best(pd.concat([best, part]), k)
-            if best is not None:
-                yield best[names]
-
-        found = vectors.mapInPandas(scan, schema)
-    else:
-        found = _block_join(queries, vectors, k, threshold, block, names, schema)
+    parts = [asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [asked]
+    found = reduce(DataFrame.unionByName, [_scan(part.toPandas(), vectors, k, threshold, names, schema) for part in parts])
     return top_ranked(found, ["vec_id"], k).withColumn("score", F.round("score", 4))
 
 
-def _block_join(queries, vectors, k, threshold, block, names, schema) -> DataFrame:
-    n_q = -(-queries.count() // block) * 2
-    n_v = -(-vectors.count() // VECTOR_BLOCK) * 2
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    left = queries.select("qid", "embedding", bucket("qid", n_q).alias("qb"), every(n_v).alias("vb"))
-    right = vectors.select("*", bucket("vec_id", n_v).alias("vb"), every(n_q).alias("qb"))
+def _scan(head: pd.DataFrame, vectors: DataFrame, k: int, threshold: float, names: list[str], schema: str) -> DataFrame:
+    """Best k of each task's vectors for a block of queries, which is sent to the tasks once."""
+    if len(head) == 0:
+        return vectors.sparkSession.createDataFrame([], schema)
+    shared = vectors.sparkSession.sparkContext.broadcast((head["qid"].to_numpy(), _unit(head["embedding"])))
 
-    def meet(lq: pd.DataFrame, rv: pd.DataFrame) -> pd.DataFrame:
-        if len(lq) == 0 or len(rv) == 0:
-            return pd.DataFrame({n: [] for n in names})
-        stored = rv.drop(columns=["qb", "vb"])
-        return _block_best(lq["qid"].to_numpy(), _unit(lq["embedding"]), stored, k, threshold)[names]
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            if len(b) == 0:
+                continue
+            part = _block_best(*shared.value, b, k, threshold)
+            best = part if best is None else _best(pd.concat([best, part]), k)
+        if best is not None:
+            yield best[names]
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)
+    return vectors.mapInPandas(scan, schema)
 
 
 def above(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:
