@@ -196,9 +196,12 @@ def dq_nonempty(spark, sf):
     return quality.nonempty(parts).select("doc_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("dq_required_meta", sql("SELECT doc_id FROM notes WHERE source = course", "notes"))
+@query("dq_required_meta", sql("SELECT doc_id FROM notes WHERE source = course OR doc_id % 29 = 0", "notes"))
 def dq_required_meta(spark, sf):
-    return quality.required_meta(ch.parse_notes(b.rendered(spark, sf).select("doc_id", "rel", "text"))).select("doc_id")
+    """Every 29th note lacks its date."""
+    undated = F.regexp_replace("text", r"(?m)^updated:[^\n]*\n", "")
+    text = F.when(F.col("doc_id") % 29 == 0, undated).otherwise(F.col("text")).alias("text")
+    return quality.required_meta(ch.parse_notes(b.rendered(spark, sf).select("doc_id", "rel", text))).select("doc_id")
 
 
 @query("dq_min_counts", sql("SELECT course, count(*) AS n FROM notes GROUP BY course HAVING count(*) < 120", "notes"))
@@ -225,6 +228,9 @@ def dq_no_candidates(spark, sf):
 
 
 @query("dq_no_local_paths", r"""
-SELECT page_id FROM pages WHERE regexp_matches(html, '(^|[^A-Za-z])[A-Za-z]:(\\|/[^/]|/$)')""")
+SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN html || ' C:\notes\p.md' ELSE html END AS html FROM pages)
+WHERE regexp_matches(html, '(^|[^A-Za-z])[A-Za-z]:(\\|/[^/]|/$)')""")
 def dq_no_local_paths(spark, sf):
-    return quality.local_paths(b.table(spark, sf, "pages"), "html").select("page_id")
+    """Every ninth page ends in a path of somebody's disk."""
+    html = F.when(F.col("page_id") % 9 == 0, F.concat("html", F.lit(" C:\\notes\\p.md"))).otherwise(F.col("html")).alias("html")
+    return quality.local_paths(b.table(spark, sf, "pages").select("page_id", html), "html").select("page_id")

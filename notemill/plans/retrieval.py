@@ -403,10 +403,12 @@ def encode_with(spark, sf):
 
 
 @query("dq_vector_dims", sql("""
-SELECT dim, n FROM (SELECT CAST(len(v) AS BIGINT) AS dim, count(*) AS n FROM vecs GROUP BY 1)
-WHERE (SELECT count(DISTINCT len(v)) FROM vecs) <> 1 OR dim <= 0""", "vecs"))
+SELECT CAST(len(v) - (vec_id % 50 = 0)::INTEGER AS BIGINT) AS dim, count(*) AS n FROM vecs GROUP BY 1""", "vecs"))
 def dq_vector_dims(spark, sf):
-    return quality.vector_dims(b.vectors(spark, sf))
+    """Every fiftieth vector is one number short."""
+    short = F.expr("slice(embedding, 1, size(embedding) - 1)")
+    rows = b.vectors(spark, sf).withColumn("embedding", F.when(F.col("vec_id") % 50 == 0, short).otherwise(F.col("embedding")))
+    return quality.vector_dims(rows)
 
 
 @query("index_stats", sql("""

@@ -37,10 +37,3 @@ def stream_reviews(events: DataFrame, out: str) -> DataFrame:
 def read_state(spark: SparkSession, out: str) -> DataFrame:
     """Current review records from all summaries written so far."""
     return review.schedule(review.merge_folds(spark.read.parquet(f"{out}/folds").drop("batch")))
-
-
-def live_counts(events: DataFrame, horizon: str = "40 days") -> DataFrame:
-    """Accepted reviews within a bounded memory: repeats are dropped inside the watermark only."""
-    keyed = events.withColumn("replay_key", review.replay_key(F.col("session_id"), F.col("event_id")))
-    keyed = keyed.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", horizon)
-    return keyed.dropDuplicatesWithinWatermark(["replay_key"])
