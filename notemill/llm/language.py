@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 13
 CENTROIDS = 4
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 500
 UNKNOWN = "und"
 REJECT_QUANTILE = 0.001
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -86,16 +86,24 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], k: int = CENTROIDS) -> Model:
-    """Model of (text, language) rows."""
-    found = [(lang, c) for text, lang in rows if text and (c := counts(text)) is not None]
-    languages = sorted({lang for lang, _ in found})
-    if not found:
+    """Model of (text, language) rows; holds one vector of each, in place."""
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    df = np.zeros(DIMENSIONS, np.int64)
+    named: list[str] = []
+    for text, lang in rows:
+        c = counts(text) if text else None
+        if c is not None:
+            x[len(named)] = np.log1p(c)
+            df += c > 0
+            named.append(lang)
+    if not named:
         return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    raw = np.array([c for _, c in found], np.float32)
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
-    x = np.log1p(raw) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    names = np.array([lang for lang, _ in found])
+    x = x[: len(named)]
+    names, languages = np.array(named), sorted(set(named))
+    idf = (np.log((1 + len(x)) / (1 + df)) + 1).astype(np.float32)
+    for row in x:
+        row *= idf
+        row /= max(float(np.sqrt(row @ row)), 1e-12)
     parts, owner, reach = [], [], []
     for j, lang in enumerate(languages):
         own = x[names == lang]
