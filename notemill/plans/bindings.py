@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,18 +106,31 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 def quoted(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, doc_id, file, course): notes that contain a question's whole text.
 
-    A note with the text has the question's second to sixth word in a row, so equal word runs
-    find the candidates and only those are compared.
+    A note with the text has the question's words but the first and the last in a row, so equal runs of up to five of
+    them find the candidates and only those are compared. Questions of one or two words have no
+    such word; they are looked for in every note.
     """
-    runs = lambda text: let(F.split(text, r"\s+"), lambda words: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, 5))))
+    def runs(text, n):
+        return let(F.split(text, r"\s+"), lambda words: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n))))
+
     items = questions(spark, sf).withColumn("words", F.split("question", r"\s+"))
-    items = items.withColumn("run", F.when(
-        F.size("words") >= 7, F.concat_ws(" ", F.slice("words", 2, 5))).otherwise(F.raise_error(F.lit("question too short"))))
-    items = broadcast_if_small(items.drop("words"), probe=questions(spark, sf))
+    items = items.withColumn("n", F.least(F.size("words") - 2, F.lit(5)))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most five and those of short questions
+    items = items.withColumn("run", F.when(F.col("n") > 0, F.concat_ws(" ", F.slice("words", F.lit(2), F.greatest("n", F.lit(1)))))).drop("words")
     docs = notes(spark, sf).select("doc_id", "file", "course", "text")
-    found = docs.withColumn("run", F.explode(F.array_distinct(runs(F.col("text")))))
-    return found.join(items, "run").where(F.contains("text", "question")).select("qid", "doc_id", "file", "course").distinct()
+    parts = []
+    if any(n > 0 for n in lengths):
+        every = F.array_distinct(F.concat(*[runs(F.col("text"), n) for n in lengths if n > 0]))
+        keyed = broadcast_if_small(items.where("n > 0"), probe=questions(spark, sf))
+        parts.append(docs.withColumn("run", F.explode(every)).join(keyed, "run").where(F.contains("text", "question")))
+    if any(n <= 0 for n in lengths):
+        short = broadcast_if_small(items.where("n <= 0").drop("run"), probe=questions(spark, sf))
+        parts.append(docs.join(short, F.contains("text", "question")))
+    columns = ["qid", "doc_id", "file", "course"]
+    if not parts:
+        return docs.join(items, F.lit(False)).select(columns)
+    return reduce(DataFrame.unionByName, [p.select(columns) for p in parts]).distinct()
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:

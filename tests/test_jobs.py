@@ -261,3 +261,15 @@ def test_note_files(spark, tmp_path):
     assert first.count() == 3 and sorted(src.refresh_chunks(spark, root, table).inputFiles()) == sorted(first.inputFiles())
     (tmp_path / "k" / "os" / "new.md").write_text(body, encoding="utf-8")
     assert src.refresh_chunks(spark, root, table).count() == 4
+
+
+def test_questions_of_any_length_are_found(spark, tmp_path):
+    from notemill.plans import bindings
+
+    texts = [(0, "one two three four five six seven eight"), (1, "x two three four five six y"), (2, "lone word"), (3, "nothing")]
+    spark.createDataFrame([(i, t, "en", "src5", len(t)) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = [(10, "wo three four five six "), (11, "one two three four five six seven eight"), (12, "lone"), (13, "three four f"), (14, "lone word"), (15, "absent one")]
+    spark.createDataFrame(asked, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.qid, r.doc_id) for r in bindings.quoted(spark, str(tmp_path)).collect()}
+    assert got == {(q, i) for q, x in asked for i, t in texts if x in t} and len(got) >= 6
