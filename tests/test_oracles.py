@@ -6,9 +6,10 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from notemill.plans import load
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load().QUERIES, load().ORACLES
 
 
 @pytest.fixture(scope="module")
