@@ -7,7 +7,8 @@
    end here, by an exact bound.
 3. Shingles of the classes left are ordered rarest first, by exact counts among them. A class is listed
    under its first shingles in that order, just as many that two linked classes must share one.
-4. Of every list some classes are taken as centres and compared with the list's members of other components. The
+4. Of every list some classes are taken as centres and compared with the list's members of other components, as far as
+   the shingles from the list's own on could suffice for a link. The
    members of one comparison are kept in a trie (sets sorted in one global order, shared prefixes walked once); the walk
    carries the overlap so far and leaves a subtree when what remains cannot reach the bound. Found links merge
    components; lists within one component are done; the others get GROWTH times as many new centres, until every member was one. So no
@@ -161,7 +162,8 @@ def candidates(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> D
 
 
 def prefix_lists(sets: DataFrame) -> DataFrame:
-    """(t, k, n): each class under the rarest of its shared shingles, as many as a link needs."""
+    """(t, k, n, after): each class under the rarest of its shared shingles, as many as a link needs;
+    after: shingles of the class from t on, in the order."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +177,8 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
     # of n shingles, those no other class holds come first; n - ceil(0.75 n) + 1 are looked at
     room = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("ts"))
     some = ranked.withColumn("_room", room.cast("int")).where("_room > 0")
-    return some.select(F.explode(F.slice("ts", F.lit(1), F.col("_room"))).alias("x"), "k", "n").select(F.col("x.t").alias("t"), "k", "n")
+    listed = some.select(F.posexplode(F.slice("ts", F.lit(1), F.col("_room"))).alias("at", "x"), "k", "n", F.size("ts").alias("_shared"))
+    return listed.select(F.col("x.t").alias("t"), "k", "n", (F.col("_shared") - F.col("at")).cast("bigint").alias("after"))
 
 
 def probe(center: np.ndarray, partners: list[np.ndarray]) -> list[int]:
@@ -268,14 +271,16 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         if state.isEmpty():
             return labels
         slots = F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(GROWTH**turn))
-        first = F.min(F.struct(F.xxhash64("k"), F.col("k"), F.col("n"), F.col("c"))).alias("x")
+        first = F.min(F.struct(F.xxhash64("k"), F.col("k"), F.col("n"), F.col("c"), F.col("after"))).alias("x")
         picked = state.where("NOT used").groupBy("t", slots.alias("slot")).agg(first)
-        centers = picked.select("t", F.col("x.k").alias("center"), F.col("x.n").alias("cn"), F.col("x.c").alias("cc"))
-        near = (F.col("k") != F.col("center")) & (F.col("c") != F.col("cc")) & (4 * F.least("n", "cn") >= 3 * F.greatest("n", "cn"))
+        centers = picked.select("t", F.col("x.k").alias("center"), F.col("x.n").alias("cn"), F.col("x.c").alias("cc"), F.col("x.after").alias("ca"))
+        # in the list of the first shingle that two classes share, all they share comes from there on
+        enough = (7 * F.least("after", "ca") >= 3 * (F.col("n") + F.col("cn"))) & (4 * F.least("n", "cn") >= 3 * F.greatest("n", "cn"))
+        near = (F.col("k") != F.col("center")) & (F.col("c") != F.col("cc")) & enough
         pairs = stored(state.join(centers, "t").where(near).select("center", "k").distinct(), "pairs")
         labels = merge(labels, stored(verified(pairs, sets), "links"))
         taken = centers.select("t", F.col("center").alias("k"), F.lit(True).alias("now"))
-        state = state.join(taken, ["t", "k"], "left").select("t", "k", "n", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+        state = state.join(taken, ["t", "k"], "left").select("t", "k", "n", "after", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
         turn += 1
 
 
