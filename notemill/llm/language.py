@@ -36,7 +36,7 @@ _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 def counts(text: str) -> np.ndarray | None:
     """Hashed counts of letter n-grams, or None without a letter."""
     body = NOT_LETTERS.sub(" ", text.lower())
-    if not body.strip():
+    if not any(map(str.isalpha, body)):
         return None
     points = np.frombuffer((" " + body + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     total = np.zeros(DIMENSIONS, np.float32)
