@@ -82,17 +82,41 @@ def _pack(owner: np.ndarray, place: np.ndarray, key: np.ndarray, buckets: int) -
             yield b, key[a:z].tobytes(), owner[a:z].tobytes(), place[a:z].astype(np.int32).tobytes()
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Places whose key another document holds, as one row per document."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
+def _homes(owner: np.ndarray, place: np.ndarray, homes: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(home, owners, places): one row for each group of documents that a hash of their ids puts together."""
+    home = (shingles.mix(owner.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(homes + 1))
+    for h in range(homes):
+        at = order[cuts[h] : cuts[h + 1]]
+        if len(at):
+            yield h, owner[at].tobytes(), place[at].astype(np.int32).tobytes()
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate([np.frombuffer(x, np.int64) for x in table["owners"].to_pylist()])
-    place = np.concatenate([np.frombuffer(x, np.int32) for x in table["places"].to_pylist()])
+    return owner, np.concatenate([np.frombuffer(x, np.int32) for x in table["places"].to_pylist()])
+
+
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and places whose key another document holds."""
+    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
+    owner, place = _arrays(table)
     order = np.argsort(key, kind="stable")
     key, owner, place = key[order], owner[order], place[order]
     fresh = np.flatnonzero(np.diff(key, prepend=key[:1] - np.uint64(1)))
     length = np.diff(fresh, append=len(key))
     several = np.repeat(np.minimum.reduceat(owner, fresh) != np.maximum.reduceat(owner, fresh), length)
-    return _lists(owner[several], place[several].astype(np.int64))
+    return owner[several], place[several]
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One row per document of a home, with its places once each."""
+    owner, place = _arrays(table)
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order].astype(np.int64)
+    fresh = np.append(True, (np.diff(owner) != 0) | (np.diff(place) != 0))[: len(owner)]
+    return _lists(owner[fresh], place[fresh])
 
 
 def _lists(owner: np.ndarray, place: np.ndarray) -> pa.Table:
@@ -147,21 +171,18 @@ def shared_places(rows: DataFrame, keys_of: Callable, buckets: int) -> DataFrame
             send, known = _settle(owner, place, key)
             out = list(_pack(owner[send], place[send], key[send], buckets))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            if known.any():  # settled here: passed through as they are, spread over the buckets by document
-                told = _lists(owner[known], place[known])
-                rows = [(-1 - int(d) % buckets, b"", np.int64(d).tobytes(), np.array(p, np.int32).tobytes()) for d, p in zip(told["doc_id"].to_pylist(), told["places"].to_pylist(), strict=True)]
+            if known.any():  # settled here: passed through as they are
+                rows = [(-1 - h, b"", o, p) for h, o, p in _homes(owner[known], place[known], buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def meet(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() >= 0:
-            return _meet(table)
-        places = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["places"].to_pylist()]
-        owner = np.concatenate([np.frombuffer(x, np.int64) for x in table["owners"].to_pylist()])
-        return _lists(np.repeat(owner, [len(p) for p in places]), np.concatenate(places))
+        rows = list(_homes(*(_shared(table) if table["bucket"][0].as_py() >= 0 else _arrays(table)), buckets))
+        cells = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("home", "owners", "places"), cells, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     posted = rows.mapInArrow(post, POSTED)
-    found = posted.groupBy("bucket").applyInArrow(meet, FOUND)
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    told = posted.groupBy("bucket").applyInArrow(meet, "home int, owners binary, places binary")
+    return told.groupBy("home").applyInArrow(_merge, FOUND)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
