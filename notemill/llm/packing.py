@@ -40,8 +40,8 @@ EPOCHS = 2
 GENERATIONS = 5
 POPULATION = 4
 WELL_FILLED = 0.98
-REMEMBERED = 800_000
-BATCH_BYTES = 8 << 20
+REMEMBERED = 400_000
+BATCH_BYTES = 4 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
 RUNS = re.compile(r"^\s|\s\s|\s$")
 
@@ -77,15 +77,16 @@ class Encoder:
 
     def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for units that start with a space and hold no white space at either end."""
-        groups = [units[a : a + 256] for a in range(0, len(units), 256)]
-        lengths, ids = [], []
-        for group, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            own = np.array(e.ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(u.encode()) for u in group), np.int64, len(group)))
-            at = np.searchsorted(np.cumsum(self.size[own]), ends) + 1
-            lengths.append(np.diff(at, prepend=0))
-            ids.append(own)
-        return (np.concatenate(lengths), np.concatenate(ids)) if groups else (np.empty(0, np.int64), np.empty(0, "<u4"))
+        lengths, ids = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+        for first in range(0, len(units), 8192):  # the library holds much for each token of a batch
+            groups = [units[a : a + 256] for a in range(first, min(first + 8192, len(units)), 256)]
+            for group, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+                own = np.array(e.ids, "<u4")
+                ends = np.cumsum(np.fromiter((len(u.encode()) for u in group), np.int64, len(group)))
+                at = np.searchsorted(np.cumsum(self.size[own]), ends) + 1
+                lengths.append(np.diff(at, prepend=0))
+                ids.append(own)
+        return np.concatenate(lengths), np.concatenate(ids)
 
     def _find(self, units: pa.Array) -> np.ndarray:
         """Numbers of the units among the known ones; new ones are encoded and remembered."""
