@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their hosts' boilerplate lines; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
+    """All documents, without their hosts' boilerplate lines; n_chars follows the text. Copies count as one page: they are the next stage's."""
+    out = line_dedup.drop_boilerplate(docs, copies=False)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

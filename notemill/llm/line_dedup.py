@@ -8,7 +8,8 @@ few lines per host (at most lines per page / max_ratio); these meet the pages as
 
 Defined cases: null hosts form a host of their own; a null text stays null; lines without a word
 are neither counted nor dropped; a text without a dropped line stays as it is, one that loses
-all its lines becomes empty; repeated rows count as pages of their own.
+all its lines becomes empty; repeated rows count as pages of their own, or with `copies=False` all
+rows of a host with the same text as one page, so a group of copies is no site-wide line.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ def _host(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("n"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(_host, _line): the hosts' lines over the ratio."""
     pages = docs.select(_host(F.col(host)).alias("_host"), F.col(text).alias("_text"))
+    if not copies:  # grouped map-side: a hot group of copies is one row per task
+        pages = pages.groupBy("_host", _key(F.col("_text")).alias("_page")).agg(F.first("_text").alias("_text"))
     totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     lines = pages.select("_host", F.explode(F.array_distinct(F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))).alias("_line"))
     counts = lines.select("_host", _key(F.col("_line")).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_on"))
@@ -43,9 +46,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
     return often.join(totals, "_host").where(F.col("_on") > F.lit(max_ratio) * F.col("_pages")).select("_host", "_line")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(row, text, n_lines, n_dropped): docs' columns as one struct, the cleaned text, and counts of lines."""
-    found = stored(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
+    found = stored(boilerplate(docs, host, text, max_ratio, min_pages, copies), "boilerplate")
     lists = found.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), _host(F.col(host)).alias("_host"), F.xxhash64(F.col(text)).alias("_spread"))
     joined = join_groups(rows, lists, ["_host"], "left", ["_spread"], probe=found)
