@@ -15,6 +15,8 @@ from notemill.operators.sizing import broadcast_if_small
 
 #: Learned rules, optimised packings and tokenizers are beyond SQL.
 ORACLE_SQL = None
+#: On two pages a line can be a quotation; from three different ones on the ratio decides, at every size of host.
+LEAST_PAGES = 3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their hosts' boilerplate lines; n_chars follows the text. Copies count as one page: they are the next stage's."""
-    out = line_dedup.drop_boilerplate(docs, copies=False)
+    out = line_dedup.drop_boilerplate(docs, min_pages=LEAST_PAGES, copies=False)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars"))}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

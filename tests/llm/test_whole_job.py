@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+from oracle_check import compare
+
 import corpus_pipeline
+from notemill.llm import queries, registry  # noqa: F401
 
 
 def test_a_group_of_copies_keeps_one_full_text(spark):
@@ -15,3 +19,27 @@ def test_a_group_of_copies_keeps_one_full_text(spark):
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copies(spark, plain, "").collect()}
     assert left.pop(0) == copy
     assert set(left) == set(range(100, 140)) and all(t.startswith("own text") for t in left.values())
+
+
+def hosts(spark):
+    """A menu line on 3 of 9 pages of a small host, on 12 of 100 of a large one, and a line on 2 of 9 pages."""
+    rows = [(i, "small", ("menu\n" if i < 3 else "quoted\n" if i < 5 else "") + f"own text {i}") for i in range(9)]
+    rows += [(100 + i, "large", ("menu\n" if i < 12 else "rare\n" if i < 17 else "") + f"own text {i}") for i in range(100)]
+    return spark.createDataFrame([(*r, len(r[2])) for r in rows], "doc_id bigint, source string, text string, n_chars bigint")
+
+
+def test_small_hosts_lose_their_boilerplate(spark):
+    docs = hosts(spark)
+    left = {r["doc_id"]: r["text"].split("\n")[0] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert len(left) == 109 and "menu" not in left.values()
+    assert [left[i] for i in (3, 4, 112)] == ["quoted", "quoted", "rare"]
+
+
+def test_line_dedup_matches_sql_where_lines_are_dropped(spark, tmp_path):
+    hosts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "op5_line_dedup"
+    ok, note = compare(spark, con, str(tmp_path), name, registry.QUERIES[name], registry.ORACLES[name])
+    assert ok, note
+    assert registry.QUERIES[name](spark, str(tmp_path)).agg({"n_dropped": "sum"}).first()[0] == 12
