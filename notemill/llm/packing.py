@@ -6,9 +6,10 @@ packed on several islands, populations that start from shuffled best-fit-decreas
 whole well-filled bins of one parent are injected into the other, bins that hold an injected item are removed, and
 what they displace is put back by best fit. Between epochs each island receives the elite of its
 neighbour. Of the best packing of a shard the well-filled bins are final; the rest goes to the next level, where
-fewer shards mix what different shards had left, until one shard holds it all.
+fewer shards mix what different shards had left, until one shard holds it all or a level leaves most of its items:
+then lengths that do not go together would only meet again, and every shard's bins are final as they are.
 
-A task holds one shard (some thousand lengths) at a time; documents, ids and packings never meet in
+A task holds one shard (some thousand lengths) at a time, whatever the lengths are; documents, ids and packings never meet in
 one place. Every random choice is seeded by shard, island and level, so a lost task repeats itself.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each on their own;
@@ -40,6 +41,7 @@ EPOCHS = 2
 GENERATIONS = 5
 POPULATION = 4
 WELL_FILLED = 0.98
+STUCK = 0.7
 REMEMBERED = 400_000
 BATCH_BYTES = 4 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -311,15 +313,16 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLAND
             state = found.join(guests, ["shard", "island"]).withColumn("plans", F.array("plan", "guest"))
         best = found.groupBy("shard").agg(F.max_by(F.struct("items", "lengths", "plan"), F.struct(-F.col("n_bins"), "score", -F.col("island"))).alias("b")).select("shard", "b.*")
         placed = stored(best.mapInArrow(_settled, "shard int, item bigint, length int, bin int, offset bigint, fill bigint"), "placed")
-        final = F.lit(True) if shards == 1 else F.col("fill") >= int(WELL_FILLED * capacity)
+        full = F.col("fill") >= int(WELL_FILLED * capacity)
+        rest = 0 if shards == 1 else placed.where(~full).count()
+        # where little fills well, another deal brings the same lengths together: all bins are final
+        last = rest >= STUCK * n or shards == 1
+        final = F.lit(True) if last else full
         number = F.lit(level).cast("bigint") * (1 << 56) + F.col("shard").cast("bigint") * (1 << 24) + F.col("bin")
         done.append(placed.where(final).select("item", number.alias("sequence_id"), "offset"))
-        if shards == 1:
+        if last:
             break
         left = placed.where(~final).select("item", "length")
-        rest = left.count()
-        # where nothing fills well, larger shards still bring the rest together
-        shard_items = shard_items if rest < 0.7 * n else 2 * shard_items
         n, level = rest, level + 1
     out = items.select("item", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).where("false") if not done else done[0]
     for more in done[1:]:

@@ -6,7 +6,7 @@ import duckdb
 from oracle_check import compare
 
 import corpus_pipeline
-from notemill.llm import queries, registry  # noqa: F401
+from notemill.llm import packing, queries, registry  # noqa: F401
 
 
 def test_a_group_of_copies_keeps_one_full_text(spark):
@@ -43,3 +43,18 @@ def test_line_dedup_matches_sql_where_lines_are_dropped(spark, tmp_path):
     ok, note = compare(spark, con, str(tmp_path), name, registry.QUERIES[name], registry.ORACLES[name])
     assert ok, note
     assert registry.QUERIES[name](spark, str(tmp_path)).agg({"n_dropped": "sum"}).first()[0] == 12
+
+
+def test_shards_stay_small_where_nothing_fits(spark, monkeypatch):
+    """900 lengths of 600 with shards of 50: no pair fits, and no task may see a larger shard."""
+    largest, epoch = [], packing._epoch
+
+    def watched(shards, *rest):
+        largest.append(shards.selectExpr("max(size(items))").first()[0])
+        return epoch(shards, *rest)
+
+    monkeypatch.setattr(packing, "_epoch", watched)
+    items = spark.range(900).selectExpr("id AS item", "IF(id % 9 = 0, 424, 600) AS length").repartition(4)
+    got = packing.pack_items(items, shard_items=50).collect()
+    assert max(largest) <= 90 and sorted(r["item"] for r in got) == list(range(900))
+    assert len({r["sequence_id"] for r in got}) <= 820
