@@ -38,8 +38,8 @@ END = 2
 SHARD_ITEMS = 2000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 5
-POPULATION = 4
+GENERATIONS = 8
+POPULATION = 6
 WELL_FILLED = 0.98
 STUCK = 0.7
 REMEMBERED = 400_000
@@ -178,11 +178,12 @@ Bins = list[tuple[int, ...]]
 
 def best_fit(bins: Bins, items: list[int], length: list[int], capacity: int) -> Bins:
     """bins with the items put each into the fullest bin that has room, or a new one."""
+    of = length.__getitem__
     out = [list(b) for b in bins]
     by_free: dict[int, list[int]] = {}
     mask = 0
     for k, b in enumerate(out):
-        free = capacity - sum(length[i] for i in b)
+        free = capacity - sum(map(of, b))
         by_free.setdefault(free, []).append(k)
         mask |= 1 << free
     for i in items:
@@ -205,12 +206,14 @@ def best_fit(bins: Bins, items: list[int], length: list[int], capacity: int) ->
 
 def fitness(bins: Bins, length: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return -len(bins), sum((sum(length[i] for i in b) / capacity) ** 2 for b in bins)
+    of = length.__getitem__
+    return -len(bins), sum((sum(map(of, b)) / capacity) ** 2 for b in bins)
 
 
 def crossover(a: Bins, b: Bins, length: list[int], capacity: int, rng: random.Random) -> Bins:
     """Well-filled bins of b injected into a; a's bins with an injected item go, what they displace is best-fitted."""
-    fill = [(sum(length[i] for i in x), rng.random(), x) for x in b]
+    of = length.__getitem__
+    fill = [(sum(map(of, x)), rng.random(), x) for x in b]
     fill.sort(reverse=True)
     full = [x for f, _, x in fill if f >= WELL_FILLED * capacity] or [fill[0][2]]
     chosen = rng.sample(full, max(1, len(full) // 2))
@@ -222,7 +225,7 @@ def crossover(a: Bins, b: Bins, length: list[int], capacity: int, rng: random.Ra
         else:
             displaced += [i for i in x if i not in inside]
     # mutation: the least filled of what stays is put back as well
-    keep.sort(key=lambda x: sum(length[i] for i in x))
+    keep.sort(key=lambda x: sum(map(of, x)))
     loose = rng.randrange(1, 4)
     for x in keep[:loose]:
         displaced += x
