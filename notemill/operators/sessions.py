@@ -1,12 +1,15 @@
 """Study sessions: grading, the answer state machine, scores and traces.
 
 A question accepts at most two attempts. The state machine therefore needs no ordered walk through a session: per question
-the first two different answers decide, and the next question opens when they are through. It is
-computed question by question, for all sessions at once.
+the first two different answers decide, and the next question opens when they are through. Only the
+few attempts that can decide are followed from question to question.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,42 +45,62 @@ def attempt_number(graded: DataFrame) -> DataFrame:
     return counted.withColumn("attempt_no", running.cast("bigint"))
 
 
+REACHED = "opened_at bigint, turn_1 bigint, correct_1 boolean, turn_2 bigint, correct_2 boolean, question_no bigint, closed_at bigint"
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reached questions from rows in order of session and question; question 0 holds a session's number of questions."""
+    sid, n, q, opened = None, 0, 1, -1
+    for batch in batches:
+        out = []
+        for key, number, n_questions, turn_1, correct_1, turn_2, correct_2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if number == 0:
+                if sid is not None and q <= n:
+                    out.append((sid, opened, None, None, None, None, q, None))
+                sid, n, q, opened = key, n_questions or 0, 1, -1
+            elif key == sid and number == q <= n and (q == 1 or turn_1 > opened):
+                closed = turn_1 if correct_1 else turn_2
+                out.append((sid, opened, turn_1, correct_1, turn_2, correct_2, q, closed))
+                q, opened = (n + 1, opened) if closed is None else (q + 1, closed)
+        yield _reached_batch(out, batch.schema.field(0).type)
+    if sid is not None and q <= n:
+        yield _reached_batch([(sid, opened, None, None, None, None, q, None)], batch.schema.field(0).type)
+
+
+def _reached_batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    names = ["session_id", *[c.split()[0] for c in REACHED.split(", ")]]
+    kinds = [key, *[pa.bool_() if c.endswith("boolean") else pa.int64() for c in REACHED.split(", ")]]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
 def answered(sessions: DataFrame, graded: DataFrame) -> DataFrame:
     """Per reached question: its accepted attempts and the turn that closed it (null while open).
 
-    As many steps as the longest session has questions; each step only reads the sessions that reached it.
+    An attempt can only be the first accepted one of its question if it is the first there after an attempt on the question
+    before, which may have closed that one. Windows keep these few attempts, each with the next different answer; one
+    pass over them in order of questions then follows every session, whatever its number of questions.
 
     sessions: session_id, n_questions; graded: session_id, question_no, turn, norm, correct.
     """
-    reached = None
-    opened = sessions.select("session_id", F.lit(-1).cast("bigint").alias("opened_at"))
-    longest = sessions.agg(F.max("n_questions")).first()[0] or 1
-    for q in range(1, longest + 1):
-        rows = graded.where(F.col("question_no") == q).select("session_id", "turn", "norm", "correct")
-        if q > 1:
-            rows = join_groups(rows, opened, ["session_id"], "inner", ["turn"], probe=sessions.select("session_id")).where("turn > opened_at")
-        # equal answers collapse to their first turn; blank answers each count
-        answer = F.when(F.col("norm") == "", F.concat(F.lit("#"), F.col("turn").cast("string"))).otherwise(F.col("norm"))
-        firsts = rows.groupBy("session_id", answer.alias("key")).agg(
-            F.min("turn").alias("turn"), F.first("correct").alias("correct")
-        )
-        order = Window.partitionBy("session_id").orderBy("turn")
-        two = firsts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fixed.MAX_ATTEMPTS)
-        at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-        tries = two.groupBy("session_id").agg(
-            at(1, "turn").alias("turn_1"), at(1, "correct").alias("correct_1"),
-            at(2, "turn").alias("turn_2"), at(2, "correct").alias("correct_2"),
-        )
-        second = lambda c: F.when(~F.col("correct_1"), F.col(c))
-        step = opened.join(sessions.select("session_id", "n_questions"), "session_id").where(F.col("n_questions") >= q)
-        step = step.drop("n_questions").join(tries, "session_id", "left").withColumns(
-            {"turn_2": second("turn_2"), "correct_2": second("correct_2")}
-        )
-        closed = F.when(F.col("correct_1"), F.col("turn_1")).otherwise(F.col("turn_2"))
-        step = step.withColumn("question_no", F.lit(q).cast("bigint")).withColumn("closed_at", closed)
-        reached = step if reached is None else reached.unionByName(step)
-        opened = step.where("closed_at is not null").select("session_id", F.col("closed_at").alias("opened_at"))
-    return reached
+    own = graded.where("session_id IS NOT NULL AND question_no >= 1").select("session_id", "question_no", F.col("turn").cast("bigint").alias("turn"), "norm", "correct")
+    by_turn = Window.partitionBy(*ATTEMPT_KEY).orderBy("turn")
+    backwards = Window.partitionBy(*ATTEMPT_KEY).orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    # equal answers in a row are one; blank answers each count
+    other = ~F.col("norm").eqNullSafe(F.lag("norm").over(by_turn)) | F.coalesce(F.col("norm") == "", F.lit(False))
+    runs = own.withColumn("other", other)
+    runs = runs.withColumn("after", F.last(F.when(F.col("other"), F.struct("turn", "correct")), ignorenulls=True).over(backwards))
+    openings = own.select("session_id", F.col("question_no") + 1, "turn", F.lit(None), F.lit(None), F.lit(True))
+    both = runs.select(*ATTEMPT_KEY, "turn", "correct", "after", F.lit(False).alias("opening")).union(openings)
+    first = F.coalesce(F.lag("opening").over(by_turn), F.col("question_no") == 1)
+    second = lambda c: F.when(~F.col("correct"), F.col(f"after.{c}"))
+    few = both.withColumn("first", first).where("first AND NOT opening").select(
+        *ATTEMPT_KEY, F.lit(None).cast("bigint").alias("n_questions"), F.col("turn").alias("turn_1"), F.col("correct").alias("correct_1"),
+        second("turn").alias("turn_2"), second("correct").alias("correct_2"),
+    )
+    none = [F.lit(None) for _ in range(4)]
+    heads = sessions.where("session_id IS NOT NULL").select("session_id", F.lit(0).cast("bigint"), F.col("n_questions").cast("bigint"), *none)
+    rows = few.union(heads).repartition("session_id").sortWithinPartitions("session_id", "question_no", "turn_1")
+    return rows.mapInArrow(_walk, f"session_id {sessions.schema['session_id'].dataType.simpleString()}, {REACHED}")
 
 
 def classify(sessions: DataFrame, graded: DataFrame, reached: DataFrame) -> DataFrame:
