@@ -2,9 +2,9 @@
 
 Each source's documents, in hash order, form blocks of equal bytes. Block j of a source with weight
 w may be placed from slot floor(j / w) on and has to be placed before slot ceil((j + 1) / w); in every slot
-the released block with the earliest deadline goes next. With weights in units of 1 / `period` all
-sources are exactly in step after `period` slots, so one period is scheduled and each
-block gets its slot by arithmetic: any number of blocks is placed in parallel. While all sources have blocks, each has after every slot
+the released block with the earliest deadline goes next. Weights are taken in units of 2^-50, so no target is rounded
+noticeably at any number of blocks. One task lists the slots of all blocks (one short row for 64 KB of text, written as it goes);
+the rows find theirs by a join. While all sources have blocks, each has after every slot
 less than one block more or less than its weight asks for; slots of a source that has run out are
 skipped, which leaves the others in their relative weights. No document is dropped or repeated.
 
@@ -19,8 +19,11 @@ empty table gives an empty result; sources without a given weight share the smal
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.operators.sizing import broadcast_if_small
@@ -29,6 +32,7 @@ from .common import stored
 
 BLOCK_BYTES = 1 << 16
 PERIOD = 1000
+FINE = 1 << 50
 TEMPER = 0.7
 RANGE_ROWS = 50_000
 
@@ -48,21 +52,47 @@ def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str,
     return out
 
 
-def schedule(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, j, slot, release, deadline) of one period: earliest deadline first among released blocks."""
+def timetable(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, j, slot, release, deadline) of all blocks: earliest deadline first among released blocks.
+
+    shares are whole numbers; a source's weight is its part of their sum. Holds one or two blocks of each source at a time.
+    """
     period = sum(shares.values())
     window = lambda s, j: (j * period // shares[s], -(-(j + 1) * period // shares[s]))
-    waiting = sorted((window(s, j)[0], s, j) for s in shares for j in range(shares[s]))
-    ready: list[tuple[int, str, int]] = []
-    out, k = [], 0
-    for slot in range(period):
-        while k < len(waiting) and waiting[k][0] <= slot:
-            _, s, j = waiting[k]
-            heapq.heappush(ready, (window(s, j)[1], s, j))
-            k += 1
-        deadline, s, j = heapq.heappop(ready)
-        out.append((s, j, slot, window(s, j)[0], deadline))
-    return out
+    waiting = [(0, s, 0) for s in sorted(shares) if blocks[s] > 0]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (window(s, j)[1], s, j, release))
+            if j + 1 < blocks[s]:
+                heapq.heappush(waiting, (window(s, j + 1)[0], s, j + 1))
+        deadline, s, j, release = heapq.heappop(ready)
+        yield s, j, slot, release, deadline
+        slot += 1
+
+
+def schedule(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The timetable of one period."""
+    return list(timetable(shares, shares))
+
+
+def places_of(spark: SparkSession, shares: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    """(_key, block, slot, release, deadline) of all blocks, written row by row by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                every = timetable(shares, blocks)
+                while rows := list(islice(every, 20_000)):
+                    cols = [pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
+                    yield pa.RecordBatch.from_arrays(cols, ["_key", "block", "slot", "release", "deadline"])
+
+    return stored(spark.range(1, numPartitions=1).mapInArrow(run, "_key string, block bigint, slot bigint, release bigint, deadline bigint"), "mix-slots")
 
 
 def source_key(source: Column) -> Column:
@@ -91,8 +121,7 @@ def interleave(docs: DataFrame, size: Column, weights: dict[str, float] | None =
     else:
         given = {f"s{s}": w for s, w in weights.items() if w > 0}
         targets = {s: given.get(s, min(given.values(), default=1.0)) for s in totals}
-    shares = whole_weights(targets) if targets else {}
-    period = sum(shares.values())
+    shares = whole_weights(targets, FINE) if targets else {}
     bits = min(max((sum(n for _, n in totals.values()) // RANGE_ROWS).bit_length(), 1), 20)
     rows = rows.withColumn("_range", F.shiftright("_h", 64 - bits))
 
@@ -103,15 +132,9 @@ def interleave(docs: DataFrame, size: Column, weights: dict[str, float] | None =
     at = F.col("_base") + F.sum("_size").over(inside) - F.col("_size")
     placed = rows.join(broadcast_if_small(bases), ["_key", "_range"]).withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / block_bytes))
 
-    plan = schedule(shares) if shares else []
-    table = spark.createDataFrame(plan, "_key string, _j bigint, _s bigint, _r bigint, _d bigint")
-    share = spark.createDataFrame(sorted(shares.items()), "_key string, _of bigint")
-    turn = F.floor(F.col("block") / F.col("_of")) * period
-    placed = placed.join(F.broadcast(share), "_key").withColumn("_j", F.col("block") % F.col("_of")).join(F.broadcast(table), ["_key", "_j"])
-    return placed.select(
-        "row", "block", (turn + F.col("_s")).alias("slot"), (F.col("_at") % block_bytes).alias("place"),
-        (turn + F.col("_r")).alias("release"), (turn + F.col("_d")).alias("deadline"),
-    )
+    blocks = {s: -(-b // block_bytes) for s, (b, _) in totals.items()}
+    slots = places_of(spark, shares, blocks)
+    return placed.join(broadcast_if_small(slots), ["_key", "block"]).select("row", "block", "slot", (F.col("_at") % block_bytes).alias("place"), "release", "deadline")
 
 
 def mixed(docs: DataFrame, size: Column, partitions: int, **options) -> DataFrame:

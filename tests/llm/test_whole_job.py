@@ -6,7 +6,7 @@ import duckdb
 from oracle_check import compare
 
 import corpus_pipeline
-from notemill.llm import packing, queries, registry  # noqa: F401
+from notemill.llm import mixing, packing, queries, registry  # noqa: F401
 
 
 def test_a_group_of_copies_keeps_one_full_text(spark):
@@ -58,3 +58,17 @@ def test_shards_stay_small_where_nothing_fits(spark, monkeypatch):
     got = packing.pack_items(items, shard_items=50).collect()
     assert max(largest) <= 90 and sorted(r["item"] for r in got) == list(range(900))
     assert len({r["sequence_id"] for r in got}) <= 820
+
+
+def test_lag_against_unrounded_targets(spark):
+    """20,000 blocks; rounded to thousandths the target of 0.01% would be ten times as large."""
+    weights = {"a": 0.70037, "b": 0.29953, "c": 0.0001}
+    of = {"a": 14_000, "b": 5_990, "c": 2}
+    docs = spark.range(sum(of.values())).selectExpr("id AS doc_id", f"CASE WHEN id < {of['a']} THEN 'a' WHEN id < {of['a'] + of['b']} THEN 'b' ELSE 'c' END AS source")
+    got = mixing.interleave(docs, mixing.F.lit(9), weights, block_bytes=10).select("row.source", "slot", "block").orderBy("slot").collect()
+    assert sorted((r["source"], r["block"]) for r in got) == [(s, j) for s in "abc" for j in range(of[s])]
+    count = dict.fromkeys(of, 0)
+    for k, r in enumerate(got[:19_900]):
+        assert r["slot"] == k
+        count[r["source"]] += 1
+        assert all(abs(count[s] - weights[s] * (k + 1)) < 1 + 1e-6 for s in of)
