@@ -52,8 +52,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """Pieces of all documents with their places in sequences of 1024 tokens, numbered in mixed order.
+
+    Files keep no order by contract: the slots are derived again, the same ones for the same documents.
+    """
+    return packing.pack(mixture(spark, docs, sf_dir), ordered=True)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, split_size, stored
@@ -297,14 +297,29 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["shard", "item", "length", "bin", "offset", "fill"])
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """(item, sequence_id, offset) for rows (item, length) with lengths up to the capacity."""
+def ranked(items: DataFrame) -> DataFrame:
+    """items with `_rank`, their place by `item` from 1 on; items are numbered as by monotonically_increasing_id()."""
+    parts = items.withColumn("_part", F.shiftright("item", 33))
+    sums = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("item"))
+    return parts.withColumn("_in", inside).join(F.broadcast(bases), "_part").withColumn("_rank", F.col("_base") + F.col("_in"))
+
+
+def pack_items(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, shard_items: int = SHARD_ITEMS, ordered: bool = False) -> DataFrame:
+    """(item, sequence_id, offset) for rows (item, length) with lengths up to the capacity.
+
+    ordered: items that follow each other meet in a shard, and a sequence has the number of its first item,
+    so that sequences follow the order of the items.
+    """
     spark = items.sparkSession
     done: list[DataFrame] = []
     left, n, level = items, items.count(), 0
     while n:
         shards = -(-n // shard_items)
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).cast("int"))
+        shard = F.floor((F.col("_rank") - 1) / shard_items) if ordered else F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards))
+        dealt = (ranked(left) if ordered else left).select("item", "length", shard.cast("int").alias("shard"))
         sets = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("item", F.col("length").cast("int").alias("length")))).alias("x"))
         each = sets.select("shard", F.col("x.item").alias("items"), F.col("x.length").alias("lengths"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
         state = each.withColumn("plans", F.array().cast("array<binary>"))
@@ -322,6 +337,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLAND
         last = rest >= STUCK * n or shards == 1
         final = F.lit(True) if last else full
         number = F.lit(level).cast("bigint") * (1 << 56) + F.col("shard").cast("bigint") * (1 << 24) + F.col("bin")
+        if ordered:
+            number = F.min("item").over(Window.partitionBy("shard", "bin"))
         done.append(placed.where(final).select("item", number.alias("sequence_id"), "offset"))
         if last:
             break
@@ -333,10 +350,14 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLAND
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ordered: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
+
+    ordered: docs are partitions sorted one after the other, and sequences follow that order by their ids.
+    """
     every = stored(pieces(docs, path, capacity, doc_id=doc_id, text=text).withColumn("item", F.monotonically_increasing_id()), "pieces")
-    full = every.where(F.col("length") == capacity).select("*", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    own = F.col("item") if ordered else -1 - F.col("item")
+    full = every.where(F.col("length") == capacity).select("*", own.alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     short = every.where(F.col("length") < capacity)
-    placed = pack_items(short.select("item", "length"), capacity)
+    placed = pack_items(short.select("item", "length"), capacity, ordered=ordered)
     return full.unionByName(short.join(placed, "item").select(*full.columns)).drop("item")

@@ -72,3 +72,37 @@ def test_lag_against_unrounded_targets(spark):
         assert r["slot"] == k
         count[r["source"]] += 1
         assert all(abs(count[s] - weights[s] * (k + 1)) < 1 + 1e-6 for s in of)
+
+
+def test_sequences_follow_the_mixture(spark):
+    """Sources' shares of tokens over prefixes of sequences, from rows stored source by source."""
+    rows = [(i, "big" if i < 900 else "small", " ".join(f"w{i % 97}x{j}" for j in range(150 + i % 61))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").coalesce(1)
+    size = {s: sum(len(t) + 1 for _, x, t in rows if x == s) for s in ("big", "small")}
+    source = {i: s for i, s, _ in rows}
+    target = size["small"] ** 0.7 / (size["small"] ** 0.7 + size["big"] ** 0.7)
+    got = sorted(corpus_pipeline.sequences(spark, docs, "").collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert {r["doc_id"] for r in got} == set(source)
+    total = sum(r["length"] for r in got)
+    fills, share, at = {}, {}, 0
+    for r in got:
+        fills[r["sequence_id"]] = fills.get(r["sequence_id"], 0) + r["length"]
+        at += r["length"]
+        share["small"] = share.get("small", 0) + r["length"] * (source[r["doc_id"]] == "small")
+        if 0.25 * total < at < 0.6 * total:
+            assert abs(share["small"] / at - target) < 0.12
+    # the small source has a larger part than its size, so it runs out: the last sequences hold none of it
+    tail = [r for r in got[-len(got) // 10 :] if source[r["doc_id"]] == "small"]
+    assert len(tail) <= 0.1 * len(got) / 10
+    assert max(fills.values()) <= 1024
+
+
+def test_ordered_shards_are_ranges(spark):
+    items = spark.range(0, 1000, 1, 4).selectExpr("monotonically_increasing_id() AS item", "100 + id * 37 % 800 AS length")
+    items = corpus_pipeline.stored(items, "ordered-items")
+    assert [r["_rank"] for r in packing.ranked(items).orderBy("item").collect()] == list(range(1, 1001))
+    got = packing.pack_items(items, shard_items=100, ordered=True).collect()
+    first = {}
+    for r in got:
+        first[r["sequence_id"]] = min(first.get(r["sequence_id"], r["item"]), r["item"])
+    assert len(got) == 1000 and all(s == i for s, i in first.items())
