@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality_rules, repeated_passages, sharding, tokens
+from . import divergence, filter_audit, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality_rules, repeated_passages, sharding, tokens
 from .registry import query, table
 
 
@@ -127,3 +127,76 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.learn(*quality_rules.training_rows(docs, table(spark, sf_dir, "labels")))
     stats = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return quality_rules.judge(docs, rules).select("row.doc_id", *stats, "base_failed", "kept", "rule")
+
+
+@query(
+    "op11_source_divergence",
+    """
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+    t AS (
+        SELECT lang, source, r, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM d
+    ),
+    k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+    c AS (SELECT t.lang, t.source, t.term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+    gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+    p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total,
+            1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(gn.n, 0) + 2 * l.v) AS p, 1 + 1000000000 * (k.total + 2) // (l.n + 2 * l.v) AS q
+        FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    u AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+    ),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+    SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_filter_audit",
+    """
+    WITH w AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+            list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+    ),
+    f AS (
+        SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+            100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(text),
+            regexp_matches(text, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS fails FROM w
+    ),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+    c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+    x AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+    o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s AS (
+        SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, CAST(x.f AS INTEGER) AS step, o[x.f] AS f, o[1:x.f - 1] AS before
+        FROM o, x
+    ),
+    j AS (
+        SELECT part, filter_order, step, f, n, good, bad, fails[f] AS hit, list_bool_or(list_transform(before, lambda i: fails[i])) AS gone,
+            len(list_filter(fails, lambda y: y)) = 1 AS single FROM (SELECT * FROM c, s)
+    ),
+    r AS (
+        SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT coalesce(gone, false)), 0) AS kept,
+            coalesce(sum(n) FILTER (hit AND NOT coalesce(gone, false)), 0) AS removed, coalesce(sum(n) FILTER (hit AND coalesce(gone, false)), 0) AS redundant,
+            coalesce(sum(n) FILTER (hit AND single), 0) AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT coalesce(gone, false)), 0) AS good_lost,
+            coalesce(sum(bad) FILTER (hit AND NOT coalesce(gone, false)), 0) AS toxic_lost FROM j GROUP BY part, filter_order, step, f
+    )
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.combinations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
