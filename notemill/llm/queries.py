@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, filter_audit, fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality_rules, repeated_passages, sharding, tokens
+from . import divergence, filter_audit, fingerprints, jaccard_join, language, line_dedup, lm_scoring, mixing, packing, quality_rules, repeated_passages, sharding, tokens
 from .registry import query, table
 
 
@@ -163,6 +163,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query("op12_lm_scoring")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return lm_scoring.scores(table(spark, sf_dir, "documents"), held_out)
+
+
 @query(
     "op13_filter_audit",
     """
