@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from . import bm25, vectors as vec
+from . import bm25, keyword_index as ki, vectors as vec
 from .sizing import BROADCAST_ROWS, broadcast_if_small
 
 KEY = ["doc_id", "pos"]
@@ -88,13 +88,15 @@ def located(ranked: DataFrame, chunks: DataFrame, columns: list[str], queries: D
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = fixed.TOP_K,
-           threshold: float = fixed.VECTOR_THRESHOLD) -> DataFrame:
+           threshold: float = fixed.VECTOR_THRESHOLD, index: ki.KeywordIndex | None = None) -> DataFrame:
     """Hybrid search of all questions at once.
 
     queries: qid, question, want_course (null for none) and, with vectors, embedding;
     chunks: doc_id, pos, file, course, content; vectors: vec_id, embedding, doc_id, pos.
+    With a stored index of the chunks their texts are not read again.
     """
-    words = bm25.bm25_topk(queries.select("qid", "question"), chunks, fixed.ROUTE_DEPTH)
+    asked = queries.select("qid", "question")
+    words = ki.topk(index, asked, fixed.ROUTE_DEPTH) if index else bm25.bm25_topk(asked, chunks, fixed.ROUTE_DEPTH)
     near = None
     if vectors is not None:
         asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
@@ -105,8 +107,10 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = No
     return prioritize(by_course(ranked), k).select("qid", "rank", *KEY, "file", "course", F.round("score", 4).alias("score"), "mode")
 
 
-def search_keyword(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
+def search_keyword(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K, index: ki.KeywordIndex | None = None) -> DataFrame:
     """Keyword-only search; a course is applied before scoring, so its statistics are its own."""
+    if index:
+        return ki.topk(index, queries.select("qid", "question", "want_course"), k)
     scoped = queries.where(F.col("want_course").isNotNull()).select("qid", "question", F.col("want_course").alias("course"))
     anywhere = queries.where(F.col("want_course").isNull()).select("qid", "question")
     return bm25.bm25_topk(scoped, chunks, k, KEY, scope=("course",)).unionByName(

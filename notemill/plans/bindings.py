@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import let
-from ..operators import chunks as ch, gates
+from ..operators import chunks as ch, gates, keyword_index
 from ..operators.sizing import broadcast_if_small
 from ..sources.tables import with_entry_defaults
 
@@ -98,6 +98,27 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return gates.min_chars(lines_of(gated(spark, sf)), "content", fixed.MIN_CHUNK_CHARS)
 
 
+def version(spark: SparkSession, sf: str, *names: str) -> int:
+    """A number that changes with the files of the named tables: paths, sizes and times."""
+    found = 0
+    for name in names:
+        files = table(spark, sf, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        found ^= files.agg(F.coalesce(F.bit_xor(F.xxhash64("*")), F.lit(0)).alias("v")).first()["v"]
+    return found
+
+
+_INDEXES: dict[tuple, tuple[int, keyword_index.KeywordIndex]] = {}  # the last index of each folder in this application
+
+
+def stored_index(spark: SparkSession, sf: str) -> keyword_index.KeywordIndex:
+    """Keyword index of the chunk table: built when first asked for and when the notes' files have changed."""
+    place = (spark.sparkContext.applicationId, sf)
+    now = version(spark, sf, "documents", "labels")
+    if place not in _INDEXES or _INDEXES[place][0] != now:
+        _INDEXES[place] = now, keyword_index.build(chunks(spark, sf))
+    return _INDEXES[place][1]
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark")
     return items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))

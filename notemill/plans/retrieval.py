@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, learning as ln, text as tx
-from ..operators import answer, bm25, evaluate, fuse, gates, quality, vectors as vec
+from ..operators import answer, bm25, evaluate, fuse, gates, keyword_index as ki, quality, vectors as vec
 from ..session import scratch
 from ..sources import tables as st
 from . import bindings as b
@@ -50,7 +50,7 @@ def corpus_stats(spark, sf):
 @query("bm25_topk", sql("""
 SELECT qid, doc_id, pos, round(score, 4) AS score, rank FROM bm25 WHERE rank <= 20""", "bm25"))
 def bm25_topk(spark, sf):
-    return bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf)).select("qid", *KEY, "score", "rank")
+    return ki.topk(b.stored_index(spark, sf), b.questions(spark, sf)).select("qid", *KEY, "score", "rank")
 
 
 @query("route_rank", sql("""
@@ -73,7 +73,8 @@ def positive_score(spark, sf):
 SELECT qid, doc_id, pos, round(score, 4) AS score, rank FROM bm25 WHERE rank <= 5 AND qid % 3 <> 1
 UNION ALL SELECT qid, doc_id, pos, round(score, 4), rank FROM bm25_course WHERE rank <= 5""", "bm25", "bm25_course"))
 def search_keyword(spark, sf):
-    return fuse.search_keyword(b.hybrid_queries(spark, sf), b.chunks(spark, sf)).select("qid", *KEY, "score", "rank")
+    found = fuse.search_keyword(b.hybrid_queries(spark, sf), b.chunks(spark, sf), index=b.stored_index(spark, sf))
+    return found.select("qid", *KEY, "score", "rank")
 
 
 @query("cosine", sql("""
@@ -102,7 +103,7 @@ def vector_threshold(spark, sf):
 
 
 def _routes(spark, sf) -> DataFrame:
-    words = bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf))
+    words = ki.topk(b.stored_index(spark, sf), b.questions(spark, sf))
     near = vec.cosine_topk(b.vector_queries(spark, sf), b.chunk_vectors(spark, sf), carry=KEY)
     return fuse.route_union(near, words)
 
@@ -148,7 +149,7 @@ def content_priority(spark, sf):
 
 
 def _found(spark, sf) -> DataFrame:
-    return fuse.search(b.hybrid_queries(spark, sf), b.chunks(spark, sf), b.chunk_vectors(spark, sf))
+    return fuse.search(b.hybrid_queries(spark, sf), b.chunks(spark, sf), b.chunk_vectors(spark, sf), index=b.stored_index(spark, sf))
 
 
 @query("search", sql("""
@@ -231,7 +232,7 @@ def _eval_sql(body: str) -> str:
 
 def _results(spark, sf) -> DataFrame:
     """Files found by keyword search at the largest k, in rank order."""
-    top = bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf), max(KS))
+    top = ki.topk(b.stored_index(spark, sf), b.questions(spark, sf), max(KS))
     return fuse.located(top, b.chunks(spark, sf), ["file"], b.questions(spark, sf)).select("qid", "rank", "file")
 
 
