@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.learning import concept_question, windows
+from ..functions.learning import concept_question
 from ..functions.text import strip
 from ..session import shared_folder
 from .sizing import BROADCAST_ROWS, join_groups
+from .topics import mentions
 
 QUESTION = ["course", "question", "type", "answer", "source_file", "source_title", "tags", "difficulty"]
 
@@ -108,32 +109,6 @@ def prefer_examples(pool: DataFrame, n: int, group: str = "session_id", order: s
     )
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of one length."""
-    return F.array_distinct(windows(text, size))
-
-
-def _mentions(topics: DataFrame, pool: DataFrame) -> DataFrame:
-    """(course, topic, question row) where the topic occurs inside the question.
-
-    Every topic is looked up by its rarest piece of up to three characters, so only questions that
-    contain that piece are compared.
-    """
-    texts = pool.select("course", "question").distinct()
-    sized = lambda c: F.concat(_grams(c, 1), _grams(c, 2), _grams(c, 3))
-    wanted = topics.select("course", "topic", F.explode(F.when(F.length("topic") >= 3, _grams(F.col("topic"), 3))
-                           .when(F.length("topic") == 2, F.array("topic")).otherwise(F.array("topic"))).alias("gram"))
-    grams = texts.select("course", "question", F.explode(sized(F.col("question"))).alias("gram"))
-    asked = wanted.select("course", "gram").distinct()
-    grams = join_groups(grams, asked, ["course", "gram"], "left_semi", ["question"], probe=wanted)
-    freq = grams.groupBy("course", "gram").agg(F.count("*").alias("n"))
-    rare = wanted.join(freq, ["course", "gram"], "left").groupBy("course", "topic").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
-    )
-    pairs = join_groups(grams, rare, ["course", "gram"], "inner", ["question"], probe=wanted).where(F.contains(F.col("question"), F.col("topic")))
-    return pairs.select("course", "topic", "question")
-
-
 def session_questions(sessions: DataFrame, pool: DataFrame, n: int, seed: str) -> DataFrame:
     """n questions per session on its topics, topped up from the whole course pool when short.
 
@@ -147,7 +122,7 @@ def session_questions(sessions: DataFrame, pool: DataFrame, n: int, seed: str) -
     topics = sessions.select("course", F.explode("topics").alias("topic")).distinct()
     tagged = keyed.withColumn("topic", F.explode("tags"))
     tagged = join_groups(tagged, topics, ["course", "topic"], "left_semi", ["question"], probe=topics)
-    named = join_groups(keyed, _mentions(topics, keyed), ["course", "question"], "inner", ["source_file", "type"])
+    named = join_groups(keyed, mentions(topics, keyed.select("course", "question").distinct()), ["course", "question"], "inner", ["source_file", "type"])
     cols = [*QUESTION, "_key", "topic"]
     best = Window.partitionBy("course", "topic").orderBy("_key", "question")
     matched = tagged.select(cols).unionByName(named.select(cols)).dropDuplicates(["course", "topic", "_key", "question"])

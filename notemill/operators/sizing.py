@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Estimated bytes of a value: lengths of texts, eight for a number, the sum of what it holds."""
+    zero = F.lit(0).cast("bigint")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("bigint"), zero)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(value, zero, lambda s, x: s + _bytes(x, kind.elementType)), zero)
+        return F.coalesce(F.size(value).cast("bigint") * 8, zero)
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_bytes(value[f.name], f.dataType) for f in kind.fields], zero)
+    return F.lit(8).cast("bigint")
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows and max_bytes bytes; reads no more than that many rows plus one."""
+    size = reduce(add, [_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields], F.lit(0).cast("bigint"))
+    found = df.select(size.alias("_bytes")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    return found[0] <= max_rows and found[1] <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
