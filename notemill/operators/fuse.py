@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from . import bm25, keyword_index as ki, vectors as vec
+from . import bm25, keyword_index as ki, vector_index as vi, vectors as vec
 from .sizing import BROADCAST_ROWS, broadcast_if_small
 
 KEY = ["doc_id", "pos"]
@@ -87,20 +87,23 @@ def located(ranked: DataFrame, chunks: DataFrame, columns: list[str], queries: D
     return chunks.select(*KEY, *columns).join(small, KEY)
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, k: int = fixed.TOP_K,
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | vi.VectorIndex | None = None, k: int = fixed.TOP_K,
            threshold: float = fixed.VECTOR_THRESHOLD, index: ki.KeywordIndex | None = None) -> DataFrame:
     """Hybrid search of all questions at once.
 
     queries: qid, question, want_course (null for none) and, with vectors, embedding;
     chunks: doc_id, pos, file, course, content; vectors: vec_id, embedding, doc_id, pos.
-    With a stored index of the chunks their texts are not read again.
+    With a stored index of the chunks their texts are not read again; vectors may be a stored index that carries doc_id and pos.
     """
     asked = queries.select("qid", "question")
     words = ki.topk(index, asked, fixed.ROUTE_DEPTH) if index else bm25.bm25_topk(asked, chunks, fixed.ROUTE_DEPTH)
     near = None
     if vectors is not None:
         asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
-        near = vec.cosine_topk(asked, vectors, fixed.ROUTE_DEPTH, threshold, carry=KEY)
+        if isinstance(vectors, vi.VectorIndex):
+            near = vi.topk(vectors, asked, fixed.ROUTE_DEPTH, threshold)
+        else:
+            near = vec.cosine_topk(asked, vectors, fixed.ROUTE_DEPTH, threshold, carry=KEY)
     fused = fuse_rrf(route_union(near, words))
     ranked = best_chunk_per_file(located(fused, chunks, ["file", "course"], queries), max(k, fixed.ROUTE_DEPTH))
     ranked = ranked.join(queries.select("qid", "question", "want_course"), "qid")

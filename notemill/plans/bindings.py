@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import let
-from ..operators import chunks as ch, gates, keyword_index
+from ..operators import chunks as ch, gates, keyword_index, vector_index
 from ..operators.sizing import broadcast_if_small
 from ..sources.tables import with_entry_defaults
 
@@ -107,18 +107,33 @@ def version(spark: SparkSession, sf: str, *names: str) -> int:
     return found
 
 
-_INDEXES: dict[tuple, tuple[int, keyword_index.KeywordIndex]] = {}  # the last index of each folder in this application
+_INDEXES: dict[tuple, tuple] = {}  # the last index of each kind and folder in this application
 
 
-def stored_index(spark: SparkSession, sf: str) -> keyword_index.KeywordIndex:
-    """Keyword index of the chunk table: built when first asked for and when the notes' files have changed."""
-    place = (spark.sparkContext.applicationId, sf)
-    now = version(spark, sf, "documents", "labels")
+def _kept(spark: SparkSession, sf: str, kind: str, names: tuple[str, ...], build):
+    """An index that is built when first asked for and when the files of its tables have changed."""
+    place = (spark.sparkContext.applicationId, sf, kind)
+    now = version(spark, sf, *names)
     if place not in _INDEXES or _INDEXES[place][0] != now:
-        _INDEXES[place] = now, keyword_index.build(chunks(spark, sf))
+        _INDEXES[place] = now, build()
     return _INDEXES[place][1]
 
 
+def stored_index(spark: SparkSession, sf: str) -> keyword_index.KeywordIndex:
+    """Keyword index of the chunk table."""
+    return _kept(spark, sf, "chunks", ("documents", "labels"), lambda: keyword_index.build(chunks(spark, sf)))
+
+
+def stored_vectors(spark: SparkSession, sf: str) -> vector_index.VectorIndex:
+    """Vector index of all embeddings."""
+    return _kept(spark, sf, "vectors", ("embeddings",), lambda: vector_index.build(vectors(spark, sf)))
+
+
+def stored_chunk_vectors(spark: SparkSession, sf: str) -> vector_index.VectorIndex:
+    """Vector index of the embeddings that have a chunk, with its key."""
+    return _kept(spark, sf, "chunk vectors", ("documents", "labels", "embeddings"), lambda: vector_index.build(chunk_vectors(spark, sf), ("doc_id", "pos")))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark")
     return items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))

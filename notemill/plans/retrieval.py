@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, learning as ln, text as tx
-from ..operators import answer, bm25, evaluate, fuse, gates, keyword_index as ki, quality, vectors as vec
+from ..operators import answer, bm25, evaluate, fuse, gates, keyword_index as ki, quality, vector_index as vi, vectors as vec
 from ..session import scratch
 from ..sources import tables as st
 from . import bindings as b
@@ -91,20 +91,20 @@ def cosine(spark, sf):
 SELECT qid, vec_id, round(score, 4) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM sims WHERE score >= 0) WHERE rank <= 20""", "sims"))
 def cosine_topk(spark, sf):
-    return vec.cosine_topk(b.vector_queries(spark, sf), b.vectors(spark, sf)).select("qid", "vec_id", "score", "rank")
+    return vi.topk(b.stored_vectors(spark, sf), b.vector_queries(spark, sf)).select("qid", "vec_id", "score", "rank")
 
 
 @query("vector_threshold", sql("""
 SELECT qid, vec_id, round(score, 4) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM sims WHERE score >= 0.3) WHERE rank <= 20""", "sims"))
 def vector_threshold(spark, sf):
-    found = vec.cosine_topk(b.vector_queries(spark, sf), b.vectors(spark, sf), threshold=FLOOR)
+    found = vi.topk(b.stored_vectors(spark, sf), b.vector_queries(spark, sf), threshold=FLOOR)
     return found.select("qid", "vec_id", "score", "rank")
 
 
 def _routes(spark, sf) -> DataFrame:
     words = ki.topk(b.stored_index(spark, sf), b.questions(spark, sf))
-    near = vec.cosine_topk(b.vector_queries(spark, sf), b.chunk_vectors(spark, sf), carry=KEY)
+    near = vi.topk(b.stored_chunk_vectors(spark, sf), b.vector_queries(spark, sf))
     return fuse.route_union(near, words)
 
 
@@ -149,7 +149,7 @@ def content_priority(spark, sf):
 
 
 def _found(spark, sf) -> DataFrame:
-    return fuse.search(b.hybrid_queries(spark, sf), b.chunks(spark, sf), b.chunk_vectors(spark, sf), index=b.stored_index(spark, sf))
+    return fuse.search(b.hybrid_queries(spark, sf), b.chunks(spark, sf), b.stored_chunk_vectors(spark, sf), index=b.stored_index(spark, sf))
 
 
 @query("search", sql("""
