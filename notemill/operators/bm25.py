@@ -9,7 +9,6 @@ term alone without map-side counting.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -112,15 +111,19 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = fixed.ROUTE_DEPTH,
               scope: tuple[str, ...] = ()) -> DataFrame:
     """Keyword route: qid, chunk key, score rounded to 4 decimals after ranking, rank.
 
-    Questions are cut into blocks of about MAX_TERMS (question, term) pairs. The terms of a block travel to the
-    chunks, which are scored where they are, and each task emits at most k chunks per question:
-    nothing of the size of the chunk table is shuffled, however many questions there are.
+    Up to MAX_TERMS (question, term) pairs travel to the chunks, which are scored where they are by two scans, and each task emits at
+    most k chunks per question: nothing of the size of the chunk table is shuffled. More questions stay rows: they
+    are answered through an index that is built for them (`keyword_index`, which also serves batches that come one after the other).
     """
     key = key or ["doc_id", "pos"]
     terms = query_terms(queries, ("qid", *scope))
-    blocks = -(-terms.count() // MAX_TERMS) or 1
-    parts = [terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [terms]
-    found = reduce(DataFrame.unionByName, [_scan(part, chunks, k, key, scope) for part in parts])
+    if not fits(terms, MAX_TERMS):
+        from . import keyword_index
+
+        course = F.col(scope[0]) if scope else F.lit(None).cast("string")
+        index = keyword_index.build(chunks.select(*key, course.alias("course"), "content"), tuple(key))
+        return keyword_index.topk(index, queries.select("qid", "question", course.alias("want_course")), k)
+    found = _scan(terms, chunks, k, key, scope)
     return top_ranked(found, key, k).withColumn("score", F.round("score", 4))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .bm25 import top_ranked
+from .sizing import fits
 
 QUERY_BLOCK = 4096
 
@@ -48,11 +48,11 @@ def _block_best(qids: np.ndarray, q: np.ndarray, stored: pd.DataFrame, k: int, t
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.ROUTE_DEPTH,
                 threshold: float = fixed.VECTOR_THRESHOLD, block: int = QUERY_BLOCK,
                 carry: list[str] | None = None) -> DataFrame:
-    """Exact top k vectors per query at or above the threshold.
+    """Exact top k vectors per query at or above the threshold, by one scan.
 
-    queries: (qid, embedding); vectors: (vec_id, embedding) and columns to carry along. Queries are cut into blocks of
-    about `block`, each of which travels to the tasks that hold the vectors; these stay where they
-    are. Every task emits at most k rows per query.
+    queries: (qid, embedding); vectors: (vec_id, embedding) and columns to carry along. Up to `block` queries of checked size
+    travel to the tasks that hold the vectors; these stay where they are, and every task emits at most k rows per query.
+    More queries stay rows: they are answered through an index that is built for them.
     """
     cols = ["vec_id", *(carry or [])]
     vectors = vectors.select(*cols, "embedding")
@@ -60,11 +60,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.ROUTE_DEP
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields} | {"qid": "bigint", "score": "double"}
     schema = ", ".join(f"{n} {types[n]}" for n in names)
     asked = queries.select("qid", "embedding")
-    blocks = -(-asked.count() // block)
-    if blocks == 0:
-        return queries.sparkSession.createDataFrame([], schema + ", rank bigint")
-    parts = [asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [asked]
-    found = reduce(DataFrame.unionByName, [_scan(part.toPandas(), vectors, k, threshold, names, schema) for part in parts])
+    if not fits(asked, block):
+        from . import vector_index
+
+        return vector_index.topk(vector_index.build(vectors, tuple(carry or [])), asked, k, threshold)
+    found = _scan(asked.toPandas(), vectors, k, threshold, names, schema)
     return top_ranked(found, ["vec_id"], k).withColumn("score", F.round("score", 4))
 
 
