@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text as tx
 from ..operators import chunks as ch, gates, quality
 from ..session import scratch
-from ..sources import notes as src
+from ..sources import chunk_view as view, notes as src
 from . import bindings as b
 from .oracle_views import sql
 from .registry import query
@@ -78,8 +78,8 @@ SELECT substr(sha1(file || '#' || title || '#' || pos), 1, 16) AS chunk_id, file
 def materialize_chunks(spark, sf):
     """Chunk table built from note files; the second call finds it up to date."""
     root, target = _noted(spark, sf), scratch(spark, "chunks")
-    src.refresh_chunks(spark, root, target)
-    rows = src.refresh_chunks(spark, root, target)
+    view.refresh(spark, root, target)
+    rows = view.chunks(spark, root, target)
     return rows.withColumn("source", F.get("tags", F.lit(0))).drop("tags")
 
 

@@ -10,6 +10,7 @@ from ..functions import fixed, learning as ln, text as tx
 from ..operators import answer, bm25, evaluate, fuse, gates, keyword_index as ki, quality, vector_index as vi, vectors as vec
 from ..session import scratch
 from ..sources import tables as st
+from ..sources.buckets import BucketStore
 from . import bindings as b
 from .oracle_views import sql
 from .registry import query
@@ -365,7 +366,9 @@ def upsert_vectors(spark, sf):
     shifted = _stored(spark, sf, "new").withColumn("vec_id", F.col("vec_id") + 250)
     first = shifted.withColumn("seq", F.lit(1))
     later = shifted.withColumn("embedding", F.reverse("embedding")).withColumn("seq", F.lit(2))
-    return _vector_rows(st.upsert(_stored(spark, sf, "old"), first.unionByName(later), "vec_id", "seq"))
+    store = BucketStore(spark, scratch(spark, "vector-store"), 16)
+    store.create("vectors", _stored(spark, sf, "old"), "vec_id")
+    return _vector_rows(store.read("vectors", store.upsert("vectors", first.unionByName(later), "vec_id", "seq")))
 
 
 _VECTORS_SQL = """

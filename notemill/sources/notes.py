@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators.chunks import chunk_table, parse_notes
+from ..operators.chunks import parse_notes
 
 
 def _local_path(uri: Column) -> Column:
@@ -25,12 +25,17 @@ def _below(root: str) -> Column:
     return F.substring(path, F.length(bare) + 2, F.length(path))
 
 
-def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """All `*.md` files below root: file, rel, text, meta, tags, body and the path sort key.
+def read_notes(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """All `*.md` files below root, or those of the given paths: file, rel, text, meta, tags, body and the path sort key.
 
     Spark's own listing leaves out names that start with `_` or `.`.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    if paths == []:
+        files = spark.read.schema("value string").text(root, wholetext=True, pathGlobFilter="*.md").where("false")
+    elif paths:
+        files = spark.read.text(paths, wholetext=True)
+    else:
+        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = files.select(_below(root).alias("rel"), F.col("value").alias("text"))
     rows = rows.withColumn("file", F.concat(F.lit("knowledge/"), "rel")).withColumn("path_key", F.split("rel", "/"))
     return parse_notes(rows)
@@ -66,26 +71,6 @@ def write_notes(notes: DataFrame, root: str) -> int:
     return notes.select("rel", "text").mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def source_state(spark: SparkSession, root: str) -> DataFrame:
-    """One row: latest modification time and number of note files; file contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True)
-    return files.load(root).agg(F.max("modificationTime").alias("latest"), F.count("*").alias("n_files"))
-
-
-def refresh_chunks(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Chunk table below `table`, rebuilt only when the sources changed since it was written.
-
-    A version is named after the source state, so an unfinished build is never read: its folder
-    lacks the success marker and is overwritten by the next call.
-    """
-    state = source_state(spark, root).select(F.unix_micros("latest").alias("us"), "n_files").first()
-    version = f"{table.rstrip('/')}/state={state['us']}-{state['n_files']}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(version + "/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        chunk_table(read_notes(spark, root)).write.mode("overwrite").parquet(version)
-    return spark.read.parquet(version)
-
-
 def parsed_examples(parsed: DataFrame) -> DataFrame:
     """Question and answer pairs of the worked-example section of each note.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import fixed
 from notemill.operators import dedup, opmetrics, quality, quiz, review, sessions as ss, studyplan
-from notemill.sources import notes as src, tables as st
+from notemill.sources import chunk_view as view, notes as src, tables as st
 from notemill.streaming import feeds, pages as page_stream, reviews as review_stream, sessions as session_stream
 
 PAGES = "n bigint, url_key string, title_key string, content_key string"
@@ -257,10 +257,10 @@ def test_note_files(spark, tmp_path):
     assert src.write_notes(rows, root) == 4
     assert {r.rel for r in src.read_notes(spark, root).collect()} == {"os/a+b c.md", "os/中.md", "os/sub/d.md"}
     assert {r.name for r in src.read_course_notes(spark, root, "os").collect()} == {"a+b c.md", "中.md"}
-    first = src.refresh_chunks(spark, root, table)
-    assert first.count() == 3 and sorted(src.refresh_chunks(spark, root, table).inputFiles()) == sorted(first.inputFiles())
+    first = view.chunks(spark, root, table)
+    assert first.count() == 3 and sorted(view.chunks(spark, root, table).inputFiles()) == sorted(first.inputFiles())
     (tmp_path / "k" / "os" / "new.md").write_text(body, encoding="utf-8")
-    assert src.refresh_chunks(spark, root, table).count() == 4
+    assert view.chunks(spark, root, table).count() == 4
 
 
 def test_questions_of_any_length_are_found(spark, tmp_path):
