@@ -217,8 +217,8 @@ def stream_page_dedup(spark, sf):
     schema = b.table(spark, sf, "pages").schema
     stream = feeds.parquet_stream(spark, sf, "pages.parquet", schema)
 
-    def prepare(batch: DataFrame) -> DataFrame:
-        rows = b.spread(batch.where(F.contains("html", F.lit("</html>")))).withColumn("topic", F.lit(""))
+    def prepare(pages: DataFrame) -> DataFrame:
+        rows = pages.where(F.contains("html", F.lit("</html>"))).repartition(spark.sparkContext.defaultParallelism).withColumn("topic", F.lit(""))
         cleaned = crawl.clean_pages(rows).where("length(clean) >= 100")
         keyed = crawl.with_keys(cleaned)
         return keyed.select(F.col("page_id").alias("entry_no"), "url_key", "title_key", "content_key")
