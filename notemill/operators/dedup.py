@@ -7,8 +7,10 @@ row that is first in all of its key groups, drop what shares a key with a kept r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,31 @@ def _first_everywhere(undecided: DataFrame, order: str, keys: list[str]) -> Data
     return every.where(F.col("_n_keys") == len(keys)).select(order)
 
 
+#: Rows that one task may walk through.
+RESIDUAL_ROWS = 200_000
+ROUNDS = 2
+
+
+def _walk(undecided: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """Rows kept by going through them in order, in one task; their number has been checked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = [set() for _ in keys]
+        for batch in batches:
+            keep = []
+            for values in zip(*(batch.column(k).to_pylist() for k in keys)):
+                free = not any(v is not None and v in s for v, s in zip(values, seen))
+                keep.append(free)
+                if free:
+                    for v, s in zip(values, seen):
+                        s.add(v)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return undecided.repartition(1).sortWithinPartitions(order).mapInArrow(run, undecided.schema)
+
+
 def decide(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:
-    """(order, kept, reason) for every row; loops until every row is decided.
+    """(order, kept, reason) for every row; rounds until the rest is small enough to be walked through.
 
     The key columns are computed once and stored. At most one kept row has a given key value, so
     the reason of a dropped row is a lookup per key, in order of precedence.
@@ -40,7 +65,12 @@ def decide(rows: DataFrame, order: str, keys=PAGE_KEYS) -> DataFrame:
     names = [k for k, _ in keys]
     every = rows.select(order, *names).checkpoint()
     undecided, kept = every, every.limit(0)
+    turn = 0
     while not undecided.isEmpty():
+        turn += 1
+        if turn > ROUNDS and fits(undecided, RESIDUAL_ROWS):
+            kept = kept.unionByName(_walk(undecided, order, names).checkpoint())
+            break
         winners = undecided.join(_first_everywhere(undecided, order, names), order, "left_semi").checkpoint()
         few = fits(winners)
         kept = kept.unionByName(winners)
