@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from . import bm25, keyword_index as ki, vector_index as vi, vectors as vec
+from .order import head_pool
 from .sizing import BROADCAST_ROWS, broadcast_if_small
 
 KEY = ["doc_id", "pos"]
@@ -88,15 +89,17 @@ def located(ranked: DataFrame, chunks: DataFrame, columns: list[str], queries: D
 
 
 def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | vi.VectorIndex | None = None, k: int = fixed.TOP_K,
-           threshold: float = fixed.VECTOR_THRESHOLD, index: ki.KeywordIndex | None = None) -> DataFrame:
+           threshold: float = fixed.VECTOR_THRESHOLD, index: ki.KeywordIndex | None = None, pool: int = 0) -> DataFrame:
     """Hybrid search of all questions at once.
 
+    With a pool the keyword route sees the first `pool` chunks in corpus order only; an index then has to be built on that pool.
+
     queries: qid, question, want_course (null for none) and, with vectors, embedding;
     chunks: doc_id, pos, file, course, content; vectors: vec_id, embedding, doc_id, pos.
     With a stored index of the chunks their texts are not read again; vectors may be a stored index that carries doc_id and pos.
     """
     asked = queries.select("qid", "question")
-    words = ki.topk(index, asked, fixed.ROUTE_DEPTH) if index else bm25.bm25_topk(asked, chunks, fixed.ROUTE_DEPTH)
+    words = ki.topk(index, asked, fixed.ROUTE_DEPTH) if index else bm25.bm25_topk(asked, head_pool(chunks, pool), fixed.ROUTE_DEPTH)
     near = None
     if vectors is not None:
         asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")

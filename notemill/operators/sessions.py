@@ -230,6 +230,11 @@ SESSION_SCHEMA = (
     "source_title:string,tags:array<string>,difficulty:string,attempt_count:bigint,correct:boolean>>, "
     "current_index bigint, score double, remediation string, created_at string, updated_at string, "
     "last_answer_normalized string, "
+    "last_evaluation struct<question_id:string,correct:boolean,score:double,attempt_count:bigint,feedback:string,"
+    "reference_answer:string,method:string>, "
+    "review struct<file:string,course:string,review_count:bigint,last_reviewed:string,next_review:string,"
+    "interval_days:bigint,source_session_id:string>, "
+    "tool_trace array<struct<step:string,service:string,status:string,result_count:bigint,detail:string,state_after:string>>, "
     "answer_records array<struct<question_id:string,attempt_count:bigint,answer_normalized:string,"
     "correct:boolean,feedback:string,created_at:string>>"
 )
@@ -245,20 +250,44 @@ def session_from_json(df: DataFrame) -> DataFrame:
     s = df.select(F.from_json("payload", SESSION_SCHEMA).alias("s")).select("s.*")
     text = {c: F.coalesce(c, F.lit("")) for c in (
         "course", "topic", "explanation", "remediation", "created_at", "updated_at", "last_answer_normalized")}
-    lists = {c: F.coalesce(c, F.array().cast(s.schema[c].dataType)) for c in ("sources", "questions", "answer_records")}
+    lists = {c: F.coalesce(c, F.array().cast(s.schema[c].dataType)) for c in ("sources", "questions", "tool_trace", "answer_records")}
     return s.withColumns({
         **text, **lists, "state": F.coalesce("state", F.lit("created")), "current_index": F.coalesce("current_index", F.lit(0)),
     })
 
 
 def session_view(df: DataFrame) -> DataFrame:
-    """Public session row: no reference answers, current question only while it can be answered."""
+    """Public session row: no reference answers among the questions, current question only while it can be answered."""
     questions = F.transform("questions", lambda q: q.dropFields("answer", "attempt_count", "correct"))
+    sources = F.transform("sources", lambda x: x.dropFields("tags"))
     current = F.get("questions", F.col("current_index").cast("int"))
     last = F.try_element_at("questions", F.lit(-1))
     open_ = F.col("state").isin("awaiting_answer", "remediation") & (F.size("questions") > 0)
     return df.select(
-        "session_id", "course", "topic", "state", questions.alias("questions"),
+        "session_id", "course", "topic", "state", "explanation", sources.alias("sources"), questions.alias("questions"),
         F.when(open_, current["id"]).alias("current_question_id"),
         F.coalesce(current["attempt_count"], last["attempt_count"], F.lit(0)).alias("attempt_count"), "score",
+        "last_evaluation", "remediation", "review", "tool_trace", "created_at", "updated_at",
     )
+
+
+def last_evaluations(outcomes: DataFrame) -> DataFrame:
+    """Per session the evaluation of its last accepted attempt.
+
+    A wrong first attempt shows no reference; the last one allowed shows the answer, or the explanation where there is none.
+    """
+    full = F.when(F.coalesce("reference", F.lit("")) != "", F.col("reference")).otherwise(F.coalesce("explanation", F.lit("")))
+    shown = F.when(F.col("correct"), F.col("reference_answer")).when(F.col("attempt_no") < fixed.MAX_ATTEMPTS, "").otherwise(full)
+    evaluation = F.struct(
+        F.concat(F.lit("q"), F.col("question_no").cast("string")).alias("question_id"), "correct", "score",
+        F.col("attempt_no").alias("attempt_count"), "feedback", shown.alias("reference_answer"), F.lit("deterministic").alias("method"),
+    )
+    made = outcomes.where("outcome = 'accepted'")
+    return made.groupBy("session_id").agg(F.max_by(evaluation, "turn").alias("last_evaluation"))
+
+
+def traces(steps: DataFrame) -> DataFrame:
+    """Per session its trace steps in order, as one list."""
+    step = F.struct("step_no", "step", "service", "status", "result_count", "detail", "state_after")
+    rows = steps.groupBy("session_id").agg(F.array_sort(F.collect_list(step)).alias("tool_trace"))
+    return rows.withColumn("tool_trace", F.transform("tool_trace", lambda x: x.dropFields("step_no")))

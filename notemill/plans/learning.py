@@ -9,6 +9,7 @@ from ..functions import fixed, learning as ln, text as tx
 from ..operators import review, sessions as ss
 from ..session import scratch
 from ..sources import tables as st
+from ..sources.buckets import BucketStore
 from ..streaming import feeds, reviews as review_stream, sessions as session_stream
 from . import bindings as b
 from .oracle_views import sql
@@ -355,6 +356,14 @@ def _nested(spark, sf) -> DataFrame:
     fold = ss.fold_sessions(sessions, reached, outcomes)
     rows = sessions.select("session_id", "course", "topic", "explanation", "n_questions")
     rows = rows.join(fold.select("session_id", "state", "score"), "session_id").join(qs, "session_id", "left")
+    targets = _targets(spark, sf)
+    review = F.struct(
+        F.col("review_file").alias("file"), "course", F.lit(1).cast("bigint").alias("review_count"), F.lit(None).cast("string").alias("last_reviewed"),
+        F.lit(None).cast("string").alias("next_review"), F.lit(1).cast("bigint").alias("interval_days"), F.col("session_id").alias("source_session_id"))
+    rows = rows.join(targets.select("session_id", "review_file"), "session_id").withColumn("review", F.when(F.col("state") == "completed", review)).drop("review_file")
+    types = F.array_join(F.array_repeat(F.lit("example"), F.col("n_questions").cast("int")), ",")
+    steps = ss.trace(targets.withColumns({"n_sources": F.lit(1), "types": types}), reached)
+    rows = rows.join(ss.last_evaluations(outcomes), "session_id", "left").join(ss.traces(steps), "session_id", "left")
     at = F.greatest(F.coalesce(F.size("questions"), F.lit(0)) - 1, F.lit(0)).cast("bigint")
     return rows.withColumn("current_index", F.when(F.size("questions") > 0, at).otherwise(0))
 
@@ -364,23 +373,75 @@ NESTED_QUESTIONS = """
  FROM reached GROUP BY session_id)"""
 
 
-@query("session_json", sql(f"""
-SELECT f.session_id, s.course, s.topic, f.state, sha1(s.explanation) AS explanation, f.score, coalesce(q.ids, '') AS ids, '' AS remediation
-FROM ({FOLDED}) f JOIN sessions s USING (session_id) LEFT JOIN {NESTED_QUESTIONS} q USING (session_id)""", "outcomes", "scores"))
+SHOWN = f"""
+, steps_of AS (SELECT session_id, count(*) AS n_steps, arg_max(detail, step_no) AS last_step FROM (
+  SELECT session_id, detail, row_number() OVER (PARTITION BY session_id ORDER BY part, nr) AS step_no FROM steps) GROUP BY session_id),
+last AS (SELECT session_id, arg_max('q' || question_no, turn) AS last_question, arg_max(correct, turn) AS last_correct, arg_max(attempt_no, turn) AS last_attempt,
+    arg_max(CASE WHEN correct THEN reference WHEN attempt_no < 2 THEN '' WHEN reference <> '' THEN reference ELSE explanation END, turn) AS reference
+  FROM (SELECT o.*, g.reference, g.explanation FROM outcomes o JOIN graded g USING (session_id, turn) WHERE outcome = 'accepted') GROUP BY session_id)"""
+SHOWN_COLUMNS = f"""l.last_question, l.last_correct, CAST(l.last_attempt AS BIGINT) AS last_attempt, sha1(l.reference) AS last_reference,
+  CASE WHEN f.state = 'completed' THEN {TARGET} END AS review_file, t.n_steps, t.last_step"""
+SHOWN_JOINS = "LEFT JOIN last l USING (session_id) LEFT JOIN steps_of t USING (session_id)"
+STEPS = TRACED[: TRACED.rindex("SELECT session_id, row_number()")]
+
+
+def _shown() -> list:
+    """The parts of a session that every call returns, as scalars."""
+    last = F.try_element_at("tool_trace", F.lit(-1))
+    return [
+        F.col("last_evaluation.question_id").alias("last_question"), F.col("last_evaluation.correct").alias("last_correct"),
+        F.col("last_evaluation.attempt_count").alias("last_attempt"), F.sha1("last_evaluation.reference_answer").alias("last_reference"),
+        F.col("review.file").alias("review_file"), F.size("tool_trace").cast("bigint").alias("n_steps"), last["detail"].alias("last_step")]
+
+
+@query("session_json", sql("", "graded", "outcomes", "scores") + STEPS + SHOWN + f"""
+SELECT f.session_id, s.course, s.topic, f.state, sha1(s.explanation) AS explanation, f.score, coalesce(q.ids, '') AS ids, '' AS remediation, {SHOWN_COLUMNS}
+FROM ({FOLDED}) f JOIN sessions s USING (session_id) LEFT JOIN {NESTED_QUESTIONS} q USING (session_id) {SHOWN_JOINS}""")
 def session_json(spark, sf):
     """Sessions through their JSON payload and back."""
     payload = ss.session_json(_nested(spark, sf).drop("n_questions"))
     back = ss.session_from_json(payload)
     ids = F.array_join(F.transform("questions", lambda q: q["id"]), ",")
     return back.select("session_id", "course", "topic", "state", F.sha1("explanation").alias("explanation"), "score",
-                       ids.alias("ids"), "remediation")
+                       ids.alias("ids"), "remediation", *_shown())
 
 
-@query("session_view", sql(f"""
-SELECT f.session_id, f.state, f.current_question_id, f.attempt_count, f.score, false AS shows_answers
-FROM ({FOLDED}) f""", "outcomes", "scores"))
+@query("session_view", sql("", "graded", "outcomes", "scores") + STEPS + SHOWN + f"""
+SELECT f.session_id, f.state, f.current_question_id, f.attempt_count, f.score, false AS shows_answers, {SHOWN_COLUMNS}
+FROM ({FOLDED}) f JOIN sessions s USING (session_id) {SHOWN_JOINS}""")
 def session_view(spark, sf):
     rows = ss.session_from_json(ss.session_json(_nested(spark, sf).drop("n_questions")))
     view = ss.session_view(rows)
     shown = F.lit("answer" in view.schema["questions"].dataType.elementType.fieldNames())
-    return view.select("session_id", "state", "current_question_id", "attempt_count", "score", shown.alias("shows_answers"))
+    return view.select("session_id", "state", "current_question_id", "attempt_count", "score", shown.alias("shows_answers"), *_shown())
+
+
+# ---- look-ups by key ------------------------------------------------------------------------
+
+
+def _review_store(spark, sf) -> tuple[DataFrame, BucketStore, BucketStore]:
+    """Review records by learner's file, stored in buckets of the file and of the source session."""
+    rows = review.review_state(b.reviews(spark, sf))
+    rows = rows.select(F.concat_ws(":", F.col("learner").cast("string"), "file").alias("key"), "file", "review_count", "interval_days", "source_session_id")
+    by_file, by_session = (BucketStore(spark, scratch(spark, f"reviews-{name}"), 16) for name in ("file", "session"))
+    by_file.create("reviews", rows, "key")
+    by_session.create("reviews", rows, "source_session_id")
+    return rows, by_file, by_session
+
+
+REVIEW_KEYS = """(SELECT learner || ':' || file AS key, file, review_count, interval_days, source_session_id FROM state)"""
+
+
+@query("review_lookup", sql(f"SELECT * FROM {REVIEW_KEYS} WHERE file LIKE '%/n3.md'", "state"))
+def review_lookup(spark, sf):
+    """Stored reviews of some files, by key."""
+    rows, by_file, _ = _review_store(spark, sf)
+    return st.point_read(by_file, "reviews", rows.where("file LIKE '%/n3.md'"), "key")
+
+
+@query("review_by_session", sql(f"SELECT * FROM {REVIEW_KEYS} WHERE source_session_id <> '' AND source_session_id LIKE '%:click:%'", "state"))
+def review_by_session(spark, sf):
+    """Stored reviews that given sessions led to; a blank session id finds none."""
+    rows, _, by_session = _review_store(spark, sf)
+    asked = rows.where("source_session_id = '' OR source_session_id LIKE '%:click:%'")
+    return st.point_read(by_session, "reviews", asked, "source_session_id", blank=False)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, learning as ln, text as tx
-from ..operators import answer, bm25, evaluate, fuse, gates, keyword_index as ki, quality, vector_index as vi, vectors as vec
+from ..operators import answer, bm25, evaluate, fuse, gates, keyword_index as ki, order, quality, vector_index as vi, vectors as vec
 from ..session import scratch
 from ..sources import tables as st
 from ..sources.buckets import BucketStore
@@ -70,6 +70,16 @@ def positive_score(spark, sf):
         F.count("*").alias("n_scored"), F.round(F.min("score"), 4).alias("lowest"), F.round(F.max("score"), 4).alias("highest"))
 
 
+POOL = 2000  # chunks of the candidate pool where one is asked for
+
+
+@query("head_pool", sql(f"""
+SELECT doc_id, pos, rank FROM (SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS rank FROM chunks) WHERE rank <= {POOL}""", "chunks"))
+def head_pool(spark, sf):
+    """The candidate pool with the place of each chunk in the corpus."""
+    return order.ranked(b.chunks(spark, sf).select(*KEY), KEY).where(F.col("rank") <= POOL)
+
+
 @query("search_keyword", sql("""
 SELECT qid, doc_id, pos, round(score, 4) AS score, rank FROM bm25 WHERE rank <= 5 AND qid % 3 <> 1
 UNION ALL SELECT qid, doc_id, pos, round(score, 4), rank FROM bm25_course WHERE rank <= 5""", "bm25", "bm25_course"))

@@ -141,6 +141,13 @@ def lookup(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_semi")
 
 
+def point_read(store, table: str, keys: DataFrame, on: str, blank: bool = True) -> DataFrame:
+    """Stored rows whose key is asked for, out of the keys' buckets only; `blank=False`: an empty key finds nothing."""
+    asked = keys.select(on).distinct()
+    asked = asked if blank else asked.where(F.col(on) != "")
+    return lookup(store.read(table, buckets=store.touched(asked, on)), asked, on)
+
+
 def op_log_line(event: Column, duration: Column, results: Column, course: Column, mode: Column, hit: Column) -> Column:
     """One JSON line per operation: keys in alphabetical order, absent or blank optionals left out."""
     return F.to_json(F.struct(
