@@ -144,7 +144,7 @@ def test_training_helps_on_held_out_texts(spark, scored):
     trained = {r["doc_id"]: r["score"] for r in scored if r["held_out"]}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in trained}
     before = sum(plain_score(texts[i], start, classes, path) for i in list(trained)[:5])
-    assert sum(trained[i] for i in list(trained)[:5]) > 0.8 * before
+    assert sum(trained[i] for i in list(trained)[:5]) > 0.9 * before
 
 
 def ids_of(text, path):
@@ -156,11 +156,11 @@ def plain_score(text, model, classes, path):
     """One place at a time, with loops instead of masks and batches."""
     w = {k: v.astype(float) for k, v in model.w.items()}
     ids = ids_of(text, path)
-    of = [lm_scoring.BEGIN] * (lm_scoring.HALF + 1) + [int(classes.of[i]) for i in ids]
+    of = [lm_scoring.BEGIN] * (lm_scoring.CONTEXT + 1) + [int(classes.of[i]) for i in ids]
     total = 0.0
     for t, i in enumerate(ids):
-        at = t // lm_scoring.HALF * lm_scoring.HALF  # the window's first input
-        inputs = of[at : t + lm_scoring.HALF + 1]
+        at = t // lm_scoring.STRIDE * lm_scoring.STRIDE  # the window's first input
+        inputs = of[at : t + lm_scoring.CONTEXT + 1]
         e = [w["tokens"][c] + w["places"][k] for k, c in enumerate(inputs)]
         q = e[-1] @ w["query"] / math.sqrt(lm_scoring.WIDTH)
         s = np.exp([q @ (x @ w["key"]) for x in e])
@@ -192,19 +192,19 @@ def test_batched_windows_equal_single_places(small_model):
 def test_probabilities_of_all_ids_sum_to_one(small_model):
     model, classes, path = small_model
     x = np.random.default_rng(0).integers(0, lm_scoring.BEGIN + 1, (1, lm_scoring.WINDOW))
-    p = [np.exp(model.log_probabilities(x, np.full((1, lm_scoring.HALF), c))[0, -1]) for c in range(lm_scoring.BEGIN)]
+    p = [np.exp(model.log_probabilities(x, np.full((1, lm_scoring.STRIDE), c))[0, -1]) for c in range(lm_scoring.BEGIN)]
     assert abs(sum(p) - 1) < 1e-4
     assert np.allclose(np.bincount(classes.of, weights=np.exp(classes.share)), 1)
     later = x.copy()
     later[0, -1] = (later[0, -1] + 1) % lm_scoring.BEGIN
-    y = np.zeros((1, lm_scoring.HALF), int)
+    y = np.zeros((1, lm_scoring.STRIDE), int)
     assert np.allclose(model.log_probabilities(x, y)[0, :-1], model.log_probabilities(later, y)[0, :-1])  # nothing looks ahead
 
 
 def test_gradients(small_model):
     rng = np.random.default_rng(1)
     w = {k: v.astype(float) for k, v in small_model[0].w.items()}
-    x, y = rng.integers(0, lm_scoring.BEGIN + 1, (3, lm_scoring.WINDOW)), rng.integers(-1, lm_scoring.BEGIN, (3, lm_scoring.HALF))
+    x, y = rng.integers(0, lm_scoring.BEGIN + 1, (3, lm_scoring.WINDOW)), rng.integers(-1, lm_scoring.BEGIN, (3, lm_scoring.STRIDE))
     _, g = lm_scoring.Model(w).gradients(x, y)
     for k, v in w.items():
         at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
