@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemill.operators.sizing import broadcast_if_small
 from notemill.session import scratch
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -44,6 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def with_owner(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with `owner`, a number of its own for each text: the id, or a hash of id and text for ids that stand for several texts."""
+    value = F.xxhash64(text, F.length(text))
+    seen = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(value).alias("a"), F.max(value).alias("z"))
+    several = stored(seen.where("a <> z").select("_id"), "ids-of-several-texts")
+    if several.isEmpty():
+        return docs.withColumn("owner", F.col(doc_id))
+    marked = docs.join(broadcast_if_small(several), F.col(doc_id) == F.col("_id"), "left")
+    return marked.withColumn("owner", F.when(F.col("_id").isNull(), F.col(doc_id)).otherwise(F.xxhash64(doc_id, text))).drop("_id")
+
+
 def split_size(spark: SparkSession, default: int = 64) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", str(default))), 1)
 

@@ -2,10 +2,10 @@
 
 Only suffixes at content-selected positions are kept: of every run of `WINDOW` words the position
 whose following `ANCHOR` words hash lowest (its minimiser). Two copies of a passage of ANCHOR + WINDOW - 1 words
-select the same position in it, wherever they stand. Suffixes are sorted by the words they start
-with, in hash buckets; neighbours that start alike in different documents are matches. Each match is
-then extended left and right: around it all runs of `least` words that contain the matched start are
-compared the same way, which gives the exact extent of every passage of `least` words or more.
+select the same position in it, wherever they stand. Suffixes are sorted by a 64-bit hash of the words they start
+with, in hash buckets, not by the words themselves; neighbours of equal hash in different documents are matches. Around each match
+all runs of `least` words that contain the matched start are then compared the same way, by hash: this stands for the extension left and
+right, and gives the exact extent of every passage of `least` words or more.
 Matched positions alone are extended, so the second sort sees the repeated part of the corpus, not all of it.
 
 A start that many documents of one task share is sent twice at most and settled there, so one
@@ -13,7 +13,7 @@ passage in a third of all documents is no hot group.
 
 Defined cases: null and empty texts and texts under `least` words have no passages; a passage
 repeated inside one document only is not reported; equal texts under different ids are passages of
-each other in full; rows that repeat an id count as one document; null ids are not compared.
+each other in full; equal rows of an id count as one document, different texts of an id as different ones; null ids are not compared.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from notemill.operators.sizing import fits
 
 from . import shingles
-from .common import small_batches, split_size, stored
+from .common import small_batches, split_size, stored, with_owner
 
 LEAST = 50
 WINDOW = 25
@@ -203,11 +203,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "first_word", "n_words", "start", "end"])
 
 
-def _with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+def _with_places(rows: DataFrame, places: DataFrame, owner: str = "doc_id") -> DataFrame:
     """rows joined with their places; other texts are left out before the join where the ids are few enough to broadcast."""
+    places = places.withColumnRenamed("doc_id", owner)
     if fits(places, FEW_IDS):
-        rows = rows.join(F.broadcast(places.select("doc_id")), "doc_id", "left_semi")
-    return rows.join(places, "doc_id").select("doc_id", "text", "places")
+        rows = rows.join(F.broadcast(places.select(owner)), owner, "left_semi")
+    return rows.join(places, owner).select("doc_id", "text", "places")
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,10 +218,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    owned = with_owner(rows)
+    rows = owned.select(F.col("owner").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kept = total // (3 * WINDOW)  # about two suffixes in WINDOW + 1 words of six bytes
     matched = stored(shared_places(rows, _starts, max(kept // BUCKET_ROWS + 1, split_size(spark))), "matched")
     runs = (matched.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW + 1) // 2
     near = _with_places(rows, matched)
     repeated = stored(shared_places(near, _around, max(runs // BUCKET_ROWS + 1, split_size(spark))), "repeated")
-    return _with_places(rows, repeated).mapInArrow(_spans, "doc_id bigint, first_word bigint, n_words bigint, start bigint, end bigint")
+    return _with_places(owned, repeated, "owner").mapInArrow(_spans, "doc_id bigint, first_word bigint, n_words bigint, start bigint, end bigint")

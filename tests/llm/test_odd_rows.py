@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from conftest import COPY
 from notemill.llm import fingerprints, jaccard_join, language, line_dedup, mixing, packing, quality_rules, repeated_passages, sharding, tokens
 
 N_ROWS = 20
@@ -131,3 +132,17 @@ def test_near_copies_keep_one_row_of_an_id(spark, odd_docs):
     ids = Counter(r["doc_id"] for r in left)
     assert ids[5] == 1 and ids[6] == ids[7] == 0 and ids[3] == 1 and ids[None] == 2
     assert all(r["k"] == "own k" for r in left)
+
+
+def test_one_id_under_two_texts(spark):
+    """Texts of one id are documents of their own: for passages, and for near copies in the pipeline."""
+    other = " ".join(f"other{i}" for i in range(90))
+    rows = [(1, COPY), (1, "three short words"), (2, COPY + " and more"), (3, other), (3, other), (1, other)]
+    rows = [(i, t, "en", "s", len(t), f"own {k}") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, owner string").repartition(2)
+    found = {(r["doc_id"], r["first_word"], r["n_words"]) for r in repeated_passages.passages(docs).collect()}
+    assert found == {(1, 0, 120), (2, 0, 120), (1, 0, 90), (3, 0, 90)}
+    left = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(r["text"] for r in left if len(r["text"]) < 100) == ["three short words"]
+    assert sum(r["text"].startswith("copy0 ") for r in left) == 1 and sum(r["text"] == other for r in left) == 1
+    assert all(r["owner"].startswith("own ") for r in left)
