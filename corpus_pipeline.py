@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from notemill.llm.common import split_size, stored
+from notemill.llm.common import split_size, stored, with_owner
 from notemill.operators.sizing import broadcast_if_small
 
 #: Learned rules, optimised packings and tokenizers are beyond SQL.
@@ -34,16 +34,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest id; of rows with one id, one."""
-    linked = stored(jaccard_join.link(docs), "linked")
+    """One document of each group of linked ones, that of the smallest id; of equal rows one. Texts that share an id are documents of their own."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    rows = with_owner(rows).select("row", F.col("owner").alias("doc_id"), "text")
+    linked = stored(jaccard_join.link(rows), "linked")
     gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    left = rows.join(broadcast_if_small(gone), "doc_id", "left_anti")
     twice = stored(linked.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if twice.isEmpty():
-        return left.select(*docs.columns)
-    few = broadcast_if_small(twice)
-    once = left.join(few, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(few, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    if not twice.isEmpty():
+        few = broadcast_if_small(twice)
+        once = left.join(few, "doc_id", "left_anti").select("row", "doc_id")
+        left = once.unionByName(left.join(few, "doc_id", "left_semi").select("row", "doc_id").dropDuplicates(["doc_id"]))
+    return left.select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
