@@ -178,3 +178,31 @@ def _split_mentions(topics: DataFrame, texts: DataFrame, schema: str) -> DataFra
 
     key = ["course", "split", "block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(match, schema)
+
+
+def occurrences(topics: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts, without the text itself, with each `topic` that occurs inside it, once a row.
+
+    topics: a column `topic`, null ones match nothing, an empty one is inside every text; other columns of texts are carried.
+    """
+    wanted, keep = topics.select("topic").where("topic IS NOT NULL").distinct(), [c for c in texts.columns if c != text]
+    if not fits(wanted):
+        both = texts.select(F.lit("").alias("course"), F.col(text).alias("question"))
+        found = mentions(wanted.select(F.lit("").alias("course"), "topic"), both.distinct()).select(F.col("question").alias(text), "topic")
+        return texts.join(found, text).select(*keep, "topic")
+    names = [r["topic"] for r in wanted.collect()]  # of checked size
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = automata(shared.value)
+        every = [""] if "" in shared.value else []
+        for batch in batches:
+            listed = batch.column(text).to_pylist()
+            at = [i for i, t in enumerate(listed) if t is not None]
+            pairs = [(at[i], topic) for i, topic in find([listed[i] for i in at], machines)] if at else []
+            pairs += [(i, t) for i in at for t in every]
+            rows = batch.select(keep).take(pa.array([i for i, _ in pairs], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([t for _, t in pairs], pa.string())], [*keep, "topic"])
+
+    kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
+    return texts.mapInArrow(run, kinds + "topic string")

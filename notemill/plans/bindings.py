@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import let
-from ..operators import chunks as ch, gates, keyword_index, vector_index
+from ..operators import chunks as ch, gates, keyword_index, topics, vector_index
 from ..operators.sizing import broadcast_if_small
 from ..sources.tables import with_entry_defaults
 
@@ -140,33 +138,11 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quoted(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, doc_id, file, course): notes that contain a question's whole text.
-
-    A note with the text has the question's words but the first and the last in a row, so equal runs of up to five of
-    them find the candidates and only those are compared. Questions of one or two words have no
-    such word; they are looked for in every note.
-    """
-    def runs(text, n):
-        return let(F.split(text, r"\s+"), lambda words: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n))))
-
-    items = questions(spark, sf).withColumn("words", F.split("question", r"\s+"))
-    items = items.withColumn("n", F.least(F.size("words") - 2, F.lit(5)))
-    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most five and those of short questions
-    items = items.withColumn("run", F.when(F.col("n") > 0, F.concat_ws(" ", F.slice("words", F.lit(2), F.greatest("n", F.lit(1)))))).drop("words")
+    """(qid, doc_id, file, course): notes that contain a question's whole text, found in one pass over each note."""
     docs = notes(spark, sf).select("doc_id", "file", "course", "text")
-    parts = []
-    if any(n > 0 for n in lengths):
-        every = F.array_distinct(F.concat(*[runs(F.col("text"), n) for n in lengths if n > 0]))
-        keyed = broadcast_if_small(items.where("n > 0"), probe=questions(spark, sf))
-        parts.append(docs.withColumn("run", F.explode(every)).join(keyed, "run").where(F.contains("text", "question")))
-    if any(n <= 0 for n in lengths):
-        short = broadcast_if_small(items.where("n <= 0").drop("run"), probe=questions(spark, sf))
-        parts.append(docs.join(short, F.contains("text", "question")))
-    columns = ["qid", "doc_id", "file", "course"]
-    if not parts:
-        return docs.join(items, F.lit(False)).select(columns)
-    return reduce(DataFrame.unionByName, [p.select(columns) for p in parts]).distinct()
+    items = questions(spark, sf).where("question IS NOT NULL").withColumnRenamed("question", "topic")
+    found = topics.occurrences(items, docs).join(broadcast_if_small(items), "topic")
+    return found.select("qid", "doc_id", "file", "course").distinct()
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,18 +234,42 @@ def review_meta(spark: SparkSession, sf: str) -> DataFrame:
     return files.where(F.col("file").rlike(r"n[0-3]\.md$")).withColumn("title", F.concat(F.lit("Note "), "file"))
 
 
+TURNS = 10_000  # of a conversation in one task
+
+
+def _blocks_of_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").withColumn("block", F.floor(F.col("turn") / TURNS))
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns with the next assistant text."""
-    back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    """Conversation turns with the next assistant text.
+
+    A conversation is cut into blocks of turns; where a block has no later assistant text, the first one of
+    the blocks after it is carried in.
+    """
+    rows = _blocks_of_turns(spark, sf)
     said = F.when(F.col("role") == "assistant", F.col("text"))
-    return table(spark, sf, "conversations").withColumn("next_said", F.last(said, ignorenulls=True).over(back))
+    first = F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn")))
+    blocks = rows.groupBy("conv_id", "block").agg(F.when(F.max(said.isNotNull().cast("int")) == 1, first).alias("first_said"))
+    after = Window.partitionBy("conv_id").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.select("conv_id", "block", F.last("first_said", ignorenulls=True).over(after).alias("later_said"))
+    back = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").desc())
+    own = rows.withColumn("own_said", F.last(said, ignorenulls=True).over(back))
+    return own.join(later, ["conv_id", "block"], "left").withColumn("next_said", F.coalesce("own_said", "later_said")).drop("own_said", "later_said")
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns as answers, two per question; the reference is the reply to the first of them."""
+    """User turns as answers, two per question; the reference is the reply to the first of them.
+
+    Answers are numbered within a block of turns, after the answers of the blocks before it.
+    """
     rows = turns(spark, sf).where("role = 'user'")
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = rows.withColumn("question_no", (F.floor((n - 1) / 2) + 1).cast("bigint"))
+    counts = _blocks_of_turns(spark, sf).where("role = 'user'").groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn"))
+    rows = rows.withColumn("n", n).join(offsets, ["conv_id", "block"], "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0)))
+    rows = rows.withColumn("question_no", (F.floor((F.col("n") - 1) / 2) + 1).cast("bigint"))
     reference = F.first("next_said").over(Window.partitionBy("conv_id", "question_no").orderBy("turn"))
     return rows.select(
         F.col("conv_id").cast("string").alias("session_id"), "turn", "question_no", F.col("text").alias("answer"),

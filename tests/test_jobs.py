@@ -273,3 +273,21 @@ def test_questions_of_any_length_are_found(spark, tmp_path):
     spark.createDataFrame(asked, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.qid, r.doc_id) for r in bindings.quoted(spark, str(tmp_path)).collect()}
     assert got == {(q, i) for q, x in asked for i, t in texts if x in t} and len(got) >= 6
+
+
+def test_long_conversations_are_cut_into_blocks(spark, tmp_path, monkeypatch):
+    from notemill.plans import bindings
+
+    rnd = random.Random(2)
+    rows = [(c, t, rnd.choice(["user", "user", "assistant", "system"]), f"{c}-{t}") for c in range(5) for t in range(40) if rnd.random() < 0.8]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def both():
+        said = sorted((r.conv_id, r.turn, r.next_said) for r in bindings.turns(spark, str(tmp_path)).collect())
+        return said, sorted(map(tuple, bindings.attempts(spark, str(tmp_path)).collect()))
+
+    whole = both()
+    want = [(c, t, next((x for d, u, r, x in rows if d == c and u >= t and r == "assistant"), None)) for c, t, *_ in rows]
+    assert whole[0] == sorted(want) and len({a[2] for a in whole[1]}) > 5
+    monkeypatch.setattr(bindings, "TURNS", 3)
+    assert both() == whole

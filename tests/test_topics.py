@@ -52,3 +52,14 @@ def test_sizes_are_counted_in_bytes(spark):
     df = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array_repeat(F.lit("yy"), 100).alias("list"), F.struct(F.lit("z").alias("a.b")).alias("s"))
     assert sizing.fits(df, 10, 10 * (8 + 1000 + 200 + 1)) and not sizing.fits(df, 10, 10 * 1200) and not sizing.fits(df, 9)
     assert sizing.fits(df.where("false"), 0, 0)
+
+
+@pytest.mark.parametrize("shipped", [True, False])
+def test_occurrences_carry_the_other_columns(spark, monkeypatch, shipped):
+    if not shipped:
+        monkeypatch.setattr(tp, "fits", lambda df: False)
+    texts = [(1, "a b c", "x"), (2, "bcd", None), (2, "bcd", None), (3, None, "z"), (4, "", "w")]
+    topics = ["b", "b c", "zz", "", None, "b"]
+    got = tp.occurrences(spark.createDataFrame([(t,) for t in topics], "topic string"), spark.createDataFrame(texts, "id int, text string, other string")).collect()
+    want = [(i, o, t) for i, x, o in texts for t in ("b", "b c", "zz", "") if x is not None and t in x]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
