@@ -1,39 +1,49 @@
-"""Review events as a stream: each session id counts once, state grows by small summaries."""
+"""Review events as a stream: each session id counts once, state grows by small summaries.
+
+A replay key that has counted is a state in RocksDB, so no accepted key is read again. What a batch adds is one
+summary per touched (learner, file); summaries are merged by tiers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import review
-from .feeds import earlier_batches, put_batch, run_available
+from .feeds import run_available
+from .pages import ROCKSDB
+from .tiers import Tiers
+
+
+def _once(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The first event of a key that has not counted yet."""
+    if state.exists:
+        return
+    state.update((True,))
+    rows = pd.concat(list(batches))
+    yield rows.sort_values(["ts", "event_id"]).head(1).drop(columns="replay_key")
 
 
-def stream_reviews(events: DataFrame, out: str) -> DataFrame:
+def stream_reviews(events: DataFrame, out: str, fanout: int = 8) -> DataFrame:
     """Fold a stream of review events and return the resulting review records.
 
-    events: learner, file, course, ts, event_id, session_id. A batch adds the keys it accepted and
-    one summary row per touched (learner, file); nothing stored earlier is rewritten.
+    events: learner, file, course, ts, event_id, session_id. Of the events of one key in a batch the first counts, as in a batch job.
     """
     spark = events.sparkSession
-    keys, folds = f"{out}/accepted", f"{out}/folds"
-    key_schema = spark.createDataFrame([], "replay_key string").schema
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        first = review.idempotent(batch).withColumn(
-            "replay_key", review.replay_key(F.col("session_id"), F.col("event_id")))
-        seen = earlier_batches(s, keys, key_schema, batch_id)
-        fresh = first.join(seen, "replay_key", "left_anti")
-        put_batch(fresh, f"{out}/fresh", batch_id)
-        stored = s.read.parquet(f"{out}/fresh/batch={batch_id}")
-        put_batch(stored.select("replay_key"), keys, batch_id)
-        put_batch(review.fold(stored.drop("replay_key")), folds, batch_id)
-
-    run_available(events, each, f"{out}/progress")
-    return read_state(spark, out)
-
-
-def read_state(spark: SparkSession, out: str) -> DataFrame:
-    """Current review records from all summaries written so far."""
-    return review.schedule(review.merge_folds(spark.read.parquet(f"{out}/folds").drop("batch")))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folds = Tiers(spark, f"{out}/folds", review.merge_folds, fanout)
+    keyed = events.withColumn("replay_key", review.replay_key(F.col("session_id"), F.col("event_id")))
+    fresh = keyed.groupBy("replay_key").applyInPandasWithState(_once, events.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    run_available(fresh, lambda batch, batch_id: folds.add(review.fold(batch), batch_id), f"{out}/progress")
+    return read_state(spark, out, events.schema)
+
+
+def read_state(spark: SparkSession, out: str, events: StructType) -> DataFrame:
+    """Current review records from all summaries written so far; `events` is the schema of the events."""
+    nothing = review.fold(spark.createDataFrame([], events))
+    return review.schedule(review.merge_folds(Tiers(spark, f"{out}/folds", review.merge_folds).read(nothing.schema)))
