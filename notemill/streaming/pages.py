@@ -6,7 +6,8 @@ ones in first and then says for each page whether the key is taken. Pages withou
 the keys of those kept go to a folder that the next micro-batch reads. So no earlier page is read again: a batch costs what it
 brings, however many pages were kept before. State lies in RocksDB, on the executors' disks and in the checkpoint.
 
-With a horizon a key is forgotten when nothing has met it for that long.
+With a horizon a key is forgotten when nothing has met it for that long. Timeouts ask for batches without data, so a run that
+shall end with its data needs spark.sql.streaming.noDataMicroBatches.enabled=false.
 """
 
 from __future__ import annotations
