@@ -206,7 +206,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_places(rows: DataFrame, places: DataFrame, owner: str = "doc_id") -> DataFrame:
     """rows joined with their places; other texts are left out before the join where the ids are few enough to broadcast."""
     places = places.withColumnRenamed("doc_id", owner)
-    if fits(places, FEW_IDS):
+    if fits(places.select(owner), FEW_IDS):
         rows = rows.join(F.broadcast(places.select(owner)), owner, "left_semi")
     return rows.join(places, owner).select("doc_id", "text", "places")
 
