@@ -90,16 +90,17 @@ def eval_summary(metrics: DataFrame) -> DataFrame:
 
 
 def report(metrics: DataFrame, questions: DataFrame, mode: str) -> DataFrame:
-    """One JSON document per course plus one for the summary (`course` = `all`)."""
+    """One JSON document per course plus one for the summary (`course` = `all`); a course of that name has its own."""
     fields = F.struct("recall", "precision", "f1", "avg_latency_ms", "labeled_questions")
-    asked = questions.groupBy("course").agg(F.count("*").alias("questions"))
-    total = questions.agg(F.count("*").alias("questions")).withColumn("course", F.lit("all"))
-    rows = metrics.unionByName(eval_summary(metrics).withColumn("course", F.lit("all")))
+    marked = lambda df, summary: df.withColumn("summary", F.lit(summary))
+    asked = marked(questions.groupBy("course").agg(F.count("*").alias("questions")), False)
+    total = marked(questions.agg(F.count("*").alias("questions")).withColumn("course", F.lit("all")), True)
+    rows = marked(metrics, False).unionByName(marked(eval_summary(metrics).withColumn("course", F.lit("all")), True))
     # a course has one row per k, and the list of k is a short parameter
-    nested = rows.groupBy("course").agg(
+    nested = rows.groupBy("course", "summary").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k").cast("string"), fields)))).alias("metrics")
     )
-    return nested.join(asked.unionByName(total), "course").select(
+    return nested.join(asked.unionByName(total), ["course", "summary"]).select(
         "course", "questions", F.lit(mode).alias("mode"), "metrics"
     )
 

@@ -121,7 +121,7 @@ class _Postings:
     def __init__(self, n: np.ndarray, tf: np.ndarray, top: np.ndarray, low: np.ndarray, dl: np.ndarray, avgdl: float):
         self.n, self.tf, self.dl, self.avgdl = n, tf, dl, avgdl
         self.bounds = self._part(top, low)
-        self.most = float(self.bounds.max())
+        self.most, self.least = float(self.bounds.max()), float(self.bounds.min())
         self.all: np.ndarray | None = None
 
     def _part(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
@@ -142,6 +142,9 @@ def best_of_part(terms: list[tuple[_Postings, float]], size: int, k: int) -> tup
     acc, floor, blocks, read = np.zeros(size), 0.0, 0, 0
     for (p, w), rest in zip(terms, later):
         blocks += len(p.bounds)
+        # the k-th score is at most the best one: only where that is above some block's bound can a block be left out
+        if size > k and acc.max() > p.least * w + rest:
+            floor = np.partition(acc, size - k)[size - k]
         keep = p.bounds * w + rest >= floor - MARGIN
         if keep.all():
             acc[p.n] += w * p.parts()
@@ -153,8 +156,8 @@ def best_of_part(terms: list[tuple[_Postings, float]], size: int, k: int) -> tup
             at = np.union1d(at, np.flatnonzero(np.repeat(keep, BLOCK)[: len(p.n)]))
             acc[p.n[at]] += w * p.parts(at)
             read += len(np.unique(at // BLOCK))
-        if size > k:
-            floor = np.partition(acc, size - k)[size - k]
+    if size > k:
+        floor = np.partition(acc, size - k)[size - k]
     found = np.flatnonzero((acc > 0) & (acc >= floor - MARGIN))
     order = np.lexsort((found, -np.floor(acc[found] * 1e9 + 0.5)))[:k]
     return found[order], acc[found[order]], blocks, read

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,11 +99,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def version(spark: SparkSession, sf: str, *names: str) -> int:
     """A number that changes with the files of the named tables: paths, sizes and times."""
-    found = 0
-    for name in names:
-        files = table(spark, sf, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        found ^= files.agg(F.coalesce(F.bit_xor(F.xxhash64("*")), F.lit(0)).alias("v")).first()["v"]
-    return found
+    files = [table(spark, sf, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time") for name in names]
+    every = reduce(DataFrame.unionByName, files).distinct()
+    return every.agg(F.coalesce(F.bit_xor(F.xxhash64("*")), F.lit(0)).alias("v")).first()["v"]
 
 
 _INDEXES: dict[tuple, tuple] = {}  # the last index of each kind and folder in this application
