@@ -188,10 +188,10 @@ def hybrid_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fetched(spark: SparkSession, sf: str) -> DataFrame:
-    """Fetch results: a page that breaks off before its end tag is a failed fetch."""
+    """Fetch results by entry: a page that breaks off before its end tag is a failed fetch."""
     whole = F.contains("html", F.lit("</html>"))
     return table(spark, sf, "pages").select(
-        "page_id", "url", F.when(whole, 200).otherwise(206).alias("status_code"), "html", whole.alias("success"))
+        F.col("page_id").alias("entry_no"), F.when(whole, 200).otherwise(206).alias("status_code"), "html", whole.alias("success"))
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,8 +204,8 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries with their fetch result, failed ones included."""
-    return entries(spark, sf).join(spread(fetched(spark, sf)).drop("page_id"), "url")
+    """Entries with their own fetch result, failed ones included; a URL may be listed twice."""
+    return entries(spark, sf).join(spread(fetched(spark, sf)), "entry_no")
 
 
 def oplog(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,8 +58,8 @@ def with_entry_defaults(entries: DataFrame) -> DataFrame:
 
 
 def read_pages(entries: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Entries with the page fetched for their URL; failed fetches are dropped."""
-    return entries.join(fetched.where("success").select("url", "status_code", "html"), "url")
+    """Entries with the page fetched for each; failed fetches are dropped. An entry is known by its number, as a URL may be listed twice."""
+    return entries.join(fetched.where("success").select("entry_no", "status_code", "html"), "entry_no")
 
 
 def parse_review_json(json: DataFrame) -> DataFrame:

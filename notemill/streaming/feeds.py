@@ -13,9 +13,8 @@ from pyspark.sql.types import StructType
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
-    """Files called `name` (a glob) in a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """What is called `name` in a folder as a stream: a file, or a folder of files. As a glob the path may be either."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{name}}}")
 
 
 def put_batch(df: DataFrame, table: str, batch_id: int) -> None:
