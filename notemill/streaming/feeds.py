@@ -33,10 +33,10 @@ def earlier_batches(spark: SparkSession, table: str, schema: StructType, batch_i
     return rows.drop("batch")
 
 
-def run_available(stream: DataFrame, each_batch, checkpoint: str) -> None:
+def run_available(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> None:
     """Process all that is available now, batch by batch."""
     query = (
-        stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+        stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -1,17 +1,14 @@
 """Review events as a stream: each session id counts once, state grows by small summaries.
 
-A replay key that has counted is a state in RocksDB, so no accepted key is read again. What a batch adds is one
-summary per touched (learner, file); summaries are merged by tiers.
+The first event of a replay key is the minimum of a streaming aggregate, by micro-batch and then by time, kept in RocksDB by Spark
+itself: no accepted key is read again and no Python runs for a key. What a batch adds is one summary per touched
+(learner, file); summaries are merged by tiers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators import review
@@ -20,13 +17,12 @@ from .pages import ROCKSDB
 from .tiers import Tiers
 
 
-def _once(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The first event of a key that has not counted yet."""
-    if state.exists:
-        return
-    state.update((True,))
-    rows = pd.concat(list(batches))
-    yield rows.sort_values(["ts", "event_id"]).head(1).drop(columns="replay_key")
+def _first_of_keys(keyed: DataFrame) -> DataFrame:
+    """The first event of each key that no earlier micro-batch had. The time of a micro-batch is one value, which a retry takes from the log."""
+    others = [c for c in keyed.columns if c not in ("replay_key", "ts", "event_id")]
+    first = F.min(F.struct("arrived", "ts", "event_id", *others)).alias("e")
+    fresh = keyed.withColumn("arrived", F.current_timestamp()).groupBy("replay_key").agg(first).where(F.col("e.arrived") == F.current_timestamp())
+    return fresh.select(*[F.col(f"e.{c}").alias(c) for c in keyed.columns if c != "replay_key"])
 
 
 def stream_reviews(events: DataFrame, out: str, fanout: int = 8) -> DataFrame:
@@ -38,8 +34,7 @@ def stream_reviews(events: DataFrame, out: str, fanout: int = 8) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     folds = Tiers(spark, f"{out}/folds", review.merge_folds, fanout)
     keyed = events.withColumn("replay_key", review.replay_key(F.col("session_id"), F.col("event_id")))
-    fresh = keyed.groupBy("replay_key").applyInPandasWithState(_once, events.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    run_available(fresh, lambda batch, batch_id: folds.add(review.fold(batch), batch_id), f"{out}/progress")
+    run_available(_first_of_keys(keyed), lambda batch, batch_id: folds.add(review.fold(batch), batch_id), f"{out}/progress", "update")
     return read_state(spark, out, events.schema)
 
 
