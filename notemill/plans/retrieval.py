@@ -57,17 +57,15 @@ def bm25_topk(spark, sf):
 @query("route_rank", sql("""
 SELECT qid, doc_id, pos, rank, round(1.0 / (60 + rank), 6) AS share FROM bm25 WHERE rank <= 20""", "bm25"))
 def route_rank(spark, sf):
-    scored = bm25.bm25_scores(b.questions(spark, sf), b.chunks(spark, sf), KEY)
-    top = bm25.top_ranked(scored, KEY, fixed.ROUTE_DEPTH)
+    top = bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf), fixed.ROUTE_DEPTH, KEY)
     return top.select("qid", *KEY, "rank", F.round(1 / (fixed.RRF_K + F.col("rank")), 6).alias("share"))
 
 
 @query("positive_score", sql("""
 SELECT qid, count(*) AS n_scored, round(min(score), 4) AS lowest, round(max(score), 4) AS highest FROM bm25 GROUP BY qid""", "bm25"))
 def positive_score(spark, sf):
-    scored = bm25.bm25_scores(b.questions(spark, sf), b.chunks(spark, sf), KEY)
-    return scored.groupBy("qid").agg(
-        F.count("*").alias("n_scored"), F.round(F.min("score"), 4).alias("lowest"), F.round(F.max("score"), 4).alias("highest"))
+    found = bm25.score_ranges(b.questions(spark, sf), b.chunks(spark, sf), KEY)
+    return found.select("qid", "n_scored", F.round("lowest", 4).alias("lowest"), F.round("highest", 4).alias("highest"))
 
 
 POOL = 2000  # chunks of the candidate pool where one is asked for
