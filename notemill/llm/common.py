@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.operators.sizing import broadcast_if_small
+from notemill.operators.sizing import broadcast_if_small, small_batches  # noqa: F401
 from notemill.session import scratch
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -70,20 +68,3 @@ def range_of(key: Column, splitters: list[int]) -> Column:
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at),
     )
-
-
-def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of one take at most `limit` bytes, or are a single longer one.
-
-    Python holds texts several times over while it works on them; this bounds that whatever Spark's batch size is.
-    """
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        start = total = 0
-        for i, n in enumerate(size.tolist()):
-            if i > start and total + n > limit:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        if batch.num_rows:
-            yield batch.slice(start)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,3 +65,20 @@ def join_groups(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of one take at most `limit` bytes, or are a single longer one.
+
+    Python holds texts several times over while it works on them; this bounds that whatever Spark's batch size is.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = total = 0
+        for i, n in enumerate(size.tolist()):
+            if i > start and total + n > limit:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if batch.num_rows:
+            yield batch.slice(start)

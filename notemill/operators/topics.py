@@ -8,7 +8,8 @@ A batch of texts is laid end to end with separators, cut into lanes that overlap
 together in numpy, so long texts cost no more than short ones.
 
 Topics travel to the texts once when a check of rows and bytes allows it. Otherwise both are grouped by course and hash: topics in splits
-of bounded size, texts in blocks, each split meeting each block of its course.
+of bounded size, texts in blocks, each split meeting each block of its course. Tasks cut batches by the bytes of their texts, as numpy
+holds a character in many bytes while it works.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import fits
+from .sizing import fits, small_batches
 
 MAX_CELLS = 1 << 24
 LANE = 512
@@ -150,7 +151,7 @@ def mentions(topics: DataFrame, texts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machines: dict[str, list[Automaton]] = {}
             empty = {c for c, names in shared.value.items() if "" in names}
-            for batch in batches:
+            for batch in small_batches(batches):
                 course = batch.column(0).to_pylist()
                 for c in set(course) & set(shared.value) - set(machines):
                     machines[c] = automata(shared.value[c])
@@ -173,8 +174,9 @@ def _split_mentions(topics: DataFrame, texts: DataFrame, schema: str) -> DataFra
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_batches([_rows([], [], {}, set())])
         c, names = a.column("course")[0].as_py(), a.column("topic").to_pylist()
-        found = _rows([c] * b.num_rows, b.column("question").to_pylist(), {c: automata(names)}, {c} if "" in names else set())
-        return pa.Table.from_batches([found])
+        machines, empty = {c: automata(names)}, {c} if "" in names else set()
+        parts = small_batches(b.select(["question"]).to_batches(), 0)
+        return pa.Table.from_batches([_rows([c] * x.num_rows, x.column(0).to_pylist(), machines, empty) for x in parts])
 
     key = ["course", "split", "block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(match, schema)
@@ -191,12 +193,12 @@ def occurrences(topics: DataFrame, texts: DataFrame, text: str = "text") -> Data
         found = mentions(wanted.select(F.lit("").alias("course"), "topic"), both.distinct()).select(F.col("question").alias(text), "topic")
         return texts.join(found, text).select(*keep, "topic")
     names = [r["topic"] for r in wanted.collect()]  # of checked size
-    shared = texts.sparkSession.sparkContext.broadcast(names)
+    shared, at_text = texts.sparkSession.sparkContext.broadcast(names), texts.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = automata(shared.value)
         every = [""] if "" in shared.value else []
-        for batch in batches:
+        for batch in small_batches(batches, at_text):
             listed = batch.column(text).to_pylist()
             at = [i for i, t in enumerate(listed) if t is not None]
             pairs = [(at[i], topic) for i, topic in find([listed[i] for i in at], machines)] if at else []
