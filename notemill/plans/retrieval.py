@@ -57,7 +57,7 @@ def bm25_topk(spark, sf):
 @query("route_rank", sql("""
 SELECT qid, doc_id, pos, rank, round(1.0 / (60 + rank), 6) AS share FROM bm25 WHERE rank <= 20""", "bm25"))
 def route_rank(spark, sf):
-    top = bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf), fixed.ROUTE_DEPTH, KEY)
+    top = _words(spark, sf)
     return top.select("qid", *KEY, "rank", F.round(1 / (fixed.RRF_K + F.col("rank")), 6).alias("share"))
 
 
@@ -111,10 +111,14 @@ def vector_threshold(spark, sf):
     return found.select("qid", "vec_id", "score", "rank")
 
 
+def _words(spark, sf, k: int = fixed.ROUTE_DEPTH) -> DataFrame:
+    """Keyword route of one batch: few questions travel to the chunks; an index is worth its postings only for later batches."""
+    return bm25.bm25_topk(b.questions(spark, sf), b.chunks(spark, sf), k, KEY)
+
+
 def _routes(spark, sf) -> DataFrame:
-    words = ki.topk(b.stored_index(spark, sf), b.questions(spark, sf))
-    near = vi.topk(b.stored_chunk_vectors(spark, sf), b.vector_queries(spark, sf))
-    return fuse.route_union(near, words)
+    near = vec.cosine_topk(b.vector_queries(spark, sf), b.chunk_vectors(spark, sf), carry=KEY)
+    return fuse.route_union(near, _words(spark, sf))
 
 
 @query("route_union", sql("SELECT qid, doc_id, pos, rank, route FROM routes", "routes"))
@@ -158,7 +162,7 @@ def content_priority(spark, sf):
 
 
 def _found(spark, sf) -> DataFrame:
-    return fuse.search(b.hybrid_queries(spark, sf), b.chunks(spark, sf), b.stored_chunk_vectors(spark, sf), index=b.stored_index(spark, sf))
+    return fuse.search(b.hybrid_queries(spark, sf), b.chunks(spark, sf), b.chunk_vectors(spark, sf))
 
 
 @query("search", sql("""
@@ -241,7 +245,7 @@ def _eval_sql(body: str) -> str:
 
 def _results(spark, sf) -> DataFrame:
     """Files found by keyword search at the largest k, in rank order."""
-    top = ki.topk(b.stored_index(spark, sf), b.questions(spark, sf), max(KS))
+    top = _words(spark, sf, max(KS))
     return fuse.located(top, b.chunks(spark, sf), ["file"], b.questions(spark, sf)).select("qid", "rank", "file")
 
 
