@@ -13,26 +13,30 @@ from pyspark.sql import functions as F
 from ..operators.chunks import chunk_table
 from ..operators.sizing import fits
 from .buckets import BUCKETS, BucketStore
-from .notes import _below, read_notes
+from .notes import _below, list_files, local_folder, parsed_files, read_notes
 
-#: Up to so many notes are read by their paths, more by one scan of the folder.
+#: Of a remote store up to so many notes are read by their paths, more by one scan of the folder.
 NAMED_NOTES = 10_000
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """rel, path, mtime (microseconds) and size of every note; contents are not read."""
+    if folder := local_folder(root):
+        return list_files(spark, folder).select("rel", F.concat(F.lit(f"{folder}/"), "rel").alias("path"), "mtime", "size")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
     return files.select(_below(root).alias("rel"), "path", F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def _contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Parsed notes with their content hash, for the wanted (rel, path)."""
-    if fits(wanted, NAMED_NOTES):
+    """rel, file, text and content hash of the wanted (rel, path, size); `chunk_table` parses them, once."""
+    if folder := local_folder(root):
+        notes = parsed_files(folder, wanted)
+    elif fits(wanted, NAMED_NOTES):
         paths = [r["path"] for r in wanted.select("path").collect()]  # of checked size
         notes = read_notes(spark, root, paths)
     else:
         notes = read_notes(spark, root).join(wanted.select("rel"), "rel", "left_semi")
-    return notes.withColumn("hash", F.sha2("text", 256))
+    return notes.select("rel", "file", "text", F.sha2("text", 256).alias("hash"))
 
 
 def refresh(spark: SparkSession, root: str, table: str, buckets: int = BUCKETS) -> BucketStore:
@@ -50,7 +54,7 @@ def refresh(spark: SparkSession, root: str, table: str, buckets: int = BUCKETS)
     suspect = both.where("path IS NOT NULL AND (old_hash IS NULL OR mtime <> old_mtime OR size <> old_size)")
     if base.number and suspect.isEmpty() and gone.isEmpty():
         return store
-    read = _contents(spark, root, suspect).drop("path_key").checkpoint()
+    read = _contents(spark, root, suspect).checkpoint()
     seen = suspect.select("rel", "mtime", "size", "old_hash").join(read.select("rel", "hash"), "rel").checkpoint()
     changed = seen.where("old_hash IS NULL OR hash <> old_hash").select("rel")
     listed = store.touched(seen.select("rel").unionByName(gone), "rel") if base.number else list(range(buckets))
@@ -59,7 +63,7 @@ def refresh(spark: SparkSession, root: str, table: str, buckets: int = BUCKETS)
     out = kept.join(seen.select("rel").unionByName(gone), "rel", "left_anti").unionByName(seen.select("rel", "mtime", "size", "hash"))
     updates = {"notes": (out, "rel", listed)}
     if parsed or not base.number:
-        fresh = chunk_table(read.join(changed, "rel", "left_semi"))
+        fresh = chunk_table(read.join(changed, "rel", "left_semi") if base.number else read)  # at first every note is a new one
         fresh = fresh.withColumn("rel", F.expr("substring(file, length('knowledge/') + 1)"))
         if base.number:
             stay = store.read("chunks", base, parsed).join(changed.unionByName(gone), "rel", "left_anti")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators.chunks import parse_notes
+from ..session import shared_folder
+
+#: Notes and bytes that one task reads, and bytes it hands on at a time.
+TASK_NOTES, TASK_BYTES, BATCH_BYTES = 5_000, 32 << 20, 4 << 20
 
 
 def _local_path(uri: Column) -> Column:
@@ -25,27 +32,112 @@ def _below(root: str) -> Column:
     return F.substring(path, F.length(bare) + 2, F.length(path))
 
 
+def local_folder(root: str) -> str | None:
+    """The path of a folder that tasks can open as one of their own file system, else None."""
+    found = re.match(r"^(?:file:(?://[^/]*)?)?(/.*)$", root)
+    return found.group(1).rstrip("/") if found else None
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's own listing leaves out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """rel, mtime (microseconds) and size of every `*.md` file that is not empty. Folders are listed by tasks, a level of them at
+    a time: neither the driver nor the plan holds the files.
+    """
+    shared_folder(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parent in batch.column(0).to_pylist():
+                rows = []
+                with os.scandir(f"{folder}/{parent}") as entries:
+                    for e in entries:
+                        rel = f"{parent}/{e.name}" if parent else e.name
+                        if _hidden(e.name):
+                            continue
+                        if e.is_dir():
+                            rows.append((rel, True, 0, 0))
+                        elif e.name.endswith(".md") and (stat := e.stat()).st_size:
+                            rows.append((rel, False, stat.st_mtime_ns // 1000, stat.st_size))
+                        if len(rows) == 10_000:
+                            yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["rel", "is_folder", "mtime", "size"])
+                            rows = []
+                if rows:
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["rel", "is_folder", "mtime", "size"])
+
+    files, folders = None, spark.createDataFrame([("",)], "rel string")
+    while True:
+        level = folders.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "rel string, is_folder boolean, mtime bigint, size bigint").checkpoint()
+        found = level.where("NOT is_folder").drop("is_folder")
+        files = found if files is None else files.unionByName(found)
+        folders = level.where("is_folder").select("rel")
+        if not recursive or folders.isEmpty():
+            return files
+
+
+def read_files(folder: str, files: DataFrame) -> DataFrame:
+    """rel and text of the listed files. A task opens thousands of them; Spark's own reader counts each small file as
+    `spark.sql.files.openCostInBytes` and so makes a task of every few.
+    """
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, n // TASK_NOTES, size // TASK_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts, held = [], [], 0
+            for rel in batch.column(0).to_pylist():
+                with open(f"{folder}/{rel}", "rb") as f:
+                    names.append(rel)
+                    texts.append(f.read())
+                held += len(texts[-1])
+                if held > BATCH_BYTES:
+                    yield pa.record_batch([pa.array(names), pa.array(texts, pa.binary())], ["rel", "text"])
+                    names, texts, held = [], [], 0
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["rel", "text"])
+
+    rows = files.select("rel").repartition(tasks).mapInArrow(run, "rel string, text binary")
+    return rows.select("rel", F.col("text").cast("string").alias("text"))
+
+
+def parsed_files(folder: str, files: DataFrame) -> DataFrame:
+    """The listed notes as `read_notes` gives them."""
+    return _parsed(read_files(folder, files))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("file", F.concat(F.lit("knowledge/"), "rel")).withColumn("path_key", F.split("rel", "/"))
+    return parse_notes(rows)
+
+
 def read_notes(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """All `*.md` files below root, or those of the given paths: file, rel, text, meta, tags, body and the path sort key.
 
-    Spark's own listing leaves out names that start with `_` or `.`.
+    Names that start with `_` or `.` are left out, as Spark's own listing does. Folders of a remote store are read by Spark's reader.
     """
+    folder = local_folder(root)
+    if paths is None and folder:
+        return parsed_files(folder, list_files(spark, folder))
     if paths == []:
         files = spark.read.schema("value string").text(root, wholetext=True, pathGlobFilter="*.md").where("false")
     elif paths:
         files = spark.read.text(paths, wholetext=True)
     else:
         files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    rows = files.select(_below(root).alias("rel"), F.col("value").alias("text"))
-    rows = rows.withColumn("file", F.concat(F.lit("knowledge/"), "rel")).withColumn("path_key", F.split("rel", "/"))
-    return parse_notes(rows)
+    return _parsed(files.select(_below(root).alias("rel"), F.col("value").alias("text")))
 
 
 def read_course_notes(spark: SparkSession, root: str, course: str) -> DataFrame:
     """Notes directly inside one course folder, names starting with `_` skipped."""
-    folder = f"{root.rstrip('/')}/{course}"
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    rows = files.select(_below(folder).alias("name"), F.col("value").alias("text")).where(~F.col("name").startswith("_"))
+    place = f"{root.rstrip('/')}/{course}"
+    if folder := local_folder(place):
+        rows = read_files(folder, list_files(spark, folder, recursive=False)).withColumnRenamed("rel", "name")
+    else:
+        files = spark.read.text(place, wholetext=True, pathGlobFilter="*.md")
+        rows = files.select(_below(place).alias("name"), F.col("value").alias("text"))
+    rows = rows.where(~F.col("name").startswith("_"))
     rows = rows.withColumn("file", F.concat(F.lit(f"knowledge/{course}/"), "name"))
     return parse_notes(rows)
 
@@ -60,10 +152,15 @@ def write_notes(notes: DataFrame, root: str) -> int:
         from pyarrow import fs
 
         target, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        made = set()
         for b in batches:
             for rel, text in zip(b["rel"], b["text"]):
                 path = f"{base.rstrip('/')}/{rel}"
-                target.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                parent = path.rsplit("/", 1)[0]
+                if parent not in made:
+                    target.create_dir(parent, recursive=True)
+                    if len(made) < 10_000:
+                        made.add(parent)
                 with target.open_output_stream(path) as out:
                     out.write(text.encode("utf-8"))
             yield pd.DataFrame({"n": [len(b)]})
