@@ -4,7 +4,7 @@
 2. A class can only be linked if at least the threshold's share of its shingles is found in other classes. Tasks send
    their shingles, packed into arrays by hash bucket, to where equal ones meet; a shingle that many
    classes of one block hold is sent at most twice and settled where it is. Back comes one number per class. Most classes
-   end here, by an exact bound.
+   end here, by an exact bound. These numbers travel packed, too, and are added up once per class.
 3. Shingles of the classes left are ordered rarest first, by exact counts among them. A class is listed
    under its first shingles in that order, just as many that two linked classes must share one.
 4. Of every list some classes are taken as centres and compared with the list's members of other components, as far as
@@ -110,8 +110,8 @@ def _post(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield flush(held)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """(k, shared): per class how many of this bucket's shingles another class holds."""
+def _meet(table: pa.Table, homes: int) -> pa.Table:
+    """Rows (home, keys, counts): per class how many of this bucket's shingles another class holds, packed by the class's home."""
     tokens, owner, keys, counts = [], [], [], []
     for row in table.to_pylist():
         raw = np.frombuffer(row["tokens"], np.uint8).reshape(-1, 5)
@@ -131,7 +131,21 @@ def _meet(table: pa.Table) -> pa.Table:
         several = np.repeat(np.minimum.reduceat(o, fresh) != np.maximum.reduceat(o, fresh), length)
     # a class that two blocks hold counts a shingle twice; the sum stays an upper bound
     k, n = np.unique(o[several], return_counts=True)
-    return pa.table({"k": np.concatenate([k, *keys]), "shared": np.concatenate([n.astype(np.int64), *counts])})
+    k, n = np.concatenate([k, *keys]), np.concatenate([n.astype(np.int64), *counts])
+    home = (k.view(np.uint64) % np.uint64(homes)).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    k, n, home = k[order], n[order], home[order]
+    first = np.flatnonzero(np.diff(home, prepend=-1))
+    cuts = list(zip(first, [*first[1:], len(home)], strict=False))
+    packed = [pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (k, n)]
+    return pa.table([pa.array(home[first], pa.int32()), *packed], ["home", "keys", "counts"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """(k, shared): the counts of a home's classes over all buckets."""
+    keys, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("keys", "counts"))
+    k, at = np.unique(keys, return_inverse=True)
+    return pa.table({"k": k, "shared": np.bincount(at, weights=counts, minlength=len(k)).astype(np.int64)})
 
 
 def _at_least(part: str, whole: str):
@@ -145,7 +159,8 @@ def candidates(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> D
     buckets = max(-(-total // BUCKET_TOKENS), split_size(spark))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     posted = rows.mapInArrow(lambda b: _post(b, buckets), "bucket int, tokens binary, owners binary, runs binary, settled binary, counts binary")
-    shared = posted.groupBy("bucket").applyInArrow(_meet, "k bigint, shared bigint").groupBy("k").agg(F.sum("shared").alias("shared"))
+    met = posted.groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets), "home int, keys binary, counts binary")
+    shared = met.groupBy("home").applyInArrow(_add, "k bigint, shared bigint")
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     left = stored(classes.join(shared, "k").where(_at_least("shared", "n")).select("k", "n", "doc_id"), "candidates")
 
@@ -162,8 +177,8 @@ def candidates(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> D
 
 
 def prefix_lists(sets: DataFrame) -> DataFrame:
-    """(t, k, n, after): each class under the rarest of its shared shingles, as many as a link needs;
-    after: shingles of the class from t on, in the order."""
+    """(t, k, n, after, met): each class under the rarest of its shared shingles, as many as a link needs;
+    after: shingles of the class from t on, in the order; met: classes that hold a shingle of it, on average."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,12 +188,12 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
 
     each = sets.select("k", "n", "tokens").mapInArrow(unpack, "k bigint, n bigint, t bigint")
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(often, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    ranked = each.join(often, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"), F.sum("df").alias("_met"))
     # of n shingles, those no other class holds come first; n - ceil(0.75 n) + 1 are looked at
     room = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("ts"))
     some = ranked.withColumn("_room", room.cast("int")).where("_room > 0")
-    listed = some.select(F.posexplode(F.slice("ts", F.lit(1), F.col("_room"))).alias("at", "x"), "k", "n", F.size("ts").alias("_shared"))
-    return listed.select(F.col("x.t").alias("t"), "k", "n", (F.col("_shared") - F.col("at")).cast("bigint").alias("after"))
+    listed = some.select(F.posexplode(F.slice("ts", F.lit(1), F.col("_room"))).alias("at", "x"), "k", "n", F.size("ts").alias("_shared"), (F.col("_met") / F.col("n")).alias("met"))
+    return listed.select(F.col("x.t").alias("t"), "k", "n", (F.col("_shared") - F.col("at")).cast("bigint").alias("after"), "met")
 
 
 def probe(center: np.ndarray, partners: list[np.ndarray]) -> list[int]:
@@ -228,6 +243,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     salted = pairs.join(hint(counts), "center").select(
         "center", "k", F.pmod(F.xxhash64("k"), F.ceil(F.col("_n") / CHUNK)).cast("int").alias("salt")
     )
+    salted = stored(salted, "salted")  # read twice below
     tokens = sets.select("k", "tokens")
     rows = tokens.join(hint(salted), "k").select("center", "salt", "k", F.lit(False).alias("own"), "tokens")
     middles = tokens.join(hint(salted.select("center", "salt").distinct()), F.col("k") == F.col("center"))
@@ -271,7 +287,8 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         if state.isEmpty():
             return labels
         slots = F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(GROWTH**turn))
-        first = F.min(F.struct(F.xxhash64("k"), F.col("k"), F.col("n"), F.col("c"), F.col("after"))).alias("x")
+        # what most of a family comes from has the shingles that most of it holds; it is compared first and links most
+        first = F.max(F.struct("met", F.xxhash64("k"), F.col("k"), F.col("n"), F.col("c"), F.col("after"))).alias("x")
         picked = state.where("NOT used").groupBy("t", slots.alias("slot")).agg(first)
         centers = picked.select("t", F.col("x.k").alias("center"), F.col("x.n").alias("cn"), F.col("x.c").alias("cc"), F.col("x.after").alias("ca"))
         # in the list of the first shingle that two classes share, all they share comes from there on
@@ -280,7 +297,7 @@ def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = stored(state.join(centers, "t").where(near).select("center", "k").distinct(), "pairs")
         labels = merge(labels, stored(verified(pairs, sets), "links"))
         taken = centers.select("t", F.col("center").alias("k"), F.lit(True).alias("now"))
-        state = state.join(taken, ["t", "k"], "left").select("t", "k", "n", "after", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+        state = state.join(taken, ["t", "k"], "left").select("t", "k", "n", "after", "met", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
         turn += 1
 
 
