@@ -23,7 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,9 @@ STUCK = 0.7
 REMEMBERED = 400_000
 BATCH_BYTES = 4 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
-RUNS = re.compile(r"^\s|\s\s|\s$")
+#: White space as Python's \\s has it, for Arrow's expressions: at either end of a text, or two in a row.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RUNS = rf"\A{WHITE}|{WHITE}{WHITE}|{WHITE}\z"
 
 
 class Encoder:
@@ -68,7 +70,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.units = pa.array([], pa.large_string())
+        self.units: dict[str, int] = {}
         self.lengths = np.empty(0, np.int64)
         self.ids = np.empty(0, "<u4")
 
@@ -81,10 +83,10 @@ class Encoder:
         """The same for units that start with a space and hold no white space at either end."""
         lengths, ids = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
         for first in range(0, len(units), 8192):  # the library holds much for each token of a batch
-            groups = [units[a : a + 256] for a in range(first, min(first + 8192, len(units)), 256)]
+            groups = [units[a : a + 64] for a in range(first, min(first + 8192, len(units)), 64)]
             for group, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
                 own = np.array(e.ids, "<u4")
-                ends = np.cumsum(np.fromiter((len(u.encode()) for u in group), np.int64, len(group)))
+                ends = np.cumsum(pc.binary_length(pa.array(group, pa.large_string())).to_numpy())
                 at = np.searchsorted(np.cumsum(self.size[own]), ends) + 1
                 lengths.append(np.diff(at, prepend=0))
                 ids.append(own)
@@ -92,24 +94,27 @@ class Encoder:
 
     def _find(self, units: pa.Array) -> np.ndarray:
         """Numbers of the units among the known ones; new ones are encoded and remembered."""
-        at = pc.index_in(units, value_set=self.units)
-        fresh = units.filter(pc.is_null(at))
-        if len(fresh) and len(self.units) + len(fresh) > REMEMBERED:
+        listed = units.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.units.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.units) + len(new) > REMEMBERED:
             self._forget()
-            fresh, at = units, None
-        if len(fresh):
-            listed = fresh.to_pylist()
-            plain = np.array([u[:1] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in listed])
-            joined, odd = [u for u, p in zip(listed, plain, strict=True) if p], [u for u, p in zip(listed, plain, strict=True) if not p]
+            new = np.arange(len(listed))
+        if len(new):
+            fresh = [listed[i] for i in new.tolist()]
+            plain = np.array([len(u.strip()) == len(u) - 1 > 0 and u[0] == " " for u in fresh])
+            order = np.argsort(~plain, kind="stable")
+            joined, odd = [u for u, p in zip(fresh, plain, strict=True) if p], [u for u, p in zip(fresh, plain, strict=True) if not p]
             (n1, ids1), (n2, ids2) = self._joined(joined), self._alone(odd)
-            self.units = pa.concat_arrays([self.units, pa.array(joined + odd, pa.large_string())])
+            at[new[order]] = np.arange(len(self.units), len(self.units) + len(fresh))
+            self.units.update(zip(chain(joined, odd), range(len(self.units), len(self.units) + len(fresh))))
             self.lengths, self.ids = np.concatenate([self.lengths, n1, n2]), np.concatenate([self.ids, ids1, ids2])
-            at = pc.index_in(units, value_set=self.units)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if RUNS.search(t)]
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        column = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(column, RUNS)).tolist()
+        lists = pc.split_pattern(column, " ")
         if odd:
             cuts = {i: GAP.split(texts[i]) for i in odd}
             lists = pa.array([cuts.get(i, x) for i, x in enumerate(lists.to_pylist())], pa.large_list(pa.large_string()))

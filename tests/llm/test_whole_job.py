@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
+import pyarrow as pa
+import pyarrow.compute as pc
 from oracle_check import compare
 
 import corpus_pipeline
@@ -106,3 +110,15 @@ def test_ordered_shards_are_ranges(spark):
     for r in got:
         first[r["sequence_id"]] = min(first.get(r["sequence_id"], r["item"]), r["item"])
     assert len(got) == 1000 and all(s == i for s, i in first.items())
+
+
+def test_white_space_runs_are_found_as_python_finds_them():
+    """Every code point that Python counts as white space, at both ends, doubled, and alone inside."""
+    plain = re.compile(r"^\s|\s\s|\s$")
+    texts = [f for c in map(chr, [*range(0xD800), *range(0xE000, 0x3100 + 0xE000)]) if c.isspace() or ord(c) < 0x3100 for f in (f"{c}a", f"a{c}", f"a{c}b", f"a{c}{c}b", f"a {c}b")]
+    got = pc.match_substring_regex(pa.array(texts, pa.large_string()), packing.RUNS).to_pylist()
+    assert got == [bool(plain.search(t)) for t in texts]
+    encoder = packing.Encoder(packing.tokenizer_path())
+    some = [t for t in texts if t.strip() != t or t.isascii()]
+    want = [e.ids for e in encoder.lib.encode_batch(some, add_special_tokens=False)]
+    assert [a.tolist() for a in encoder.encode(some)] == want == [a.tolist() for a in encoder.encode(some)]
