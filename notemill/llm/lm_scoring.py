@@ -10,9 +10,10 @@ The class is predicted by one block of causal self-attention with a feed-forward
 of WINDOW inputs overlap by half: each scores its later half once, with half to all of a window as its context; a text
 starts after a window of begin marks. Batches of windows are scored by batched masked products (`Model.forward`).
 
-Training (`train`) is parallel: every batch of texts gives evenly spaced windows, so their number follows the input;
-they are dealt to partitions of about STEPS steps, each partition takes Adam steps over every other one of its windows from the shared weights, and the mean of all
-partitions' weights starts the next round, which takes the other windows. Sums of weights are added up in tasks; the driver holds one set at a time.
+Texts are turned into classes once (`encoded`), and training and scoring read these. Training (`train`) is parallel and takes every position of
+every training text as a target once: the windows are those that score a text, each round takes those of one remainder, every partition goes over
+its own with Adam steps from the shared weights, and the mean of all partitions' weights, by windows, starts the next round. Sums of weights are added up in
+tasks; the driver holds one set at a time.
 
 The base score is that of single words with one added to each count. Words with over 1/HOT_WORDS of all occurrences, at
 most HOT_WORDS of them, are sent to the tasks with their counts and ids; all others meet their counts by a join on the word, where none of them
@@ -28,6 +29,7 @@ from __future__ import annotations
 import base64
 import ctypes
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,14 +54,14 @@ SINGLE = GROUPS * SIZE - BINS
 BEGIN = GROUPS * SIZE  # an input class besides those that are predicted
 END_ID = 50256
 RARE = 0.1  # added to the count of every id
-#: Windows for training per batch of texts, windows per step, least and usual steps of a partition in a round, rounds.
-PICKED, STEP_WINDOWS, MIN_STEPS, STEPS, ROUNDS = 512, 32, 48, 256, 4
+#: Windows per step, least steps of a partition in a round, most steps over windows that are held at once, rounds.
+STEP_WINDOWS, MIN_STEPS, STEPS, ROUNDS = 128, 48, 256, 4
 RATE = 0.015
 BATCH_BYTES = 2 << 20
 STORE_BYTES = 32 << 20
 FLUSH_BYTES, FLUSH_WORDS = 128 << 20, 600_000
-SPAN = 112  # bytes before and after a picked place
 CHUNK = 256
+DIGITS = 4  # of a score; further ones differ with the batch a text is scored in, as single precision does
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
@@ -310,15 +312,15 @@ class Model:
         return loss / n, g
 
 
-def fit(model: Model, x: np.ndarray, y: np.ndarray, steps: int, rate: float, seed: int) -> Model:
+def fit(model: Model, windows: np.ndarray, steps: int, rate: float, seed: int) -> Model:
     """Adam steps over shuffled windows, as many passes as the steps need."""
     rng = np.random.default_rng(seed)
     w = {k: v.copy() for k, v in model.w.items()}
     m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-steps * STEP_WINDOWS // len(x)))])
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * STEP_WINDOWS // len(windows)))])
     for t in range(1, steps + 1):
         take = order[(t - 1) * STEP_WINDOWS : t * STEP_WINDOWS]
-        _, g = Model(w).gradients(x[take], y[take])
+        _, g = Model(w).gradients(*targets_of(windows[take]))
         for k in w:
             m[k] += 0.1 * (g[k] - m[k])
             s[k] += 0.02 * (g[k] * g[k] - s[k])
@@ -329,79 +331,65 @@ def fit(model: Model, x: np.ndarray, y: np.ndarray, steps: int, rate: float, see
 # -- training
 
 
-def training_windows(docs: DataFrame, path: str) -> DataFrame:
-    """WINDOW + 1 ids each, from evenly spaced places of every batch of texts; -1 stands before a text and -2 after it."""
+def placed(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of texts one after the other with begin marks between; starts of all windows, their numbers in the text,
+    and the place of every class."""
+    n = np.array([len(s) for s in seqs], np.int64)
+    per = -(-n // STRIDE)
+    total = int(n.sum())
+    of = np.full(int((per + 2).sum()) * STRIDE + 1, BEGIN, np.int16)
+    first = (np.cumsum(per + 2) - (per + 2)) * STRIDE  # CONTEXT begin marks and one more stand before each sequence
+    at = np.repeat(first + CONTEXT + 1 - (np.cumsum(n) - n), n) + np.arange(total)
+    of[at] = np.concatenate(seqs)
+    number = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    return of, np.repeat(first, per) + number * STRIDE, number, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 0, BATCH_BYTES):
-            texts = [t.translate(LOWER) for t in raw(batch.column(0))]
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            if not len(ends):
-                continue
-            places = np.linspace(0, ends[-1] - 1, PICKED).astype(np.int64)
-            spans, first, last = [], [], []
-            for p, d in zip(places.tolist(), np.searchsorted(ends, places, side="right").tolist()):
-                text = texts[d]
-                at = p - int(ends[d]) + len(text) + 1
-                a, z = max(at - SPAN, 0), min(at + SPAN, len(text))
-                words = text[a:z].split()
-                # words cut at either end of the span are left out
-                words = words[1:] if a and words and not text[a - 1 : a].isspace() else words
-                words = words[:-1] if z < len(text) and words and not text[z : z + 1].isspace() else words
-                spans.append(words)
-                first.append(a == 0)
-                last.append(z == len(text))
-            distinct = sorted(set(chain.from_iterable(spans)))
-            known = dict(zip(distinct, word_ids(distinct, path)))
-            rows = []
-            for words, start, end in zip(spans, first, last):
-                ids = [*chain.from_iterable(known[w] for w in words), *([END_ID] if end else [])]
-                ids = [-1] * (CONTEXT + 1) + ids if start else ids[-(WINDOW + 1) :] if end else ids[: WINDOW + 1]
-                # a window from the start of a text, its end, or neither
-                ids = ids[: WINDOW + 1] + [-2] * (WINDOW + 1 - len(ids))
-                rows.append(ids)
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
-
-    return docs.select("text").mapInArrow(run, "ids array<int>")
-
-
-def windows_of(ids: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Input classes and targets of windows of ids."""
-    of = np.where(ids >= 0, classes.of[np.maximum(ids, 0)].astype(np.int64), BEGIN)
-    return of[:, :-1], np.where(ids[:, CONTEXT + 1 :] >= 0, of[:, CONTEXT + 1 :], -1)
-
-
-def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Model:
-    """Weights after rounds of steps in all partitions of the windows, averaged after each."""
-    spark = windows.sparkSession
+
+def training_windows(texts: list[bytes], turn: int, rounds: int) -> np.ndarray:
+    """WINDOW + 1 classes each: the windows of a turn; every window of a text belongs to one of the rounds."""
+    seqs = [np.frombuffer(t, np.int16) for t in texts]
+    of, starts, number, _ = placed(seqs)
+    shift = np.repeat([zlib.crc32(t) % rounds for t in texts], [-(-len(s) // STRIDE) for s in seqs])
+    return of[starts[(number + shift) % rounds == turn, None] + np.arange(WINDOW + 1)]
+
+
+def targets_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input classes and targets of windows; what stands after a text is no target."""
+    windows = windows.astype(np.int64)
+    y = windows[:, CONTEXT + 1 :]
+    return windows[:, :-1], np.where(y == BEGIN, -1, y)
+
+
+def train(texts: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Model:
+    """Weights after rounds of steps in all partitions of the texts (classes, packed), averaged after each."""
+    spark = texts.sparkSession
     model = Model.start(classes.mass)
-    dealt = windows.repartition(max(windows.count() // (2 * STEPS * STEP_WINDOWS), 1))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((model.w, classes))
+        shared = spark.sparkContext.broadcast(model.w)
         rate = RATE * (1 - turn / rounds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, turn=turn) -> Iterator[pa.RecordBatch]:
             one_thread()
-            weights, own = shared.value
-            model, held = Model(weights), []
-            total, steps = {k: np.zeros(s) for k, s in SHAPES.items()}, 0
+            model, held = Model(shared.value), []
+            steps = seen = 0
 
-            def learn(x: np.ndarray, y: np.ndarray, least: int) -> None:
-                nonlocal model, steps
-                n = max(least, -(-len(x) // STEP_WINDOWS))
-                model, steps = fit(model, x, y, n, rate, turn), steps + n
+            def learn(windows: np.ndarray, least: int) -> None:
+                nonlocal model, steps, seen
+                n = max(least, -(-len(windows) // STEP_WINDOWS))
+                model, steps, seen = fit(model, windows, n, rate, turn), steps + n, seen + len(windows)
 
             size = 0
-            for batch in batches:
-                held.append(batch.column(0).flatten().to_numpy().reshape(-1, WINDOW + 1)[turn % 2 :: 2])
+            for batch in small_batches(batches, 0, BATCH_BYTES):
+                held.append(training_windows(batch.column(0).to_pylist(), turn, rounds))
                 size += len(held[-1])
-                if size >= 2 * STEPS * STEP_WINDOWS:  # memory of a task is bounded
-                    learn(*windows_of(np.concatenate(held), own), MIN_STEPS)
+                if size >= STEPS * STEP_WINDOWS:  # memory of a task is bounded
+                    learn(np.concatenate(held), MIN_STEPS)
                     held, size = [], 0
             if size:
-                learn(*windows_of(np.concatenate(held), own), 0 if steps else MIN_STEPS)
+                learn(np.concatenate(held), 0 if steps else MIN_STEPS)
             if steps:
-                yield pa.record_batch([pa.array([1], pa.int64()), pa.array([np.concatenate([model.w[k].ravel() for k in total]).astype(float)])], ["n", "weights"])
+                flat = np.concatenate([model.w[k].ravel() for k in SHAPES]).astype(float)
+                yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([seen * flat])], ["n", "weights"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = 0, 0.0
@@ -412,7 +400,7 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Model:
                 yield pa.record_batch([pa.array([n], pa.int64()), pa.array([total])], ["n", "weights"])
 
         schema = "n bigint, weights array<double>"
-        sums = stored(dealt.mapInArrow(run, schema), "weights").mapInArrow(add, schema)
+        sums = stored(texts.mapInArrow(run, schema), "weights").mapInArrow(add, schema)
         n, total = 0, np.zeros(sum(math.prod(s) for s in SHAPES.values()))
         for row in sums.toLocalIterator():
             n, total = n + row["n"], total + np.array(row["weights"])
@@ -449,27 +437,30 @@ class KnownWords:
         return np.split(flat[at], ends[np.cumsum(n) + np.arange(len(n))][:-1]) if len(n) else []
 
 
-def score_ids(seqs: list[np.ndarray], model: Model, classes: Classes) -> np.ndarray:
-    """Natural logarithm of the probability of each sequence of ids."""
+def score_classes(seqs: list[np.ndarray], model: Model) -> np.ndarray:
+    """Natural logarithm of the probability of each sequence of classes."""
     if not len(seqs):
         return np.empty(0)
-    n = np.array([len(s) for s in seqs], np.int64)
-    per = -(-n // STRIDE)
-    flat, doc = np.concatenate(seqs), np.repeat(np.arange(len(seqs)), n)
-    of = np.full(int((per + 2).sum()) * STRIDE + 1, BEGIN, np.int64)
-    first = (np.cumsum(per + 2) - (per + 2)) * STRIDE  # CONTEXT begin marks and one more stand before each sequence
-    at = np.repeat(first + CONTEXT + 1 - (np.cumsum(n) - n), n) + np.arange(len(flat))
-    own = classes.of[flat]
-    of[at] = own
-    starts = np.repeat(first - (np.cumsum(per) - per) * STRIDE, per) + np.arange(int(per.sum())) * STRIDE
+    of, starts, _, at = placed(seqs)
     out = np.empty(len(of), np.float32)
     offsets = np.arange(WINDOW + 1)
     for a in range(0, len(starts), CHUNK):
         places = starts[a : a + CHUNK, None] + offsets
-        rows = of[places]
+        rows = of[places].astype(np.int64)
         # places after a sequence's end get a score, too, which nothing reads
         out[places[:, CONTEXT + 1 :]] = model.log_probabilities(rows[:, :-1], np.minimum(rows[:, CONTEXT + 1 :], BEGIN - 1))
-    return np.bincount(doc, weights=out[at] + classes.share[flat], minlength=len(seqs))
+    return np.bincount(np.repeat(np.arange(len(seqs)), [len(s) for s in seqs]), weights=out[at], minlength=len(seqs))
+
+
+def shares(seqs: list[np.ndarray], classes: Classes) -> np.ndarray:
+    """Sum of the logarithms of the shares that the ids of each sequence have of their classes."""
+    flat = np.concatenate(seqs) if len(seqs) else np.empty(0, np.int64)
+    return np.bincount(np.repeat(np.arange(len(seqs)), [len(s) for s in seqs]), weights=classes.share[flat], minlength=len(seqs))
+
+
+def score_ids(seqs: list[np.ndarray], model: Model, classes: Classes) -> np.ndarray:
+    """Natural logarithm of the probability of each sequence of ids."""
+    return score_classes([classes.of[s] for s in seqs], model) + shares(seqs, classes)
 
 
 # -- all of it
@@ -487,14 +478,11 @@ def scores(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFr
     hot_rows = counts.where(F.col("n_all") * HOT_WORDS >= every).collect()  # at most HOT_WORDS rows
     names = [r["word"].encode() for r in hot_rows]
     classes = Classes(id_counts(counts, path) | {END_ID: n_texts}, word_starts(path))
-    windows = stored(training_windows(docs.where(training), path), "training-windows")
-    model = train(windows, classes)
-    shared = spark.sparkContext.broadcast((names, [r["n"] for r in hot_rows], model, classes))
+    shared = spark.sparkContext.broadcast((names, [r["n"] for r in hot_rows], classes))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
-        names, hot_n, model, classes = shared.value
+        names, hot_n, classes = shared.value
         hot = {w: k for k, w in enumerate(names)}
         hot_log = np.log10(np.array(hot_n, float) + 1)
         hot_known = np.array(hot_n, np.int64) > 0
@@ -504,7 +492,7 @@ def scores(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFr
             n = np.array([len(w) for w in words], np.int64)
             coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(words)), pa.large_binary()))
             listed, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-            total = score_ids(known.sequences(listed, code, n), model, classes) / math.log(10)
+            seqs = known.sequences(listed, code, n)
             # words by document: frequent ones have their counts here
             doc = np.repeat(np.arange(len(n)), n)
             where = np.array([hot.get(w, -1) for w in listed], np.int64)[code] if len(code) else np.empty(0, np.int64)
@@ -515,19 +503,31 @@ def scores(docs: DataFrame, held_out: Column, path: str | None = None) -> DataFr
             bounds = np.searchsorted(pair // max(len(listed), 1), np.arange(len(n) + 1)).astype(np.int32)
             rest = coded.dictionary.take(pa.array(pair % max(len(listed), 1))).cast(pa.large_string()).cast(pa.string())
             yield pa.record_batch([
-                batch.column(0), batch.column(2), pa.array(n + 1), pa.array(known_n), pa.array(log), pa.array(total),
+                batch.column(0), batch.column(2), pa.array(n + 1), pa.array(known_n), pa.array(log),
+                pa.array([classes.of[s].tobytes() for s in seqs], pa.binary()), pa.array(shares(seqs, classes)),
                 pa.ListArray.from_arrays(pa.array(bounds), rest), pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int64))),
-            ], ["doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "score", "words", "times"])
+            ], ["doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "classes", "share", "words", "times"])
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, score double, words array<string>, times array<bigint>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double, classes binary, share double, words array<string>, times array<bigint>"
     rows = docs.select("doc_id", "text", (~training).alias("held_out")).mapInArrow(run, schema)
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    model = spark.sparkContext.broadcast(train(rows.where("NOT held_out").select("classes"), classes))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for batch in small_batches(batches, 1, BATCH_BYTES):
+            total = score_classes([np.frombuffer(t, np.int16) for t in batch.column(1).to_pylist()], model.value) + batch.column(2).to_numpy()
+            yield pa.record_batch([batch.column(0), pa.array(np.round(total / math.log(10), DIGITS)), *batch.columns[3:]], ["row", "score", *kept])
+
+    kept = ["doc_id", "held_out", "n_tokens", "hot_known", "hot_log"]
+    kinds = f"row bigint, score double, doc_id {kind}, held_out boolean, n_tokens bigint, hot_known bigint, hot_log double"
+    scored = stored(rows.select("row", "classes", "share", *kept).mapInArrow(score, kinds), "scored")
     rest = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     found = rest.join(counts.where("n > 0").select("word", "n"), "word").groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("log"))
     end_log = math.log10(n_texts + 1)
     each = math.log10(total + distinct + 1)
     zero = F.lit(0).cast("bigint")
-    return rows.drop("words", "times").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", zero) + int(n_texts > 0)).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("hot_log") + F.coalesce("log", F.lit(0.0)) + end_log - F.col("n_tokens") * each).alias("base_score"), "score",
     )

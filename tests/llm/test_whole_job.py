@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from oracle_check import compare
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notemill.llm import mixing, packing, queries, registry  # noqa: F401
+from notemill.llm import lm_scoring, mixing, packing, queries, registry  # noqa: F401
 
 
 def test_a_group_of_copies_keeps_one_full_text(spark):
@@ -122,3 +125,32 @@ def test_white_space_runs_are_found_as_python_finds_them():
     some = [t for t in texts if t.strip() != t or t.isascii()]
     want = [e.ids for e in encoder.lib.encode_batch(some, add_special_tokens=False)]
     assert [a.tolist() for a in encoder.encode(some)] == want == [a.tolist() for a in encoder.encode(some)]
+
+
+def test_every_position_of_training_texts_is_learnt_from(spark, monkeypatch, tmp_path):
+    """The targets of all rounds are all ids of the training texts, ends included, as often as they stand there."""
+    words = [" ".join(f"t{i}w{j} some common words" for j in range(i * 40)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*words, None, "", words[3]])], "doc_id bigint, text string").repartition(2)
+    folder, fit = str(tmp_path), lm_scoring.fit
+
+    def watched(model, windows, *rest):
+        import uuid
+
+        np.save(f"{folder}/{uuid.uuid4().hex}.npy", lm_scoring.targets_of(windows)[1])
+        return fit(model, windows, *rest)
+
+    monkeypatch.setattr(lm_scoring, "fit", watched)
+    held, path = F.col("doc_id") % 5 == 1, lm_scoring.tokenizer_path()
+    classes = {}
+    start = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda texts, of: start(classes.setdefault(0, (texts, of))[0], of))
+    lm_scoring.scores(docs, held).collect()
+    of = classes[0][1].of
+    want = Counter()
+    for r in docs.collect():
+        if r["doc_id"] % 5 != 1:
+            ids = [i for w in lm_scoring.word_ids((r["text"] or "").encode().split(), path) for i in w]
+            want.update(of[[*ids, lm_scoring.END_ID]].tolist())
+    got = Counter(np.concatenate([np.load(f).ravel() for f in tmp_path.glob("*.npy")]).tolist())
+    got.pop(-1, None)
+    assert got == want
