@@ -18,12 +18,14 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,28 +50,39 @@ GAP = re.compile(r"(?<=\S) (?=\S)")
 #: White space as Python's \\s has it, for Arrow's expressions: at either end of a text, or two in a row.
 WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 RUNS = rf"\A{WHITE}|{WHITE}{WHITE}|{WHITE}\z"
+#: A word of Latin letters behind its space, marks, one word of a new line, marks: the vocabulary's own splitting ends after each of these
+#: (an apostrophe is no mark here, as contractions begin with it).
+LATIN, MARKS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[!-&(-/:-@\[-`{-~]"
+PARTS = rf"\A(?P<a> {LATIN}+)(?P<b>{MARKS}*)(?P<c>(?:\n{LATIN}+)?)(?P<d>{MARKS}*)\z"
+
+
+def _gathered(ids: np.ndarray, lengths: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the given units one after the other, and where each one's end; ids holds those of all units in turn."""
+    begin = np.cumsum(lengths) - lengths
+    length = lengths[units]
+    end = np.cumsum(length)
+    return ids[np.repeat(begin[units] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)], end
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each distinct unit.
+    """Ids of texts by the tokenizers library, which is asked once for each distinct part of a unit.
 
     A unit ends before a single space between two characters that are no white space; the
-    vocabulary's own splitting ends there too, whatever stands around. New units are therefore
-    encoded many at a time, joined, and their ids told apart by the bytes each id stands for.
+    vocabulary's own splitting ends there too, whatever stands around, and inside a unit after a Latin word and
+    the marks behind it. New parts are therefore encoded many at a time, joined, and their ids told apart by the bytes
+    each id stands for.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task works in one thread: the library's own ones wait on each other beside other tasks
         self.lib = Tokenizer.from_file(path)
         special = {i: len(t.content.encode()) for i, t in self.lib.get_added_tokens_decoder().items()}
         size = np.zeros(self.lib.get_vocab_size(), np.int64)
         for token, i in self.lib.get_vocab().items():  # byte-level tokens: one character for each byte
             size[i] = special.get(i, len(token))
         self.size = size
-        self._forget()
-
-    def _forget(self) -> None:
         self.units: dict[str, int] = {}
         self.lengths = np.empty(0, np.int64)
         self.ids = np.empty(0, "<u4")
@@ -81,16 +94,14 @@ class Encoder:
 
     def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for units that start with a space and hold no white space at either end."""
-        lengths, ids = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+        found = [np.empty(0, "<u4")]
         for first in range(0, len(units), 8192):  # the library holds much for each token of a batch
-            groups = [units[a : a + 64] for a in range(first, min(first + 8192, len(units)), 64)]
-            for group, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-                own = np.array(e.ids, "<u4")
-                ends = np.cumsum(pc.binary_length(pa.array(group, pa.large_string())).to_numpy())
-                at = np.searchsorted(np.cumsum(self.size[own]), ends) + 1
-                lengths.append(np.diff(at, prepend=0))
-                ids.append(own)
-        return np.concatenate(lengths), np.concatenate(ids)
+            groups = ["".join(units[a : a + 64]) for a in range(first, min(first + 8192, len(units)), 64)]
+            found += [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        ends = np.cumsum(pc.binary_length(pa.array(units, pa.large_string())).to_numpy())
+        at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+        return np.diff(at, prepend=0), ids
 
     def _find(self, units: pa.Array) -> np.ndarray:
         """Numbers of the units among the known ones; new ones are encoded and remembered."""
@@ -98,8 +109,10 @@ class Encoder:
         at = np.fromiter(map(self.units.get, listed, repeat(-1)), np.int64, len(listed))
         new = np.flatnonzero(at < 0)
         if len(new) and len(self.units) + len(new) > REMEMBERED:
-            self._forget()
-            new = np.arange(len(listed))
+            held = np.flatnonzero(at >= 0)  # what these texts use stays
+            self.ids, self.lengths = _gathered(self.ids, self.lengths, at[held])[0], self.lengths[at[held]]
+            self.units = {listed[i]: k for k, i in enumerate(held.tolist())}
+            at[held] = np.arange(len(held))
         if len(new):
             fresh = [listed[i] for i in new.tolist()]
             plain = np.array([len(u.strip()) == len(u) - 1 > 0 and u[0] == " " for u in fresh])
@@ -126,14 +139,16 @@ class Encoder:
         first = coded.dictionary.take(pa.array(codes[heads]))
         spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
         every = pc.dictionary_encode(pa.concat_arrays([spaced, first]))
-        of = self._find(every.dictionary)[every.indices.to_numpy()]
+        of = every.indices.to_numpy()
         units = of[codes]
         units[heads] = of[len(spaced) :]
-        begin = np.cumsum(self.lengths) - self.lengths
-        length = self.lengths[units]
-        end = np.cumsum(length)
-        at = np.repeat(begin[units] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
-        out = self.ids[at]
+        # ids of the distinct units, part by part; what has no parts is one itself
+        cut = pc.extract_regex(every.dictionary, PARTS)
+        parts = [pc.coalesce(pc.struct_field(cut, "a"), every.dictionary), *[pc.fill_null(pc.struct_field(cut, k), "") for k in "bcd"]]
+        four = pc.dictionary_encode(pa.concat_arrays(parts))
+        known = self._find(four.dictionary)[four.indices.to_numpy().reshape(len(parts), -1).T.ravel()]
+        ids, end = _gathered(self.ids, self.lengths, known)
+        out, end = _gathered(ids, np.diff(end[len(parts) - 1 :: len(parts)], prepend=0), units)
         edges = np.append(0, end)[bounds]
         return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -183,13 +198,22 @@ Bins = list[tuple[int, ...]]
 
 def best_fit(bins: Bins, items: list[int], length: list[int], capacity: int) -> Bins:
     """bins with the items put each into the fullest bin that has room, or a new one."""
+    return _fitted(bins, fills(bins, length), items, length, capacity)[0]
+
+
+def fills(bins: Bins, length: list[int]) -> list[int]:
     of = length.__getitem__
-    out = [list(b) for b in bins]
-    by_free: dict[int, list[int]] = {}
+    return [sum(map(of, b)) for b in bins]
+
+
+def _fitted(bins: Bins, full: list[int], items: list[int], length: list[int], capacity: int) -> tuple[Bins, list[int]]:
+    """best_fit of bins whose fills are known, and the fills after it."""
+    out, full = list(bins), list(full)
+    by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for k, fill in enumerate(full):
+        by_free[capacity - fill].append(k)
     mask = 0
-    for k, b in enumerate(out):
-        free = capacity - sum(map(of, b))
-        by_free.setdefault(free, []).append(k)
+    for free in {capacity - fill for fill in full}:
         mask |= 1 << free
     for i in items:
         need = length[i]
@@ -199,61 +223,83 @@ def best_fit(bins: Bins, items: list[int], length: list[int], capacity: int) ->
             slot = by_free[free]
             k = slot.pop()
             if not slot:
-                mask &= ~(1 << free)
-            out[k].append(i)
+                mask ^= 1 << free
+            out[k] += (i,)
+            full[k] += need
+            free -= need
         else:
-            free, k = capacity, len(out)
-            out.append([i])
-        by_free.setdefault(free - need, []).append(k)
-        mask |= 1 << (free - need)
-    return [tuple(b) for b in out]
+            free, k = capacity - need, len(out)
+            out.append((i,))
+            full.append(need)
+        slot = by_free[free]
+        if not slot:
+            mask |= 1 << free
+        slot.append(k)
+    return out, full
 
 
 def fitness(bins: Bins, length: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    of = length.__getitem__
-    return -len(bins), sum((sum(map(of, b)) / capacity) ** 2 for b in bins)
+    return _worth(fills(bins, length), _squares(capacity))
+
+
+@lru_cache(maxsize=4)
+def _squares(capacity: int) -> list[float]:
+    return [(fill / capacity) ** 2 for fill in range(capacity + 1)]
+
+
+def _worth(full: list[int], squares: list[float]) -> tuple[int, float]:
+    return -len(full), sum(map(squares.__getitem__, full))
 
 
 def crossover(a: Bins, b: Bins, length: list[int], capacity: int, rng: random.Random) -> Bins:
     """Well-filled bins of b injected into a; a's bins with an injected item go, what they displace is best-fitted."""
-    of = length.__getitem__
-    fill = [(sum(map(of, x)), rng.random(), x) for x in b]
-    fill.sort(reverse=True)
-    full = [x for f, _, x in fill if f >= WELL_FILLED * capacity] or [fill[0][2]]
+    return _crossed((a, fills(a, length)), (b, fills(b, length)), length, capacity, rng)[0]
+
+
+def _crossed(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], length: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """crossover of bins with their fills."""
+    draw = rng.random
+    ranked = [(f, draw(), x) for x, f in zip(*b, strict=True)]
+    ranked.sort(reverse=True)
+    full = [(x, f) for f, _, x in ranked if f >= WELL_FILLED * capacity] or [(ranked[0][2], ranked[0][0])]
     chosen = rng.sample(full, max(1, len(full) // 2))
-    inside = set(chain.from_iterable(chosen))
+    inside = set(chain.from_iterable([x for x, _ in chosen]))
     keep, displaced = [], []
-    for x in a:
+    for x, f in zip(*a, strict=True):
         if inside.isdisjoint(x):
-            keep.append(x)
+            keep.append((x, f))
         else:
             displaced += [i for i in x if i not in inside]
     # mutation: the least filled of what stays is put back as well
-    keep.sort(key=lambda x: sum(map(of, x)))
+    keep.sort(key=itemgetter(1))
     loose = rng.randrange(1, 4)
-    for x in keep[:loose]:
+    for x, _ in keep[:loose]:
         displaced += x
-    displaced.sort(key=lambda i: (-length[i], rng.random()))
-    return best_fit(chosen + keep[loose:], displaced, length, capacity)
+    place = {i: draw() - length[i] for i in displaced}
+    displaced.sort(key=place.__getitem__)
+    stay = chosen + keep[loose:]
+    return _fitted([x for x, _ in stay], [f for _, f in stay], displaced, length, capacity)
 
 
 def evolve(length: list[int], seeds: list[Bins], capacity: int, rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
     """Best packing after some generations from the seeds and shuffled best-fit-decreasing ones."""
     floor = -(-sum(length) // capacity)
-    own = list(seeds)
+    squares = _squares(capacity)
+    own = [(x, fills(x, length)) for x in seeds]
     while len(own) < population:
         blur = 0 if not own else 1 + 8 * len(own)
-        own.append(best_fit([], sorted(range(len(length)), key=lambda i: -length[i] - rng.random() * blur), length, capacity))
-    ranked = sorted(((fitness(p, length, capacity), k, p) for k, p in enumerate(own)), reverse=True)
+        place = [-n - rng.random() * blur for n in length]
+        own.append(_fitted([], [], sorted(range(len(length)), key=place.__getitem__), length, capacity))
+    ranked = sorted(((_worth(p[1], squares), k, p) for k, p in enumerate(own)), reverse=True)
     for turn in range(1, generations + 1):
-        if len(ranked[0][2]) <= floor:
+        if len(ranked[0][2][0]) <= floor:
             break
         parents = ranked[: max(2, population // 2)]
-        young = [crossover(*(p for _, _, p in rng.sample(parents, 2)), length, capacity, rng) for _ in range(population // 2)]
-        ranked += [(fitness(p, length, capacity), turn * population + k, p) for k, p in enumerate(young)]
+        young = [_crossed(*(p for _, _, p in rng.sample(parents, 2)), length, capacity, rng) for _ in range(population // 2)]
+        ranked += [(_worth(p[1], squares), turn * population + k, p) for k, p in enumerate(young)]
         ranked = sorted(ranked, reverse=True)[:population]
-    return ranked[0][2]
+    return ranked[0][2][0]
 
 
 def _to_bins(plan: bytes) -> Bins:
@@ -329,7 +375,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLAND
         each = sets.select("shard", F.col("x.item").alias("items"), F.col("x.length").alias("lengths"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
         state = each.withColumn("plans", F.array().cast("array<binary>"))
         for epoch in range(EPOCHS):
-            spread = state.select("shard", "island", "items", "lengths", "plans").repartition(min(shards * islands, 4 * split_size(spark)), "shard", "island")
+            spread = state.select("shard", "island", "items", "lengths", "plans").repartition(min(shards * islands, split_size(spark)), "shard", "island")
             found = stored(_epoch(spread, capacity, level, epoch), "islands")
             # elite migration: each island goes on with its own elite and that of the island before it
             guests = found.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("plan").alias("guest"))
